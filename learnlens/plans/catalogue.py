@@ -125,7 +125,7 @@ def subscription_revenue(t: DriverTables) -> DataFrame:
 
 @query
 def instructor_report_card(t: DriverTables) -> DataFrame:
-    return gold.instructor_report(t.ratings(), t.problems())
+    return gold.instructor_report(t.ratings(), t.taught_problems())
 
 
 @query
@@ -280,7 +280,7 @@ def _nightly(t: DriverTables) -> Warehouse:
     ):
         raw = payloads.decode(messages)
         warehouse.append_bronze(payloads.bronze(raw, schema, schemas.BRONZE_KEYS[name]), name)
-    metadata = {"problems": t.problems(), "ratings": t.ratings(), "transactions": t.transactions()}
+    metadata = {"problems": t.taught_problems(), "ratings": t.ratings(), "transactions": t.transactions()}
     batch.run_batch(t.spark, settings, metadata)
     return warehouse
 
@@ -337,7 +337,7 @@ def srv_revenue_totals(t: DriverTables) -> DataFrame:
 
 @query
 def srv_instructors(t: DriverTables) -> DataFrame:
-    return serving.instructors(gold.instructor_report(t.ratings(), t.problems()))
+    return serving.instructors(gold.instructor_report(t.ratings(), t.taught_problems()))
 
 
 @query

@@ -9,6 +9,7 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
     TimestampType,
 )
 
@@ -18,7 +19,7 @@ def _struct(**columns) -> StructType:
 
 
 _TEXT, _INT, _LONG, _REAL = StringType(), IntegerType(), LongType(), DoubleType()
-_TIME, _DAY, _FLAG = TimestampType(), DateType(), BooleanType()
+_TIME, _WALL_TIME, _DAY, _FLAG = TimestampType(), TimestampNTZType(), DateType(), BooleanType()
 
 # Field names and types of the two JSON messages.
 SUBMISSION = _struct(
@@ -198,3 +199,41 @@ BATCH_GOLD = (
     "gold_next_problem_recommendations",
     "gold_adaptive_difficulty_profiles",
 )
+
+# The given tables, as far as they are used.  Declared, so that no job reads footers to learn them.
+GIVEN = {
+    "events": _struct(
+        event_id=_LONG, ts=_WALL_TIME, user_id=_LONG, event_type=_TEXT, value=_REAL, props=_TEXT
+    ),
+    "customer": _struct(
+        c_custkey=_LONG, c_name=_TEXT, c_nationkey=_INT, c_acctbal=_REAL, c_mktsegment=_TEXT
+    ),
+    "nation": _struct(n_nationkey=_INT, n_name=_TEXT, n_regionkey=_INT),
+    "supplier": _struct(s_suppkey=_LONG, s_name=_TEXT, s_nationkey=_INT, s_acctbal=_REAL),
+    "part": _struct(
+        p_partkey=_LONG, p_name=_TEXT, p_brand=_TEXT, p_type=_TEXT, p_size=_INT, p_retailprice=_REAL
+    ),
+    "orders": _struct(
+        o_orderkey=_LONG,
+        o_custkey=_LONG,
+        o_orderstatus=_TEXT,
+        o_totalprice=_REAL,
+        o_orderdate=_WALL_TIME,
+        o_orderpriority=_TEXT,
+    ),
+    "lineitem": _struct(
+        l_orderkey=_LONG,
+        l_partkey=_LONG,
+        l_suppkey=_LONG,
+        l_linenumber=_INT,
+        l_quantity=_REAL,
+        l_extendedprice=_REAL,
+        l_discount=_REAL,
+        l_tax=_REAL,
+        l_returnflag=_TEXT,
+        l_linestatus=_TEXT,
+        l_shipdate=_WALL_TIME,
+    ),
+    "conversations": _struct(conv_id=_LONG, turn=_LONG, role=_TEXT, text=_TEXT),
+    "pages": _struct(page_id=_LONG, url=_TEXT, html=_TEXT),
+}

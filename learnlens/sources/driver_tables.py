@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from learnlens import schemas
 from learnlens.functions import times
 
 # Fixed values of the mapping.
@@ -38,14 +39,14 @@ class DriverTables:
         return f"{self.folder}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(schemas.GIVEN[name]).parquet(self.path(name))
 
     # events ---------------------------------------------------------------------------
 
     def event_stream(self) -> DataFrame:
         """The ``events`` table as a file stream; the pattern takes one file or a folder of them."""
-        schema = self.table("events").schema
-        return self.spark.readStream.schema(schema).parquet(self.path("events") + "*")
+        reader = self.spark.readStream.schema(schemas.GIVEN["events"])
+        return reader.parquet(self.path("events") + "*")
 
     def submissions(self) -> DataFrame:
         """Typed submissions, as the parser gives them."""
@@ -83,29 +84,36 @@ class DriverTables:
 
     def problems(self) -> DataFrame:
         level = F.col("p_size") % 3
+        return self._catalogue().select(
+            _key("prob_", "p_partkey").alias("problem_id"),
+            F.col("p_name").alias("title"),
+            F.col("p_type").alias("category"),
+            F.element_at(F.array(*map(F.lit, _DIFFICULTIES)), level + 1).alias("difficulty"),
+            F.element_at(F.array(*map(F.lit, _TIME_LIMITS_MS)), level + 1).alias("time_limit_ms"),
+        )
+
+    def taught_problems(self) -> DataFrame:
+        """Problems with their instructor, where there is one."""
         instructors = (
             self.table("supplier")
             .filter(F.col("s_acctbal") >= 0)
-            .select("s_suppkey", F.col("s_name").alias("instructor_name"))
+            .select(
+                "s_suppkey",
+                _key("inst_", "s_suppkey").alias("instructor_id"),
+                F.col("s_name").alias("instructor_name"),
+            )
         )
+        taught_by = F.floor(F.col("p_partkey") / _PROBLEMS_PER_INSTRUCTOR)
         return (
-            self.table("part")
-            .filter(F.col("p_size") >= _MIN_PROBLEM_SIZE)
-            .withColumn("s_suppkey", F.floor(F.col("p_partkey") / _PROBLEMS_PER_INSTRUCTOR))
+            self._catalogue()
+            .select(_key("prob_", "p_partkey").alias("problem_id"), "p_type", taught_by.alias("s_suppkey"))
             .join(instructors, "s_suppkey", "left")
-            .select(
-                _key("prob_", "p_partkey").alias("problem_id"),
-                F.col("p_name").alias("title"),
-                F.col("p_type").alias("category"),
-                F.element_at(F.array(*map(F.lit, _DIFFICULTIES)), level + 1).alias("difficulty"),
-                F.element_at(F.array(*map(F.lit, _TIME_LIMITS_MS)), level + 1).alias("time_limit_ms"),
-                F.when(F.col("instructor_name").isNotNull(), _key("inst_", "s_suppkey")).alias(
-                    "instructor_id"
-                ),
-                "instructor_name",
-            )
+            .select("problem_id", F.col("p_type").alias("category"), "instructor_id", "instructor_name")
         )
 
+    def _catalogue(self) -> DataFrame:
+        return self.table("part").filter(F.col("p_size") >= _MIN_PROBLEM_SIZE)
+
     def transactions(self) -> DataFrame:
         return self.table("orders").select(
             _key("txn_", "o_orderkey").alias("transaction_id"),

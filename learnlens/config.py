@@ -76,6 +76,7 @@ class Settings:
     max_offsets_per_trigger: int = 1200
     stream_shuffle_partitions: int = 32
     stream_reset: bool = False
+    stream_reset_keeps_tables: bool = False
     compact_every: int = 100
     rules: Rules = field(default_factory=Rules)
     learning: Learning = field(default_factory=Learning)
@@ -110,4 +111,5 @@ _ENV_OPTIONS = {
     "STREAM_MAX_OFFSETS_PER_TRIGGER": ("max_offsets_per_trigger", int),
     "STREAM_SHUFFLE_PARTITIONS": ("stream_shuffle_partitions", int),
     "STREAM_RESET": ("stream_reset", _flag),
+    "STREAM_RESET_SKIP_DB_CLEAR": ("stream_reset_keeps_tables", _flag),
 }

@@ -1,7 +1,7 @@
 """Per-user and per-problem measures of submissions.
 
 All measures are sums, so they may be taken from single submissions or from totals summed
-before.  The nightly job sums once per user and problem and derives the rest from that.
+before.  The nightly job sums once per user, problem and day and derives the rest from that.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from learnlens.functions import rules as R
 _MEASURES = ("submissions", "passes", "fails", "exec_ms_sum", "exec_ms_rows")
 
 
-def attempts(submissions: DataFrame) -> DataFrame:
+def attempts(submissions: DataFrame, *keep: str) -> DataFrame:
     """Additive measures of each submission.  A null status is neither a pass nor a fail."""
 
     def one_if(condition):
@@ -25,6 +25,7 @@ def attempts(submissions: DataFrame) -> DataFrame:
     return submissions.select(
         "user_id",
         "problem_id",
+        *keep,
         one_if(F.col("submission_id").isNotNull()).alias("submissions"),
         one_if(status == R.PASS).alias("passes"),
         one_if(status != R.PASS).alias("fails"),
@@ -37,13 +38,15 @@ def total_attempts(measures: DataFrame, *keys: str) -> DataFrame:
     return measures.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in _MEASURES])
 
 
-def login_minutes(metrics: DataFrame) -> DataFrame:
-    """Minutes per user, from the seconds between submissions."""
-    return (
-        metrics.filter((F.col("metric_type") == R.LOGIN_METRIC) & F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg((F.sum("value") / 60.0).alias("login_minutes"))
-    )
+def login_seconds(metrics: DataFrame, *keys: str) -> DataFrame:
+    """Seconds between submissions, summed by ``keys``."""
+    intervals = metrics.filter((F.col("metric_type") == R.LOGIN_METRIC) & F.col("user_id").isNotNull())
+    return intervals.groupBy(*keys).agg(F.sum("value").alias("seconds"))
+
+
+def login_minutes(seconds: DataFrame) -> DataFrame:
+    """Minutes per user, the proxy of time spent."""
+    return seconds.groupBy("user_id").agg((F.sum("seconds") / 60.0).alias("login_minutes"))
 
 
 def user_features(measures: DataFrame, login: DataFrame) -> DataFrame:

@@ -2,103 +2,153 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens import schemas
 from learnlens.config import Settings
+from learnlens.functions import times
 from learnlens.operators import dropout, features, gold, recommend
 from learnlens.operators.dedup import latest_by_key
 from learnlens.session import staged
 from learnlens.sources import payloads
 from learnlens.sources.tables import Warehouse
 
+Step = Callable[[DataFrame], DataFrame]
+
 
 def silver_submissions(bronze: DataFrame) -> DataFrame:
     """Typed submissions, one row per id: the copy that came last."""
-    parsed = payloads.submissions(bronze, "ingest_timestamp").drop("client_ip")
+    wanted = schemas.fields_of(
+        schemas.SUBMISSION,
+        *("user_id", "problem_id", "status", "execution_time_ms", "memory_kb", "timestamp"),
+    )
+    parsed = payloads.parse(bronze, wanted, "submission_id", "ingest_timestamp")
     latest = latest_by_key(parsed, ("submission_id",), ("ingest_timestamp",))
-    return latest.select(*schemas.TABLES["silver_submissions"].names)
+    epoch = F.col("timestamp")
+    timed = latest.withColumns({"timestamp": times.whole_second(epoch), "day": times.utc_day(epoch)})
+    return timed.select(*schemas.TABLES["silver_submissions"].names)
 
 
 def silver_metrics(bronze: DataFrame) -> DataFrame:
-    parsed = payloads.metrics(bronze, "ingest_timestamp")
+    """Typed metrics of known users, one row per id: the copy that came last."""
+    wanted = schemas.fields_of(schemas.METRIC, "user_id", "metric_type", "value", "timestamp")
+    parsed = payloads.parse(bronze, wanted, "metric_id", "ingest_timestamp")
     latest = latest_by_key(parsed, ("metric_id",), ("ingest_timestamp",))
-    return latest.select(*schemas.TABLES["silver_metrics"].names)
+    known = latest.filter(F.col("user_id").isNotNull())
+    return known.withColumn("day", times.utc_day(F.col("timestamp"))).select(
+        *schemas.TABLES["silver_metrics"].names
+    )
 
 
-def rebuild_days(spark: SparkSession, settings: Settings, ingest_days: Sequence[str]) -> None:
-    """Bring silver up to date with the messages that came on ``ingest_days``.
+def attempt_totals(silver: DataFrame) -> DataFrame:
+    return features.total_attempts(features.attempts(silver, "day"), "user_id", "problem_id", "day")
 
-    Reads those raw partitions and the stored days their events belong to, and replaces these
-    days only.  For messages whose id keeps its event time, as replays do.
-    """
-    warehouse = Warehouse(spark, settings.root)
-    arrived = warehouse.read_bronze("bronze_submissions").filter(
-        F.col("ingest_day").isin([*map(str, ingest_days)])
-    )
-    fresh = staged(silver_submissions(arrived), "fresh-silver")
+
+def login_totals(silver: DataFrame) -> DataFrame:
+    return features.login_seconds(silver, "user_id", "day")
+
+
+def _on(days: Sequence[date | None]) -> Column:
+    """Rows of these days; ``None`` stands for events without a usable time."""
+    known = F.col("day").isin([d for d in days if d is not None])
+    return known | F.col("day").isNull() if None in days else known
+
+
+def _refresh(
+    warehouse: Warehouse,
+    ingest_days: Sequence[str] | None,
+    bronze: str,
+    silver: str,
+    typed: Step,
+    totals: str,
+    summed: Step,
+) -> list[str]:
+    """Bring one silver table and its daily totals up to date; returns the tables written."""
+    raw = warehouse.read_bronze(bronze)
+    if ingest_days is None:
+        warehouse.write_snapshot(typed(raw), silver)
+        warehouse.write_snapshot(summed(warehouse.read(silver)), totals)
+        return [silver, totals]
+
+    arrived = raw.filter(F.col("ingest_day").cast("string").isin([str(d) for d in ingest_days]))
+    fresh = staged(typed(arrived), silver)
     days = [row.day for row in fresh.select("day").distinct().toLocalIterator()]
-    stored = warehouse.read("silver_submissions").filter(F.col("day").isin(days))
-    both = stored.withColumn("_write", F.lit(0)).unionByName(fresh.withColumn("_write", F.lit(1)))
-    merged = latest_by_key(both, ("submission_id",), ("_write",)).drop("_write")
-    warehouse.overwrite_days(merged, "silver_submissions")
+    if not days:
+        return []
+    stored = warehouse.read(silver).filter(_on(days)).withColumn("_write", F.lit(0))
+    both = stored.unionByName(fresh.withColumn("_write", F.lit(1)))
+    merged = latest_by_key(both, schemas.TABLE_KEYS[silver], ("_write",)).drop("_write")
+    warehouse.overwrite_days(merged, silver)
+    warehouse.overwrite_days(summed(warehouse.read(silver).filter(_on(days))), totals)
+    return [silver, totals]
 
 
 def run_batch(
-    spark: SparkSession, settings: Settings, dimensions: Mapping[str, DataFrame]
+    spark: SparkSession,
+    settings: Settings,
+    dimensions: Mapping[str, DataFrame],
+    ingest_days: Sequence[str] | None = None,
 ) -> list[str]:
-    """Rebuild silver and the seven report tables; returns the names of the tables written.
+    """Rebuild the typed tables and the seven reports; returns the names of the tables written.
+
+    Raw messages are parsed once and submissions are summed once, per user, problem and day;
+    features, heatmap and recommender start from these totals.  Every step reads a stored
+    table, so a lost executor repeats one step.  A report whose metadata is missing is left as
+    it was.
 
-    Raw messages are parsed once.  Submissions are summed once per user and problem, and that
-    table feeds features, heatmap and recommender.  Every step reads a stored table, so a lost
-    executor repeats one step.  A report whose metadata is missing is left as it was.
+    With ``ingest_days`` only the messages that came on those days are parsed, and only the
+    event days they belong to are replaced, so a night costs what the day brought.  This asks
+    that a repeated id keeps its event time, as a replay does; otherwise run without.
     """
     warehouse = Warehouse(spark, settings.root)
     rules, learning = settings.rules, settings.learning
-    written: list[str] = []
 
-    def store(df: DataFrame, name: str) -> DataFrame:
-        if name in schemas.BATCH_GOLD:
-            df = df.withColumn("last_updated", F.current_timestamp())
-        if name in schemas.BATCH_GOLD and not settings.reset_gold:
-            warehouse.upsert(_storable(df, name), name)
+    written = _refresh(
+        warehouse,
+        ingest_days,
+        *("bronze_submissions", "silver_submissions", silver_submissions),
+        *("attempt_totals", attempt_totals),
+    )
+    written += _refresh(
+        warehouse,
+        ingest_days,
+        *("bronze_metrics", "silver_metrics", silver_metrics),
+        *("login_totals", login_totals),
+    )
+
+    def report(df: DataFrame, name: str) -> None:
+        for key in schemas.TABLE_KEYS[name]:
+            df = df.filter(F.col(key).isNotNull())
+        df = df.withColumn("last_updated", F.current_timestamp())
+        if settings.reset_gold:
+            warehouse.write_snapshot(df, name)
         else:
-            warehouse.write_snapshot(_storable(df, name), name)
+            warehouse.upsert(df, name)
         written.append(name)
-        return warehouse.read(name)
-
-    silver = store(silver_submissions(warehouse.read_bronze("bronze_submissions")), "silver_submissions")
-    metrics = store(silver_metrics(warehouse.read_bronze("bronze_metrics")), "silver_metrics")
 
-    per_attempt = features.attempts(silver)
-    totals = store(features.total_attempts(per_attempt, "user_id", "problem_id"), "attempt_totals")
-    users = store(features.user_features(totals, features.login_minutes(metrics)), "user_features")
+    totals = warehouse.read("attempt_totals")
+    login = features.login_minutes(warehouse.read("login_totals"))
+    warehouse.write_snapshot(features.user_features(totals, login), "user_features")
+    written.append("user_features")
+    users = warehouse.read("user_features")
 
-    store(gold.engagement(users, rules), "gold_engagement_scores")
-    store(gold.adaptive_profiles(users, rules), "gold_adaptive_difficulty_profiles")
-    store(dropout.predictions(users, rules, learning), "gold_dropout_predictions")
-    recommendations = recommend.next_problem(gold.interactions(totals), learning)
-    if not recommendations.isEmpty():
-        store(recommendations, "gold_next_problem_recommendations")
+    report(gold.engagement(users, rules), "gold_engagement_scores")
+    report(gold.adaptive_profiles(users, rules), "gold_adaptive_difficulty_profiles")
+    report(dropout.predictions(users, rules, learning), "gold_dropout_predictions")
+    interactions = staged(gold.interactions(totals), "interactions")
+    if not interactions.isEmpty():
+        report(recommend.next_problem(interactions, learning), "gold_next_problem_recommendations")
 
     problems, ratings = dimensions.get("problems"), dimensions.get("ratings")
     transactions = dimensions.get("transactions")
     if problems is not None and not problems.isEmpty():
-        store(gold.difficulty_heatmap(totals, problems), "gold_difficulty_heatmap")
+        report(gold.difficulty_heatmap(totals, problems), "gold_difficulty_heatmap")
         if ratings is not None and not ratings.isEmpty():
-            store(gold.instructor_report(ratings, problems), "gold_instructor_report_card")
+            report(gold.instructor_report(ratings, problems), "gold_instructor_report_card")
     if transactions is not None and not transactions.isEmpty():
-        store(gold.subscription_revenue(transactions), "gold_subscription_revenue")
+        report(gold.subscription_revenue(transactions), "gold_subscription_revenue")
     return written
-
-
-def _storable(df: DataFrame, name: str) -> DataFrame:
-    """Stored tables have whole keys; only the working totals may lack one."""
-    if name == "attempt_totals":
-        return df
-    for key in schemas.TABLE_KEYS[name]:
-        df = df.filter(F.col(key).isNotNull())
-    return df

@@ -68,7 +68,9 @@ def quarantined_payloads(t: DriverTables) -> DataFrame:
 @query
 def deduplicated_bronze(t: DriverTables) -> DataFrame:
     """A topic read twice over: every message and its replay give one typed row."""
-    once = payloads.decode(t.submission_messages())
+    once = payloads.keyed(
+        payloads.decode(t.submission_messages()), schemas.SUBMISSION, "submission_id"
+    )
     replayed = once.withColumn("ingest_timestamp", F.timestamp_seconds(F.lit(1))).unionByName(
         once.withColumn("ingest_timestamp", F.timestamp_seconds(F.lit(2)))
     )
@@ -83,10 +85,12 @@ def latest_line_items(t: DriverTables) -> DataFrame:
 # features and reports -----------------------------------------------------------------
 
 
+def _login(t: DriverTables) -> DataFrame:
+    return features.login_minutes(features.login_seconds(t.metrics(), "user_id"))
+
+
 def _features(t: DriverTables) -> DataFrame:
-    return features.user_features(
-        features.attempts(t.submissions()), features.login_minutes(t.metrics())
-    )
+    return features.user_features(features.attempts(t.submissions()), _login(t))
 
 
 def _heatmap(t: DriverTables) -> DataFrame:
@@ -95,12 +99,12 @@ def _heatmap(t: DriverTables) -> DataFrame:
 
 @query
 def login_minutes(t: DriverTables) -> DataFrame:
-    return features.login_minutes(t.metrics())
+    return _login(t)
 
 
 @query
 def attempt_totals(t: DriverTables) -> DataFrame:
-    return features.total_attempts(features.attempts(t.submissions()), "user_id", "problem_id")
+    return batch.attempt_totals(t.submissions())
 
 
 @query
@@ -244,7 +248,8 @@ def stream_bronze_metrics(t: DriverTables) -> DataFrame:
     live, settings = _stream(t)
     messages = live.metric_messages(live.event_stream())
     streams.start_bronze_metrics(messages, settings, available_now=True).awaitTermination()
-    return batch.silver_metrics(Warehouse(t.spark, settings.root).read_bronze("bronze_metrics"))
+    stored = batch.silver_metrics(Warehouse(t.spark, settings.root).read_bronze("bronze_metrics"))
+    return stored.drop("day")
 
 
 @query

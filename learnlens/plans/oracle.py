@@ -187,12 +187,13 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
            l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1""",
         "login_minutes": f"{_with(_METRICS, _LOGIN)} SELECT * FROM login",
         "attempt_totals": f"""{_with(_SUBMISSIONS)}
-SELECT user_id, problem_id, count(submission_id) AS submissions,
+SELECT user_id, problem_id, CAST(make_timestamp(second * 1000000) AS DATE) AS day,
+       count(submission_id) AS submissions,
        count(*) FILTER (WHERE status = 'Pass') AS passes,
        count(*) FILTER (WHERE status <> 'Pass') AS fails,
        CAST(sum(execution_time_ms) AS BIGINT) AS exec_ms_sum,
        count(execution_time_ms) AS exec_ms_rows
-FROM submissions GROUP BY user_id, problem_id""",
+FROM submissions GROUP BY user_id, problem_id, day""",
         "user_features": f"{features} SELECT * FROM features",
         "engagement_scores": f"{features},{_ENGAGEMENT} SELECT * FROM engagement",
         "difficulty_heatmap": f"{heatmap} SELECT * FROM heatmap",

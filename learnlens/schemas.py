@@ -99,8 +99,9 @@ TABLES = {
         day=_DAY,
     ),
     "silver_metrics": _struct(
-        metric_id=_TEXT, user_id=_TEXT, value=_REAL, timestamp=_REAL, metric_type=_TEXT
+        metric_id=_TEXT, user_id=_TEXT, metric_type=_TEXT, value=_REAL, timestamp=_REAL, day=_DAY
     ),
+    "login_totals": _struct(user_id=_TEXT, seconds=_REAL, day=_DAY),
     "attempt_totals": _struct(
         user_id=_TEXT,
         problem_id=_TEXT,
@@ -109,6 +110,7 @@ TABLES = {
         fails=_LONG,
         exec_ms_sum=_LONG,
         exec_ms_rows=_LONG,
+        day=_DAY,
     ),
     "user_features": _struct(
         user_id=_TEXT,
@@ -171,7 +173,8 @@ TABLES = {
 TABLE_KEYS = {
     "silver_submissions": ("submission_id",),
     "silver_metrics": ("metric_id",),
-    "attempt_totals": ("user_id", "problem_id"),
+    "login_totals": ("user_id", "day"),
+    "attempt_totals": ("user_id", "problem_id", "day"),
     "user_features": ("user_id",),
     "gold_engagement_scores": ("user_id",),
     "gold_difficulty_heatmap": ("problem_id",),
@@ -186,7 +189,9 @@ TABLE_KEYS = {
 
 PARTITION_COLUMNS = {
     "silver_submissions": ("day",),
-    "silver_metrics": ("metric_type",),
+    "silver_metrics": ("day",),
+    "login_totals": ("day",),
+    "attempt_totals": ("day",),
     "gold_system_alerts": ("alert_type",),
 }
 
@@ -237,3 +242,10 @@ GIVEN = {
     "conversations": _struct(conv_id=_LONG, turn=_LONG, role=_TEXT, text=_TEXT),
     "pages": _struct(page_id=_LONG, url=_TEXT, html=_TEXT),
 }
+
+# Order of rows within the files of a partition; a leading minus means descending.
+SORT_COLUMNS = {
+    "silver_submissions": ("problem_id", "user_id", "-timestamp"),
+    "silver_metrics": ("metric_type", "user_id"),
+    "gold_live_leaderboard": ("rank_tier", "-total_solved", "user_id"),
+}

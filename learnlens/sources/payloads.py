@@ -16,12 +16,13 @@ def decode(messages: DataFrame) -> DataFrame:
 
 
 def parse(raw: DataFrame, schema: StructType, *keep: str) -> DataFrame:
-    """Add the fields of ``schema`` found in ``raw_payload``; ``keep`` names other columns to carry.
+    """The fields of ``schema`` found in ``raw_payload``; ``keep`` names other columns to carry.
 
-    Unreadable text gives null fields.  Pass only the fields that are needed: once the struct
-    is flattened the optimizer no longer narrows the parser.
+    Unreadable text gives null fields.  Name only the fields that are needed.  The struct is
+    unpacked by a generator because filters are not pushed through one: pushed below a plain
+    projection, every filter on a parsed field would parse the text once more.
     """
-    return raw.withColumn("_data", F.from_json("raw_payload", schema)).select(*keep, "_data.*")
+    return raw.select(*keep, F.inline(F.array(F.from_json("raw_payload", schema))))
 
 
 def submissions(raw: DataFrame, *keep: str) -> DataFrame:

@@ -16,10 +16,17 @@ from pyspark.sql.types import LongType, StructType
 from learnlens import schemas
 from learnlens.operators.dedup import latest_by_key
 
-_VERSION, _GENERATION, _LOAD = "version=", "generation=", "load="
+_VERSION, _GENERATION, _CLEARED, _LOAD = "version=", "generation=", "cleared=", "load="
 _BASE, _BATCH = "as_of=", "batch_id="
 
 
+def _sorted(df: DataFrame, name: str) -> DataFrame:
+    columns = (*schemas.PARTITION_COLUMNS.get(name, ()), *schemas.SORT_COLUMNS.get(name, ()))
+    return df.sortWithinPartitions(
+        *[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in columns]
+    )
+
+
 class Warehouse:
     """The tables below one root folder."""
 
@@ -116,11 +123,7 @@ class Warehouse:
         partition_by = schemas.PARTITION_COLUMNS.get(name)
         if not partition_by:
             return df
-        df = df.hint("rebalance", *partition_by)
-        if name == "silver_submissions":
-            recent_first = F.col("timestamp").desc()
-            df = df.sortWithinPartitions("day", "problem_id", "user_id", recent_first)
-        return df
+        return _sorted(df.hint("rebalance", *partition_by), name)
 
     # stream tables --------------------------------------------------------------------
 
@@ -129,13 +132,24 @@ class Warehouse:
         found = self._numbered(f"{self.root}/_generations", _GENERATION)
         return found[-1] if found else 0
 
-    def open_generation(self) -> int:
+    def open_generation(self, keep_tables: bool = False) -> int:
+        """Begin with new checkpoints, and with empty stream tables unless they are kept."""
         number = self.generation() + 1
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_generations/{_GENERATION}{number}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+        if not keep_tables:
+            self._mark(f"{self.root}/_generations/{_CLEARED}{number}")
+        self._mark(f"{self.root}/_generations/{_GENERATION}{number}")
         return number
 
+    def _mark(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def _live_generations(self, name: str) -> list[int]:
+        """Generations of a stream table since it was last cleared."""
+        cleared = self._numbered(f"{self.root}/_generations", _CLEARED)
+        first = cleared[-1] if cleared else 0
+        return [n for n in self._numbered(self._table(name), _GENERATION) if n >= first]
+
     def stream_path(self, name: str, generation: int | None = None) -> str:
         number = self.generation() if generation is None else generation
         return f"{self._table(name)}/{_GENERATION}{number}"
@@ -160,11 +174,14 @@ class Warehouse:
         df.write.partitionBy("ingest_day", "accepted").parquet(f"{self._table(name)}/{_LOAD}{number}")
 
     def read_alerts(self) -> DataFrame:
-        """Alerts of the current generation."""
-        schema = schemas.TABLES["gold_system_alerts"]
-        if self.generation() not in self._numbered(self._table("gold_system_alerts"), _GENERATION):
-            return self._empty(schema)
-        return self.spark.read.schema(schema).parquet(self.stream_path("gold_system_alerts"))
+        """Alerts since the table was last cleared."""
+        name = "gold_system_alerts"
+        schema = schemas.TABLES[name]
+        parts = [
+            self.spark.read.schema(schema).parquet(self.stream_path(name, number))
+            for number in self._live_generations(name)
+        ]
+        return reduce(DataFrame.unionByName, parts) if parts else self._empty(schema)
 
     # The leaderboard stream emits the users that changed.  Rewriting all users per micro-batch
     # would cost as much as the table, so changes are stored per batch and folded now and then.
@@ -175,39 +192,40 @@ class Warehouse:
         df.select(*schemas.TABLES[name].names).write.mode("overwrite").parquet(path)
 
     def read_current(self, name: str) -> DataFrame:
-        """Newest row per key: the last fold and the changes since."""
-        schema = schemas.TABLES[name]
-        latest = latest_by_key(self._changes(name), schemas.TABLE_KEYS[name], ("batch_id",))
-        return latest.select(*schema.names)
+        """Newest row per key: per generation the last fold and the changes since."""
+        columns = schemas.TABLES[name].names
+        parts = [
+            self._changes(name, number).withColumn("generation", F.lit(number))
+            for number in self._live_generations(name)
+        ]
+        if not parts:
+            return self._empty(schemas.TABLES[name])
+        rows = reduce(DataFrame.unionByName, parts)
+        order = ("generation", "batch_id")
+        return latest_by_key(rows, schemas.TABLE_KEYS[name], order).select(*columns)
 
     def fold_changes(self, name: str, batch_id: int) -> None:
         """Write the state as of ``batch_id``, so that readers skip the changes before it."""
+        rows = self._changes(name, self.generation()).filter(F.col("batch_id") <= batch_id)
+        latest = latest_by_key(rows, schemas.TABLE_KEYS[name], ("batch_id",))
         target = f"{self.stream_path(name)}/base/{_BASE}{batch_id}"
-        rows = self._changes(name).filter(F.col("batch_id") <= batch_id)
-        latest_by_key(rows, schemas.TABLE_KEYS[name], ("batch_id",)).write.mode("overwrite").parquet(
-            target
-        )
+        _sorted(latest, name).write.mode("overwrite").parquet(target)
 
-    def _changes(self, name: str) -> DataFrame:
-        folder = self.stream_path(name)
+    def _changes(self, name: str, generation: int) -> DataFrame:
+        folder = self.stream_path(name, generation)
         stored = StructType([*schemas.TABLES[name].fields]).add("batch_id", LongType())
         folds = self._numbered(f"{folder}/base", _BASE, complete=True)
-        parts: list[DataFrame] = []
-        if folds:
-            parts.append(self.spark.read.schema(stored).parquet(f"{folder}/base/{_BASE}{folds[-1]}"))
         since = folds[-1] if folds else -1
-        # a batch is listed one by one only since the last fold, so the list stays short
+        # batches are listed one by one only since the last fold, so the list stays short
         recent = [
             f"{folder}/changes/{_BATCH}{number}"
             for number in self._numbered(f"{folder}/changes", _BATCH, complete=True)
             if number > since
         ]
+        reader = self.spark.read.schema(stored)
+        parts = [reader.parquet(f"{folder}/base/{_BASE}{since}")] if folds else []
         if recent:
-            parts.append(
-                self.spark.read.schema(stored)
-                .option("basePath", f"{folder}/changes")
-                .parquet(*recent)
-            )
+            parts.append(reader.option("basePath", f"{folder}/changes").parquet(*recent))
         return reduce(DataFrame.unionByName, parts) if parts else self._empty(stored)
 
     # checks ---------------------------------------------------------------------------

@@ -116,11 +116,11 @@ def start_alerts(
 def start_all(session: SparkSession, settings: Settings, available_now: bool = False) -> list[StreamingQuery]:
     """Start the four queries over the configured source, in a session of ``stream_session``.
 
-    With ``stream_reset`` they begin anew: empty leaderboard and alerts, new checkpoints.
-    Raw messages are kept.
+    With ``stream_reset`` they begin anew: new checkpoints, and leaderboard and alerts empty
+    unless they are to be kept.  Raw messages are always kept.
     """
     if settings.stream_reset:
-        Warehouse(session, settings.root).open_generation()
+        Warehouse(session, settings.root).open_generation(settings.stream_reset_keeps_tables)
 
     def messages(topic: str) -> DataFrame:
         return event_source(session, settings, topic)

@@ -28,7 +28,6 @@ def nightly(spark):
     ("table", "query"),
     [
         ("silver_submissions", "silver_submissions"),
-        ("silver_metrics", "silver_metrics"),
         ("attempt_totals", "attempt_totals"),
         ("user_features", "user_features"),
         ("gold_engagement_scores", "engagement_scores"),
@@ -44,6 +43,11 @@ def test_stored_tables_equal_the_sql(nightly, table, query):
     assert difference(df, oracle.statements()[query], connect(SMALL)) is None
 
 
+def test_stored_metrics_equal_the_sql(nightly):
+    df = nightly.read("silver_metrics").drop("day")
+    assert difference(df, oracle.statements()["silver_metrics"], connect(SMALL)) is None
+
+
 def test_recommendations_are_stored_once_per_user(nightly):
     rows = nightly.read("gold_next_problem_recommendations").collect()
     assert len({r.user_id for r in rows}) == len(rows) > 0
@@ -101,22 +105,61 @@ def test_nothing_to_do(spark, root):
     assert Warehouse(spark, root).read("user_features").isEmpty()
 
 
-def test_rebuild_of_days_equals_a_full_run(spark, root):
-    settings, warehouse = Settings(root=root), Warehouse(spark, root)
-    day = 86400
-    first = [submission(i, epoch=1704067200.0 + (i % 3) * day) for i in range(9)]
-    load(spark, warehouse, "bronze_submissions", schemas.SUBMISSION, raw(spark, *first))
+def metric(number, value, epoch=1704067200.0, user="u"):
+    return json.dumps(
+        {
+            "metric_id": f"m{number}",
+            "user_id": user,
+            "metric_type": "submission_interval_sec",
+            "value": value,
+            "timestamp": epoch,
+        }
+    )
+
+
+def test_the_last_copy_of_a_metric_decides(spark, root):
+    warehouse = Warehouse(spark, root)
+    load(spark, warehouse, "bronze_metrics", schemas.METRIC, raw(spark, metric(1, 60), metric(2, 60)))
+    load(spark, warehouse, "bronze_metrics", schemas.METRIC, raw(spark, metric(1, 120), metric(2, 60, user=None)))
+    batch.run_batch(spark, Settings(root=root), {})
+    assert [(r.metric_id, r.value) for r in warehouse.read("silver_metrics").collect()] == [("m1", 120.0)]
+    assert [(r.user_id, r.seconds) for r in warehouse.read("login_totals").collect()] == [("u", 120.0)]
+
+
+def test_a_night_over_the_days_that_came_equals_a_full_rebuild(spark, root):
+    settings, warehouse, day = Settings(root=root), Warehouse(spark, root), 86400
+    start = 1704067200.0
+
+    def deliver(submissions, metrics):
+        load(spark, warehouse, "bronze_submissions", schemas.SUBMISSION, raw(spark, *submissions))
+        load(spark, warehouse, "bronze_metrics", schemas.METRIC, raw(spark, *metrics))
+
+    deliver(
+        [submission(i, user=f"u{i % 2}", epoch=start + (i % 3) * day) for i in range(9)]
+        + [submission(90, epoch=None), submission(91, epoch=1e18)],
+        [metric(i, 30 + i, epoch=start + (i % 3) * day) for i in range(6)],
+    )
     batch.run_batch(spark, settings, {})
-    today = warehouse.read_bronze("bronze_submissions").first().ingest_day
-    later = [submission(2, status="Runtime Error", epoch=1704067200.0 + 2 * day), submission(20, epoch=1704067200.0)]
-    load(spark, warehouse, "bronze_submissions", schemas.SUBMISSION, raw(spark, *later))
-    batch.rebuild_days(spark, settings, [str(today)])
+    today = str(warehouse.read_bronze("bronze_submissions").first().ingest_day)
+    deliver(
+        [
+            submission(2, user="u0", status="Runtime Error", epoch=start + 2 * day),
+            submission(20, epoch=start),
+            submission(92, epoch=None),
+        ],
+        [metric(0, 30, epoch=start), metric(7, 5, epoch=start + day)],
+    )
 
-    def rows():
-        stored = warehouse.read("silver_submissions").collect()
-        return sorted((r.submission_id, r.status, r.day) for r in stored)
+    def tables():
+        names = ["silver_submissions", "silver_metrics", "attempt_totals", "login_totals", "user_features"]
+        frames = {name: warehouse.read(name) for name in [*names, "gold_engagement_scores"]}
+        return {n: sorted(map(str, df.drop("last_updated").collect())) for n, df in frames.items()}
 
-    partial = rows()
+    before = tables()
+    batch.run_batch(spark, settings, {}, ingest_days=["1999-01-01"])  # nothing came
+    assert tables() == before
+    batch.run_batch(spark, settings, {}, ingest_days=[today])
+    partial = tables()
     batch.run_batch(spark, settings, {})
-    assert partial == rows()
-    assert len(partial) == 10
+    assert partial == tables() != before
+    assert len(partial["silver_submissions"]) == 13

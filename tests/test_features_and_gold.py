@@ -21,6 +21,10 @@ def metrics(spark, *data):
     return spark.createDataFrame(list(data), METRIC)
 
 
+def login(metric_rows):
+    return features.login_minutes(features.login_seconds(metric_rows, "user_id"))
+
+
 def test_features_count_null_status_only_in_the_total(spark):
     silver = submissions(
         spark,
@@ -29,15 +33,15 @@ def test_features_count_null_status_only_in_the_total(spark):
         ("3", "u", "q", "Wrong Answer", None),
         ("4", None, "q", "Pass", 1),
     )
-    login = features.login_minutes(metrics(spark, ("m", "u", "submission_interval_sec", 90.0)))
-    got = rows(features.user_features(features.attempts(silver), login))
+    minutes = login(metrics(spark, ("m", "u", "submission_interval_sec", 90.0)))
+    got = rows(features.user_features(features.attempts(silver), minutes))
     assert got == [("u", 3, 1, 1, 20.0, 1.5, 33.33)]
 
 
 def test_features_without_metrics_or_run_times(spark):
     silver = submissions(spark, ("1", "u", "p", "Pass", None), (None, "v", "p", "Pass", 5))
-    login = features.login_minutes(metrics(spark))
-    got = rows(features.user_features(features.attempts(silver), login))
+    minutes = login(metrics(spark))
+    got = rows(features.user_features(features.attempts(silver), minutes))
     assert got == [("u", 1, 1, 0, 0.0, 0.0, 0.0), ("v", 0, 1, 0, 5.0, 0.0, 0.0)]
 
 
@@ -46,17 +50,17 @@ def test_totals_of_totals_equal_totals_of_attempts(spark):
         spark,
         *[(str(i), f"u{i % 7}", f"p{i % 5}", "Pass" if i % 3 else "Runtime Error", i) for i in range(500)],
     )
-    login = features.login_minutes(metrics(spark))
+    minutes = login(metrics(spark))
     direct = features.attempts(silver)
     summed = features.total_attempts(direct, "user_id", "problem_id")
-    assert rows(features.user_features(direct, login)) == rows(features.user_features(summed, login))
+    assert rows(features.user_features(direct, minutes)) == rows(features.user_features(summed, minutes))
     problems = spark.createDataFrame([("p1", "a", None, None)], PROBLEM)
     assert rows(gold.difficulty_heatmap(direct, problems)) == rows(gold.difficulty_heatmap(summed, problems))
     assert rows(gold.interactions(direct)) == rows(gold.interactions(summed))
 
 
 def test_login_counts_interval_metrics_only(spark):
-    got = features.login_minutes(
+    got = login(
         metrics(
             spark,
             ("1", "u", "submission_interval_sec", 30.0),
@@ -114,8 +118,8 @@ def test_instructor_report_leaves_out_unknown_instructors(spark):
 
 def test_empty_inputs_give_empty_reports(spark):
     nothing = features.attempts(submissions(spark))
-    login = features.login_minutes(metrics(spark))
-    users = features.user_features(nothing, login)
+    minutes = login(metrics(spark))
+    users = features.user_features(nothing, minutes)
     problems = spark.createDataFrame([], PROBLEM)
     ratings = spark.createDataFrame([], "problem_id string, rating_score int")
     for df in (

@@ -3,9 +3,12 @@
 import pytest
 from conftest import SMALL
 
+from learnlens import schemas
 from learnlens.config import Settings
-from learnlens.plans import catalogue
+from learnlens.plans import batch, catalogue
 from learnlens.session import shared_dir
+from learnlens.sources import payloads
+from learnlens.sources.tables import Warehouse
 
 QUERIES = catalogue.registered()
 RUN_JOBS = {  # these train or run streams while they are built
@@ -53,6 +56,24 @@ def test_small_metadata_is_broadcast_by_its_size_not_by_a_hint(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("name", ["silver_submissions", "silver_metrics", "quarantined_payloads"])
+def test_payloads_are_parsed_once(spark, name):
+    assert plan(spark, name).count("from_json(") == 1
+
+
+def test_the_typed_tables_parse_once(spark, root):
+    raw = Warehouse(spark, root)
+    message = spark.createDataFrame([('{"submission_id": "s", "metric_id": "m"}',)], "raw_payload string")
+    for name, schema, typed in (
+        ("bronze_submissions", schemas.SUBMISSION, batch.silver_submissions),
+        ("bronze_metrics", schemas.METRIC, batch.silver_metrics),
+    ):
+        raw.append_bronze(payloads.bronze(message, schema, schemas.BRONZE_KEYS[name]), name)
+        text = typed(raw.read_bronze(name))._jdf.queryExecution().executedPlan().toString()
+        assert text.count("from_json(") == 1
+        assert "accepted#" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_ratings_are_summed_before_the_join(spark):
     text = plan(spark, "instructor_report_card")
     assert text.index("Join") < text.index("partial_sum(rating_score")

@@ -1,5 +1,6 @@
 import json
 import os
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -174,8 +175,6 @@ def test_open_windows_wait(spark, settings, topics):
 
 
 def test_fresh_start_clears_leaderboard_and_alerts_but_not_raw_messages(spark, settings, topics):
-    from dataclasses import replace
-
     topics.add("raw_submissions", submission(1), submission(2, second=1), submission(3, second=300))
     topics.add("system_metrics", metric(1))
     assert board(run(spark, settings)) == {"u": 3}
@@ -191,9 +190,19 @@ def test_fresh_start_clears_leaderboard_and_alerts_but_not_raw_messages(spark, s
     assert board(run(spark, settings)) == {"u": 3, "v": 1}  # goes on in the new generation
 
 
-def test_parquet_messages(spark, settings, tmp_path):
-    from dataclasses import replace
+def test_fresh_start_may_keep_the_tables(spark, settings, topics):
+    topics.add("raw_submissions", submission(1), submission(2, "v"))
+    topics.add("system_metrics", metric(1))
+    run(spark, settings)
+    topics.add("raw_submissions", submission(3, "w"))
+    again = replace(settings, stream_reset=True, stream_reset_keeps_tables=True)
+    warehouse = run(spark, again)
+    assert board(warehouse) == {"u": 1, "v": 1, "w": 1}
+    alerts_ = [r.alert_id for r in warehouse.read_alerts().collect()]
+    assert len(alerts_) == 2 and len(set(alerts_)) == 1  # taken twice, under the same id
 
+
+def test_parquet_messages(spark, settings, tmp_path):
     for topic, message in (("raw_submissions", submission(1)), ("system_metrics", metric(1))):
         rows = spark.createDataFrame([(json.dumps(message),)], "value string")
         rows.write.parquet(str(tmp_path / "topics" / topic))

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from learnlens import schemas
 from learnlens.config import Learning, Rules, Settings
 from learnlens.functions import times
-from learnlens.operators import alerts, dropout, features, gold, leaderboard, recommend
-from learnlens.operators.dedup import latest_by_key
+from learnlens.operators import alerts, dedup, dropout, features, gold, leaderboard, recommend
 from learnlens.plans import batch, serving
 from learnlens.session import new_folder, staged, stream_session
 from learnlens.sources import payloads
@@ -78,8 +77,8 @@ def deduplicated_bronze(t: DriverTables) -> DataFrame:
 
 
 @query
-def latest_line_items(t: DriverTables) -> DataFrame:
-    return latest_by_key(t.table("lineitem"), ("l_orderkey", "l_linenumber"), ("l_shipdate",))
+def latest_by_key(t: DriverTables) -> DataFrame:
+    return dedup.latest_by_key(t.table("lineitem"), ("l_orderkey", "l_linenumber"), ("l_shipdate",))
 
 
 # features and reports -----------------------------------------------------------------

@@ -178,7 +178,7 @@ SELECT raw_payload,
             WHEN json_valid(raw_payload) THEN 'no key' ELSE 'not json' END AS reason
 FROM (SELECT text AS raw_payload FROM conversations UNION ALL SELECT html FROM pages)""",
         "deduplicated_bronze": silver,
-        "latest_line_items": """
+        "latest_by_key": """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
        l_tax, l_returnflag, l_linestatus, l_shipdate
 FROM lineitem

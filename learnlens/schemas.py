@@ -213,7 +213,6 @@ GIVEN = {
     "customer": _struct(
         c_custkey=_LONG, c_name=_TEXT, c_nationkey=_INT, c_acctbal=_REAL, c_mktsegment=_TEXT
     ),
-    "nation": _struct(n_nationkey=_INT, n_name=_TEXT, n_regionkey=_INT),
     "supplier": _struct(s_suppkey=_LONG, s_name=_TEXT, s_nationkey=_INT, s_acctbal=_REAL),
     "part": _struct(
         p_partkey=_LONG, p_name=_TEXT, p_brand=_TEXT, p_type=_TEXT, p_size=_INT, p_retailprice=_REAL

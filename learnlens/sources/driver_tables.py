@@ -67,19 +67,11 @@ class DriverTables:
     # metadata -------------------------------------------------------------------------
 
     def users(self) -> DataFrame:
-        nations = self.table("nation").select(
-            F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("major")
-        )
-        return (
-            self.table("customer")
-            .filter(F.col("c_acctbal") >= 0)
-            .join(nations, "c_nationkey", "left")
-            .select(
-                _key("user_", "c_custkey").alias("user_id"),
-                F.col("c_name").alias("full_name"),
-                F.col("c_mktsegment").alias("class_cohort"),
-                "major",
-            )
+        registered = self.table("customer").filter(F.col("c_acctbal") >= 0)
+        return registered.select(
+            _key("user_", "c_custkey").alias("user_id"),
+            F.col("c_name").alias("full_name"),
+            F.col("c_mktsegment").alias("class_cohort"),
         )
 
     def problems(self) -> DataFrame:

@@ -8,6 +8,7 @@ from conftest import SMALL
 from learnlens import schemas
 from learnlens.config import Settings
 from learnlens.plans import batch, catalogue, oracle
+from learnlens.plans.boards import Boards
 from learnlens.sources import payloads
 from learnlens.sources.driver_tables import DriverTables
 from learnlens.sources.tables import Warehouse
@@ -20,7 +21,7 @@ def load(spark, warehouse, name, schema, raw):
 
 @pytest.fixture(scope="module")
 def nightly(spark):
-    """The nightly job over the smallest tables, with every message delivered twice."""
+    """The nightly job over the smallest tables."""
     return catalogue._nightly(DriverTables(spark, SMALL))
 
 
@@ -54,6 +55,34 @@ def test_recommendations_are_stored_once_per_user(nightly):
     assert all(r.last_updated for r in rows)
 
 
+def test_boards_over_the_stored_tables(spark, nightly):
+    t = DriverTables(spark, SMALL)
+    boards, sql, duck = Boards(nightly, t.users(), t.problems()), oracle.statements(), connect(SMALL)
+
+    def without_stamp(df):
+        return df.drop("last_updated")
+
+    for df, query in (
+        (boards.heatmap(), "srv_heatmap_top12"),
+        (boards.failure_rollup(), "srv_failure_rollup"),
+        (boards.failure_share(), "srv_failure_share"),
+        (boards.revenue(), "srv_revenue"),
+        (boards.revenue_totals(), "srv_revenue_totals"),
+        (boards.instructors(), "srv_instructors"),
+        (boards.tier_distribution(), "srv_tier_distribution"),
+    ):
+        assert difference(without_stamp(df), sql[query], duck) is None
+    users = nightly.read("user_features").count()
+    assert boards.risk().count() == users
+    assert boards.risk(limit=3).count() == 3
+    assert boards.recommendations().count() == nightly.read("gold_next_problem_recommendations").count()
+    # no stream has run here
+    assert boards.leaderboard().isEmpty() and boards.alerts().isEmpty()
+    assert tuple(boards.alert_counts().first()) == (0, 0)
+    assert tuple(boards.leaderboard_kpis().first()) == (None, 0, 0)
+    assert boards.quick_stats().first().active_users == 0
+
+
 def submission(number, user="u", problem="p", status="Pass", epoch=1704067200.0, ms=5):
     return json.dumps(
         {

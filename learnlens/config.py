@@ -77,6 +77,7 @@ class Settings:
     stream_shuffle_partitions: int = 32
     stream_reset: bool = False
     stream_reset_keeps_tables: bool = False
+    approximate_addresses: bool = False
     compact_every: int = 100
     rules: Rules = field(default_factory=Rules)
     learning: Learning = field(default_factory=Learning)

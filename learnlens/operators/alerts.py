@@ -40,30 +40,39 @@ def activity(submissions: DataFrame) -> DataFrame:
 def burst_windows(events: DataFrame, rules: Rules, approximate: bool = False) -> DataFrame:
     """Submissions, addresses and last event per user and sliding window.
 
-    Batch counts addresses exactly: the planner aggregates by user, window and address before
-    it aggregates by user and window, so partial results are plain numbers and a user with
-    most of the rows is spread over many groups.  A stream cannot count distinct values, so it
-    uses the sketch, under a watermark.
+    Addresses are counted exactly, in batch and in streams alike: first per user, window and
+    address, then per user and window.  All partial results and state rows are plain numbers,
+    and a user with most of the rows is spread over many groups.  ``approximate`` counts them
+    in one step with a sketch instead, which bounds the state of users with very many
+    addresses.  A stream is put under the watermark and emits a window once it is closed.
     """
-    addresses = F.approx_count_distinct if approximate or events.isStreaming else F.count_distinct
     if events.isStreaming:
         events = events.withWatermark("event_time", rules.watermark)
     window = F.window("event_time", rules.burst_window, rules.burst_slide)
-    return (
-        events.groupBy(window, "user_id")
-        .agg(
-            F.count("submission_id").alias("submission_count_30s"),
-            addresses("client_ip").alias("distinct_ip_count"),
+    submissions = "submission_count_30s"
+    if approximate:
+        counted = events.groupBy(window, "user_id").agg(
+            F.count("submission_id").alias(submissions),
+            F.approx_count_distinct("client_ip").alias("distinct_ip_count"),
             F.max("event_time").alias("window_last_event"),
         )
-        .select(
-            "user_id",
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "submission_count_30s",
-            "distinct_ip_count",
-            "window_last_event",
+    else:
+        per_address = events.groupBy(window, "user_id", "client_ip").agg(
+            F.count("submission_id").alias("submissions"),
+            F.max("event_time").alias("last_event"),
         )
+        counted = per_address.groupBy("window", "user_id").agg(
+            F.sum("submissions").alias(submissions),
+            F.count("client_ip").alias("distinct_ip_count"),
+            F.max("last_event").alias("window_last_event"),
+        )
+    return counted.select(
+        "user_id",
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        submissions,
+        "distinct_ip_count",
+        "window_last_event",
     )
 
 

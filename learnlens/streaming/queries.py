@@ -95,7 +95,8 @@ def alert_stream(submission_messages: DataFrame, metric_messages: DataFrame, set
     submissions = payloads.parse(payloads.decode(submission_messages), wanted).withColumn(
         "timestamp", times.whole_second(F.col("timestamp"))
     )
-    windows = alerts.burst_windows(alerts.activity(submissions), rules)
+    events = alerts.activity(submissions)
+    windows = alerts.burst_windows(events, rules, settings.approximate_addresses)
     both = alerts.every_alert(alerts.latency(metrics, rules), alerts.bursts(windows, rules))
     return both.withColumn("triggered_at", F.coalesce("triggered_at", F.current_timestamp()))
 

@@ -74,6 +74,19 @@ def test_the_typed_tables_parse_once(spark, root):
         assert "accepted#" in text.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_daily_tables_are_rebalanced_by_day(spark, root):
+    df = spark.createDataFrame([], schemas.TABLES["silver_submissions"])
+    text = Warehouse(spark, root)._laid_out(df.repartition(3), "silver_submissions")
+    text = text._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in text
+    assert "Sort [day" in text and "timestamp#" in text.split("Sort [day")[1].split("]")[0]
+
+
+def test_address_counts_shuffle_numbers_only(spark):
+    text = plan(spark, "cheat_windows")
+    assert text.count("Exchange") == 2 and "SortAggregate" not in text and "ObjectHash" not in text
+
+
 def test_ratings_are_summed_before_the_join(spark):
     text = plan(spark, "instructor_report_card")
     assert text.index("Join") < text.index("partial_sum(rating_score")

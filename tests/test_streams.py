@@ -4,6 +4,7 @@ from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from learnlens import schemas
 from learnlens.config import Settings
@@ -149,6 +150,40 @@ def test_streams_agree_with_batch_over_closed_windows(spark, settings, topics):
     assert {r.alert_id for r in latency.collect()} == {r.alert_id for r in slow.collect()}
 
 
+def test_the_sketch_agrees_on_few_addresses(spark, settings, topics):
+    topics.add("raw_submissions", submission(1), submission(2, ip="10.10.0.12"), submission(3, second=5))
+    topics.add("raw_submissions", submission(4, "w", second=500))
+    warehouse = run(spark, replace(settings, approximate_addresses=True))
+    found = warehouse.read_alerts().filter("alert_type = 'CHEAT_DETECTED'").collect()
+    assert {r.description for r in found} == {"Window anomaly: submissions_30s=3, distinct_ips=2"}
+    assert burst_starts(warehouse) == [("u", -20), ("u", -10), ("u", 0)]
+
+
+def test_a_failed_write_stops_the_query_and_is_replayed(spark, settings, topics, monkeypatch):
+    topics.add("raw_submissions", submission(1), submission(2, "v"))
+    topics.add("raw_submissions", submission(3))
+    session = stream_session(spark, settings)
+    store, calls = Warehouse.write_changes, []
+
+    def broken(self, df, name, batch_id):
+        store(self, df, name, batch_id)
+        calls.append(batch_id)
+        if calls == [0, 1]:
+            raise OSError("disk went away after the write")
+
+    monkeypatch.setattr(Warehouse, "write_changes", broken)
+
+    def start():
+        messages = event_source(session, settings, "raw_submissions")
+        return streams.start_leaderboard(messages, settings, available_now=True)
+
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination()
+    start().awaitTermination()
+    assert calls == [0, 1, 1]
+    assert board(Warehouse(spark, settings.root)) == {"u": 2, "v": 1}
+
+
 def test_late_rows_count_until_their_window_is_closed(spark, settings, topics):
     def pair(number, user, second):
         return submission(number, user, second=second), submission(number + 1, user, second=second + 1)

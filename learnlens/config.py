@@ -63,6 +63,7 @@ class Settings:
     root: str
     checkpoint_base: str | None = None
     reset_gold: bool = True
+    keep_snapshots: int = 2
     # streams
     source_kind: str = "kafka"
     source_path: str | None = None

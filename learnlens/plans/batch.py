@@ -151,4 +151,6 @@ def run_batch(
             report(gold.instructor_report(ratings, problems), "gold_instructor_report_card")
     if transactions is not None and not transactions.isEmpty():
         report(gold.subscription_revenue(transactions), "gold_subscription_revenue")
+    for name in written:
+        warehouse.expire(name, settings.keep_snapshots)
     return written

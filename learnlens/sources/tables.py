@@ -36,7 +36,9 @@ class Warehouse:
 
     # folders --------------------------------------------------------------------------
 
-    def _numbered(self, folder: str, prefix: str, complete: bool = False) -> list[int]:
+    def _numbered(
+        self, folder: str, prefix: str, complete: bool = False, after: int | None = None
+    ) -> list[int]:
         """Numbers of the ``prefix<number>`` folders below ``folder``, ascending."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -48,6 +50,8 @@ class Warehouse:
             name = status.getPath().getName()
             if not name.startswith(prefix):
                 continue
+            if after is not None and int(name[len(prefix) :]) <= after:
+                continue
             if complete and not fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
                 continue
             found.append(int(name[len(prefix) :]))
@@ -109,9 +113,11 @@ class Warehouse:
         )
 
     def expire(self, name: str, keep: int = 2) -> None:
-        """Drop all but the ``keep`` newest whole snapshots."""
-        for version in self.versions(name)[: -max(keep, 1)]:
-            self._remove(f"{self._table(name)}/{_VERSION}{version}")
+        """Drop all but the ``keep`` newest whole snapshots, and half-written ones before them."""
+        kept = self.versions(name)[-max(keep, 1) :]
+        for version in self._numbered(self._table(name), _VERSION):
+            if kept and version < kept[-1] and version not in kept:
+                self._remove(f"{self._table(name)}/{_VERSION}{version}")
 
     def _laid_out(self, df: DataFrame, name: str) -> DataFrame:
         """Column order, and file layout for partitioned tables.
@@ -205,12 +211,24 @@ class Warehouse:
         return latest_by_key(rows, schemas.TABLE_KEYS[name], order).select(*columns)
 
     def fold_changes(self, name: str, batch_id: int) -> None:
-        """Write the state as of ``batch_id``, so that readers skip the changes before it."""
+        """Write the state as of ``batch_id``, so that readers skip the changes before it.
+
+        The fold before and the changes since then stay, for readers that have just begun.
+        """
         rows = self._changes(name, self.generation()).filter(F.col("batch_id") <= batch_id)
         latest = latest_by_key(rows, schemas.TABLE_KEYS[name], ("batch_id",))
         target = f"{self.stream_path(name)}/base/{_BASE}{batch_id}"
         _sorted(latest, name).write.mode("overwrite").parquet(target)
 
+        folder = self.stream_path(name)
+        folds = self._numbered(f"{folder}/base", _BASE, complete=True)
+        if len(folds) > 1:
+            for old in folds[:-2]:
+                self._remove(f"{folder}/base/{_BASE}{old}")
+            for old in self._numbered(f"{folder}/changes", _BATCH):
+                if old <= folds[-2]:
+                    self._remove(f"{folder}/changes/{_BATCH}{old}")
+
     def _changes(self, name: str, generation: int) -> DataFrame:
         folder = self.stream_path(name, generation)
         stored = StructType([*schemas.TABLES[name].fields]).add("batch_id", LongType())
@@ -219,8 +237,7 @@ class Warehouse:
         # batches are listed one by one only since the last fold, so the list stays short
         recent = [
             f"{folder}/changes/{_BATCH}{number}"
-            for number in self._numbered(f"{folder}/changes", _BATCH, complete=True)
-            if number > since
+            for number in self._numbered(f"{folder}/changes", _BATCH, complete=True, after=since)
         ]
         reader = self.spark.read.schema(stored)
         parts = [reader.parquet(f"{folder}/base/{_BASE}{since}")] if folds else []

@@ -62,6 +62,18 @@ def test_expire_keeps_the_newest(spark, root):
     assert warehouse.versions(SCORES) == [2, 3]
     warehouse.expire(SCORES, keep=0)
     assert stored(warehouse) == [("a", 3)]
+    warehouse.expire("gold_difficulty_heatmap")  # never written
+
+
+def test_expire_takes_half_written_snapshots_along(spark, root, tmp_path):
+    warehouse = Warehouse(spark, root)
+    broken = tmp_path / "warehouse" / SCORES
+    (broken / "version=0").mkdir(parents=True)
+    warehouse.write_snapshot(scores(spark, ("a", 1)), SCORES)
+    (broken / "version=2").mkdir()  # perhaps still being written
+    warehouse.expire(SCORES)
+    assert sorted(p.name for p in broken.iterdir()) == ["version=1", "version=2"]
+    assert stored(warehouse) == [("a", 1)]
 
 
 def silver(spark, *data):
@@ -110,8 +122,16 @@ def test_changes_fold_to_the_newest_row_per_user(spark, root):
     for batch in range(2, 12):  # two-digit numbers order as numbers
         warehouse.write_changes(board(spark, ("b", batch)), name, batch)
     assert current(warehouse) == [("a", 2), ("b", 11)]
+    begun = warehouse.read_current(name)
     warehouse.fold_changes(name, 11)
     assert current(warehouse) == [("a", 2), ("b", 11)]
+    assert begun.count() == 2
+    warehouse.write_changes(board(spark, ("c", 1)), name, 12)
+    warehouse.fold_changes(name, 12)
+    assert current(warehouse) == [("a", 2), ("b", 11), ("c", 1)]
+    folder = warehouse.stream_path(name)
+    assert warehouse._numbered(f"{folder}/base", "as_of=") == [11, 12]
+    assert warehouse._numbered(f"{folder}/changes", "batch_id=") == [12]
 
 
 def test_a_new_generation_starts_empty_and_the_old_stays(spark, root):

@@ -230,7 +230,8 @@ def system_alerts(t: DriverTables) -> DataFrame:
 
 
 def _stream(t: DriverTables) -> tuple[DriverTables, Settings]:
-    settings = Settings(root=new_folder(t.spark, "stream"))
+    width = t.spark.sparkContext.defaultParallelism
+    settings = Settings(root=new_folder(t.spark, "stream"), stream_shuffle_partitions=width)
     return DriverTables(stream_session(t.spark, settings), t.folder), settings
 
 

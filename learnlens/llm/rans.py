@@ -57,13 +57,11 @@ class Frequencies:
             order = np.argsort(-counts, kind="stable")
             if spare >= 0:
                 scaled[order[0]] += spare
-            else:  # what the rare ones were given too much is taken from the common ones
-                for token in order:
+            while spare < 0:  # what rare ones got too much is taken from the common ones
+                for token in order[: int((scaled > 1).sum())]:
                     taken = min(-spare, int(scaled[token]) // 2)
                     scaled[token] -= taken
                     spare += taken
-                    if spare == 0:
-                        break
         self.frequency = scaled.astype(np.uint64)
         ends = np.cumsum(scaled)
         self.start = (ends - scaled).astype(np.uint64)

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from learnlens.llm.tokens import hugging_table
 FILES = [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "blanks")]
 
 
+@cache
 def plain(name):
     tokenizer = Tokenizer.from_file(path(name))
     tokenizer.encode_special_tokens = True

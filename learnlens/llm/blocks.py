@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from learnlens.llm.shared import packed, rows_of, text_rows
+from learnlens.llm.shared import packed, rows_of, squeezed, text_rows, unpacked
 
 PARCEL = "block long, shard int, kind int, ids array<bigint>, lens binary, codes binary, keys binary, nums binary"
 _FIELDS = pa.schema(
@@ -38,7 +38,7 @@ _FIELDS = pa.schema(
 )
 DOCS, KEYS, TABLE = 9, 1, 0  # documents sort behind the answers to their block, tables first
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def parcel(kind: int, block: int | None = None, shard: int | None = None, **columns) -> dict:
@@ -64,12 +64,17 @@ def sharded(keys: list[bytes], shards: int) -> Iterator[tuple[int, np.ndarray]]:
 def key_columns(keys: list[bytes], places: np.ndarray) -> dict:
     own = [keys[i] for i in places.tolist()]
     return {
-        "keys": b"".join(own),
+        "keys": squeezed(b"".join(own)),
         "lens": packed(np.fromiter(map(len, own), np.uint32, len(own))),
-        "codes": packed(places),
+        "codes": packed(np.diff(places, prepend=0)),  # places ascend
     }
 
 
+def places_of(row: dict) -> np.ndarray:
+    """The local numbers that a KEYS parcel is about."""
+    return np.cumsum(unpacked(row["codes"]), dtype=np.int64)
+
+
 class Block:
     """Documents and the local numbers of their words."""
 
@@ -86,6 +91,17 @@ class Block:
         self.ids.append(doc_id)
         self.bytes += size + 64
 
+    def rank(self) -> list[bytes]:
+        """Number the words anew, the commonest first; the words in that order."""
+        count = len(self.numbers)
+        times = np.bincount(np.concatenate(self.codes), minlength=count)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(count, np.uint32)
+        rank[order] = np.arange(count, dtype=np.uint32)
+        self.codes = [rank[codes] for codes in self.codes]
+        words = list(self.numbers)
+        return [words[i] for i in order.tolist()]
+
     def docs(self, block: int) -> dict:
         codes = np.concatenate(self.codes)
         sizes = np.fromiter(map(len, self.codes), np.uint32, len(self.codes))
@@ -96,7 +112,7 @@ def coded(
     documents: DataFrame,
     split: Callable[[str], list[bytes]],
     shards: int,
-    extra: Callable[[Block], Callable[[np.ndarray], dict]] | None = None,
+    extra: Callable[[Block, list[bytes]], Callable[[np.ndarray], dict]] | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The parcels of all documents: DOCS for each block, KEYS for each block and shard.
@@ -110,9 +126,9 @@ def coded(
         block = Block()
 
         def finished() -> Iterator[pa.RecordBatch]:
+            keys = block.rank()
             yield batch_of([block.docs(number)])
-            keys = list(block.numbers)
-            more = extra(block) if extra else lambda places: {}
+            more = extra(block, keys) if extra else lambda places: {}
             for shard, places in sharded(keys, shards):
                 row = parcel(KEYS, number, shard, **key_columns(keys, places)) | more(places)
                 yield batch_of([row])

@@ -299,9 +299,8 @@ def _cluster(pairs: DataFrame, words: int, model: Brown, scratch: Scratch) -> tu
 # 3. and 4. all words, all texts --------------------------------------------------------
 
 
-def _contexts(block: blocks.Block, classes: dict[bytes, int], k: int):
+def _contexts(block: blocks.Block, keys: list[bytes], classes: dict[bytes, int], k: int):
     """KEYS columns: the classes next to each unclustered word in the block's training texts."""
-    keys = list(block.numbers)
     own = np.fromiter((classes.get(w, REST) for w in keys), np.int64, len(keys))
     rare = np.fromiter((w not in classes for w in keys), bool, len(keys))
     train = [c for c, d in zip(block.codes, block.ids, strict=True) if not held_out(d)]
@@ -397,7 +396,7 @@ def _emissions(answers: DataFrame, docs: DataFrame, totals: np.ndarray, tokens:
         places, counts, classes = [], [], []
         for got in own:
             if got["kind"] == blocks.KEYS:
-                places.append(unpacked(got["codes"]))
+                places.append(blocks.places_of(got))
                 counts.append(np.frombuffer(got["lens"], np.int64))
                 classes.append(np.frombuffer(got["nums"], np.uint8))
                 continue
@@ -488,7 +487,7 @@ def score(documents: DataFrame, scratch: Scratch, model: Brown | None = None) ->
             documents,
             _tokens,
             shards,
-            extra=lambda block: _contexts(block, shared.value, k),
+            extra=lambda block, keys: _contexts(block, keys, shared.value, k),
         ),
         "blocks",
         by=["kind"],

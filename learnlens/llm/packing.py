@@ -257,7 +257,7 @@ def pack(
     before = by_block.select(
         "block", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
-    ranked = pieces.join(before, ["block", "length"]).withColumn("rank", F.col("before") + F.col("place"))
+    ranked = pieces.join(before.hint("merge"), ["block", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

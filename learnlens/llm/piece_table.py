@@ -127,7 +127,7 @@ def _joined(documents: DataFrame, scratch: Scratch, path: str, row, fields, ddl:
         places, sizes, ids = [], [], []
         for got in own:
             if got["kind"] == blocks.KEYS:
-                places.append(unpacked(got["codes"]))
+                places.append(blocks.places_of(got))
                 sizes.append(unpacked(got["lens"]))
                 ids.append(unpacked(got["nums"]))
                 continue

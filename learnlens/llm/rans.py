@@ -27,19 +27,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlens.llm.shared import Scratch, packed, text_rows, unpacked, width
+from learnlens.llm.shared import Scratch, expanded, packed, squeezed, text_rows, unpacked, width
 from learnlens.llm.tokens import hugging_table
 
 MAGIC = b"RANS0001"
 BITS = 20
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 SPAN = 1 << 20
 FILE = 1 << 24  # tokens in a file, about
-LANES = 1024
+LANES = 2048
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -192,7 +191,7 @@ class _FileWriter:
 
     def close(self) -> None:
         self.end_span()
-        footer = zstandard.compress(
+        footer = squeezed(
             json.dumps({"table": self.table.crc, "spans": self.spans}).encode()
         )
         tail = np.array([len(footer)], "<u8").tobytes() + np.array([zlib.crc32(footer)], "<u4").tobytes()
@@ -212,7 +211,7 @@ def read_footer(folder: str, name: str) -> dict:
         footer = source.read_at(length, size - _TAIL - length)
         if tail[12:] != MAGIC or zlib.crc32(footer) != np.frombuffer(tail, "<u4", 1, 8)[0]:
             raise ValueError(f"{name} is not a whole file of token ids")
-    return json.loads(zstandard.decompress(footer))
+    return json.loads(expanded(footer))
 
 
 def read_span(folder: str, name: str, span: dict, table: Frequencies) -> Iterator[np.ndarray]:
@@ -238,13 +237,12 @@ def _sorted_ids(documents: DataFrame, scratch: Scratch, encode: Callable, end_id
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encode()
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 doc_ids, texts = (part.column(c).to_pylist() for c in ("doc_id", "text"))
                 where = [0 if d is None else int(np.searchsorted(edges, d, "right")) for d in doc_ids]
-                blobs = [squeeze(packed(np.append(ids, np.uint32(end_id)))) for ids in ids_of(texts)]
+                blobs = [packed(np.append(ids, np.uint32(end_id))) for ids in ids_of(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(where, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary())],
                     names=["part", "doc_id", "ids"],
@@ -260,9 +258,8 @@ def _counts(coded: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        expand = zstandard.ZstdDecompressor().decompress
         for (blob,) in text_rows(batches, "ids"):
-            own = np.bincount(unpacked(expand(blob)))
+            own = np.bincount(unpacked(blob))
             if len(own) > len(total):
                 total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
             total[: len(own)] += own
@@ -293,7 +290,6 @@ def write_ids(documents: DataFrame, scratch: Scratch, tokenizer: str, kind: str,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Frequencies.from_bytes(shared.value)
-        expand = zstandard.ZstdDecompressor().decompress
         writer, done, last = None, [], None
 
         def close():
@@ -307,7 +303,7 @@ def write_ids(documents: DataFrame, scratch: Scratch, tokenizer: str, kind: str,
                 close()
                 writer = None
             writer = writer or _FileWriter(folder, table)
-            writer.add(doc_id, unpacked(expand(blob)))
+            writer.add(doc_id, unpacked(blob))
             last = key
         if writer:
             close()

@@ -6,9 +6,11 @@ import os
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from pathlib import Path
+from threading import local
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,20 +61,42 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_CODEC = local()
+
+
+def squeezed(raw: bytes) -> bytes:
+    if not hasattr(_CODEC, "squeeze"):
+        _CODEC.squeeze = zstandard.ZstdCompressor(level=3).compress
+    return _CODEC.squeeze(raw)
+
+
+def expanded(raw) -> bytes:
+    if not hasattr(_CODEC, "expand"):
+        _CODEC.expand = zstandard.ZstdDecompressor().decompress
+    return _CODEC.expand(raw)
+
+
 def packed(numbers) -> bytes:
-    """Integers below 2**32 as four byte planes, which compress far better than whole words."""
+    """Integers below 2**32, compressed: a byte each, and byte planes of what is beyond."""
     whole = np.ascontiguousarray(numbers, dtype="<u4")
-    return whole.view(np.uint8).reshape(-1, 4).T.tobytes()
+    rest = np.ascontiguousarray(whole[whole >= 255] - np.uint32(255))
+    planes = rest.view(np.uint8).reshape(-1, 4).T
+    count = np.array([len(whole)], "<u8")
+    return squeezed(count.tobytes() + np.minimum(whole, 255).astype(np.uint8).tobytes() + planes.tobytes())
 
 
-def unpacked(planes) -> np.ndarray:
-    whole = np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T
-    return np.ascontiguousarray(whole).view("<u4").ravel()
+def unpacked(raw) -> np.ndarray:
+    raw = expanded(raw)
+    count = int(np.frombuffer(raw, "<u8", 1)[0])
+    whole = np.frombuffer(raw, np.uint8, count, 8).astype("<u4")
+    planes = np.frombuffer(raw, np.uint8, offset=8 + count).reshape(4, -1).T
+    whole[whole == 255] += np.ascontiguousarray(planes).view("<u4").ravel()
+    return whole
 
 
 def cut(blob: bytes, lengths: np.ndarray) -> list[bytes]:
-    """The pieces of ``blob`` that have these lengths."""
-    blob = bytes(blob)
+    """The pieces of a squeezed blob that have these lengths."""
+    blob = expanded(blob)
     ends = np.cumsum(lengths, dtype=np.int64).tolist()
     starts = [0, *ends[:-1]]
     return [blob[a:b] for a, b in zip(starts, ends, strict=True)]

@@ -12,12 +12,13 @@ from __future__ import annotations
 import os
 import re
 from collections import defaultdict
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Sequence
 from itertools import chain, islice
 
 import numpy as np
+import regex
 
-TABLE_LIMIT = 1_000_000
+TABLE_LIMIT = 600_000
 
 # White space as Unicode defines it (White_Space); Python's own class knows four more.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -25,39 +26,63 @@ _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # the last character is left to what follows.
 _WORDS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 _RARE_WHITE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_NEWLINE = ("\n",)
 
+# Of the characters beyond ASCII, all but the letters of Latin-1.
+_STRANGE = re.compile("[\x80-\xbf\xd7\xf7\u0100-\U0010ffff]")
+# Bytes as marks (.), blanks (space) and word characters (a).
+_KINDS = bytes(
+    32 if i in b" \t\n\x0b\x0c\r" else 97 if chr(i).isalnum() or i > 127 else 46 for i in range(256)
+)
 
-def byte_level_chunks(text: str) -> list[Hashable]:
-    """Chunks of a text: a str stands for itself after a space, a 1-tuple for what it holds."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _RARE_WHITE.search(text):
-        return [(piece,) for piece in _WORDS.findall(text)]
-    chunks: list[Hashable] = []
-    for line in text.split("\n"):
-        words: list[Hashable] = line.split(" ")
-        words[0] = (words[0],)
-        chunks += words
-        chunks.append(_NEWLINE)
-    chunks.pop()
-    return chunks
 
+def _lone_marks(text: str, data: bytes) -> bytes | None:
+    """The kinds of the bytes, if no two marks are neighbours: then commas and full stops are
+    words of their own."""
+    if not text.isascii() and _STRANGE.search(text):
+        return None
+    kinds = data.translate(_KINDS)
+    return None if b".." in kinds else kinds
 
-def byte_level_text(chunk: Hashable) -> str:
-    return chunk[0] if type(chunk) is tuple else " " + chunk
 
+def byte_level_marked(text: str) -> str | None:
+    """The text with a space before each chunk.  A chunk stands for itself after a space or, with a
+    zero before it, for itself alone.  None where white space is not so simple."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or _RARE_WHITE.search(text):
+        return None
+    kinds = _lone_marks(text, text.encode())
+    if kinds and kinds[:1] != b"." and b" ." not in kinds:  # marks follow words
+        text = text.replace(".", " \0.").replace(",", " \0,")
+    return "\0" + text.replace("\n", " \0\n \0")
 
-def blank_chunks(text: str) -> list[Hashable]:
-    """For tokenizers that drop white space: cut at ASCII blanks only, the rest is theirs."""
-    return text.encode().split()
+
+def byte_level_chunks(text: str) -> list[str]:
+    line = byte_level_marked(text)
+    return ["\0" + piece for piece in _WORDS.findall(text)] if line is None else line.split(" ")
+
+
+def byte_level_text(chunk: str) -> str:
+    return chunk[1:] if chunk[:1] == "\0" else " " + chunk
+
+
+def blank_chunks(text: str) -> list[bytes]:
+    """For tokenizers that drop case and white space: cut at ASCII blanks only, the rest is theirs."""
+    data = text.encode()
+    if _lone_marks(text, data):
+        data = data.lower().replace(b".", b" .").replace(b",", b" ,")
+    return data.split()
 
 
 class ChunkTable:
-    """Ids of texts, in a task.  ``encode`` gives the ids of each of a list of chunks."""
+    """Ids of texts, in a task.
+
+    ``chunks`` cuts a text; ``encode`` gives how many ids each of a list of chunks has, and all ids
+    in a row.
+    """
 
     def __init__(
         self,
-        encode: Callable[[Sequence[Hashable]], list[list[int]]],
-        chunks: Callable[[str], list[Hashable]],
+        encode: Callable[[Sequence], tuple[np.ndarray, np.ndarray]],
+        chunks: Callable[[str], list],
         limit: int = TABLE_LIMIT,
     ):
         self.encode, self.chunks, self.limit = encode, chunks, limit
@@ -73,17 +98,15 @@ class ChunkTable:
     def _code_fresh(self) -> None:
         fresh = islice(self.numbers, self.coded, None)
         while batch := list(islice(fresh, 10_000)):
-            ids = self.encode(batch)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            sizes, new = self.encode(batch)
             while self.used + len(new) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while self.coded + len(ids) + 1 > len(self.starts):
+            while self.coded + len(sizes) + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.flat[self.used : self.used + len(new)] = new
-            self.starts[self.coded + 1 : self.coded + 1 + len(ids)] = self.used + np.cumsum(sizes)
+            self.starts[self.coded + 1 : self.coded + 1 + len(sizes)] = self.used + np.cumsum(sizes)
             self.used += len(new)
-            self.coded += len(ids)
+            self.coded += len(sizes)
 
     def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Token ids of each text as uint32; a null text is an empty one."""
@@ -92,8 +115,7 @@ class ChunkTable:
         held = 0
         for text in texts:
             chunks = self.chunks(text) if text else []
-            number = self.numbers.__getitem__
-            codes.append(np.fromiter(map(number, chunks), np.int32, len(chunks)))
+            codes.append(np.fromiter(map(self.numbers.__getitem__, chunks), np.int32, len(chunks)))
             held += len(chunks)
             if held > 200_000:
                 out.extend(self._gathered(codes))
@@ -117,7 +139,83 @@ class ChunkTable:
         return parts
 
 
-_TABLES: dict[tuple, ChunkTable] = {}
+# How files that drop white space split text before their merges.  Fixed value.
+_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Printable Latin-1 without white space but a first space: what no normal form changes, and
+# lower() maps one by one.
+_PLAIN = regex.compile(" ?[!-~\xa1-\xac\xae-\xff]+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies have for each byte."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {b: chr(b) for b in printable}
+    for b in range(256):
+        if b not in letters:
+            letters[b] = chr(256 + len(letters) - len(printable))
+    return [letters[b] for b in range(256)]
+
+
+class _Words:
+    """Ids of chunks.  Plain chunks go to the file's merges in bulk, others one by one through the
+    whole tokenizer."""
+
+    def __init__(self, path: str, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.split = regex.compile(_MARKS).findall
+        self.text = bytes.decode if kind == "blanks" else byte_level_text
+        self.plain = self._merged if kind == "blanks" else self._lines
+        self.letters = _byte_letters()
+        newline = self._whole(["\n"])[0]
+        self.newline = newline[0] if len(newline) == 1 else None
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [one.ids for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, texts: list[str]) -> list[list[int]]:
+        """Word by word, in small letters."""
+        split, merge, letters = self.split, self.tokenizer.model.tokenize, self.letters
+        out = []
+        for text in texts:
+            ids: list[int] = []
+            for word in split(text.lower()):
+                if not word.isascii():  # printable ASCII stands for itself
+                    word = "".join([letters[b] for b in word.encode()])
+                ids += [token.id for token in merge(word)]
+            out.append(ids)
+        return out
+
+    def _lines(self, texts: list[str]) -> list[list[int]]:
+        """As lines of one text: a chunk holds no line break, and none joins its neighbours."""
+        if self.newline is None:
+            return self._whole(texts)
+        groups = ["\n".join(texts[i : i + 200]) for i in range(0, len(texts), 200)]
+        out: list[list[int]] = []
+        for one in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
+            ids = one.ids
+            at = 0
+            for _ in range(ids.count(self.newline)):
+                stop = ids.index(self.newline, at)
+                out.append(ids[at:stop])
+                at = stop + 1
+            out.append(ids[at:])
+        return out
+
+    def __call__(self, batch: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = list(map(self.text, batch))
+        easy = [_PLAIN.fullmatch(t) is not None for t in texts]
+        plain = iter(self.plain([t for t, e in zip(texts, easy, strict=True) if e]))
+        others = iter(self._whole([t for t, e in zip(texts, easy, strict=True) if not e]))
+        ids = [next(plain) if e else next(others) for e in easy]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+
+
+_TABLES: dict[str, ChunkTable] = {}
 
 
 def hugging_table(path: str, kind: str) -> ChunkTable:
@@ -127,19 +225,6 @@ def hugging_table(path: str, kind: str) -> ChunkTable:
     special tokens are added, and their strings in a text are ordinary text.
     """
     if path not in _TABLES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        chunks, plain = {
-            "byte_level": (byte_level_chunks, byte_level_text),
-            "blanks": (blank_chunks, bytes.decode),
-        }[kind]
-
-        def encode(batch: Sequence[Hashable]) -> list[list[int]]:
-            texts = [plain(chunk) for chunk in batch]
-            return [one.ids for one in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _TABLES[path] = ChunkTable(encode, chunks)
+        chunks = {"byte_level": byte_level_chunks, "blanks": blank_chunks}[kind]
+        _TABLES[path] = ChunkTable(_Words(path, kind), chunks)
     return _TABLES[path]

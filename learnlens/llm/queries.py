@@ -151,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
                 SELECT DISTINCT doc_id, unnest(CASE
                     WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
                     WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+                    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
                 END) AS s
                 FROM words
             ),

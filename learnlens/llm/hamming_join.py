@@ -88,7 +88,7 @@ class Shingler:
     def _hash(self, word: bytes) -> int:
         value = self.known.get(word)
         if value is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             value = self.known[word] = xxhash.xxh64_intdigest(word)
         return value

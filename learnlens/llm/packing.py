@@ -216,8 +216,12 @@ def pack(
     capacity: int = 1024,
     groups: int = 1024,
     small: int = 64,
+    keep_table: bool = False,
 ) -> DataFrame:
-    """A row per piece: where it is in its document, and in which sequence."""
+    """A row per piece: where it is in its document, and in which sequence.
+
+    ``keep_table``: workers keep their table of chunks for their next task, for more memory.
+    """
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = hugging_table(tokenizer, kind)
@@ -240,6 +244,8 @@ def pack(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)],
                     schema=_PIECE,
                 )
+        if not keep_table:
+            table.clear()
 
     pieces = scratch.stage(
         documents.select("doc_id", "text").mapInArrow(tokenized, _PIECE_DDL), "pieces"

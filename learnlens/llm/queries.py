@@ -76,7 +76,7 @@ def op7_pstable_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(
-        _documents(spark, folder), Scratch(spark, "packing"), tokenizer("byte_bpe_50k.json")
+        _documents(spark, folder), Scratch(spark, "packing"), tokenizer("byte_bpe_50k.json"), keep_table=True
     )
 
 

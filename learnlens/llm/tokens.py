@@ -86,9 +86,9 @@ class ChunkTable:
         limit: int = TABLE_LIMIT,
     ):
         self.encode, self.chunks, self.limit = encode, chunks, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.numbers: defaultdict = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
         self.flat = np.empty(1 << 16, np.uint32)
@@ -135,7 +135,7 @@ class ChunkTable:
         ends = stops[np.cumsum([len(c) for c in codes])]
         parts = np.split(self.flat[place], ends[:-1])
         if len(self.numbers) > self.limit:
-            self._clear()
+            self.clear()
         return parts
 
 

@@ -42,7 +42,12 @@ class Rules:
 
 @dataclass(frozen=True)
 class Learning:
-    """Model parameters.  Fixed values, but for the seed and the block sizes."""
+    """Model parameters.  Fixed values, but for the seed, the buckets and the blocks.
+
+    ``id_buckets`` and the blocks decide which factors start where, so results follow from the data
+    and these values alone, whatever the cluster.  Choose a block per few million
+    ratings: all ratings of a block are the work of one task.
+    """
 
     lr_max_iter: int = 30
     lr_reg_param: float = 0.05
@@ -52,8 +57,9 @@ class Learning:
     als_reg_param: float = 0.08
     als_alpha: float = 1.0
     als_seed: int = 7
-    als_ids_per_block: int = 200_000
-    als_min_blocks: int = 4
+    id_buckets: int = 1024
+    als_user_blocks: int = 16
+    als_item_blocks: int = 16
 
 
 @dataclass(frozen=True)
@@ -73,8 +79,8 @@ class Settings:
     submissions_topic: str = "raw_submissions"
     metrics_topic: str = "system_metrics"
     starting_offsets: str = "latest"
-    fail_on_data_loss: bool = False
-    max_offsets_per_trigger: int = 1200
+    fail_on_data_loss: bool = True
+    max_offsets_per_trigger: int = 0  # no cap
     stream_shuffle_partitions: int = 32
     stream_reset: bool = False
     stream_reset_keeps_tables: bool = False

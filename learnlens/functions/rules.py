@@ -32,9 +32,9 @@ def engagement_score(login_minutes: Column, solved: Column, rules: Rules) -> Col
 
 def dropout_label(fail_rate: Column, login_minutes: Column, solved: Column, rules: Rules) -> Column:
     at_risk = (
-        (solved < rules.label_solved)
+        (fail_rate >= rules.label_fail_rate)
         & (login_minutes < rules.label_login_minutes)
-        & (fail_rate >= rules.label_fail_rate)
+        & (solved < rules.label_solved)
     )
     return F.coalesce(at_risk, F.lit(False)).cast("double")
 
@@ -63,10 +63,11 @@ def performance_tier(solved: Column, fail_rate: Column, rules: Rules) -> Column:
 
 
 def recommended_difficulty(tier: Column) -> Column:
-    steps = F.lit(DIFFICULTY_OF_TIER["EXPERT"])
-    for name in ("INTERMEDIATE", "NOVICE"):
-        steps = F.when(tier == name, DIFFICULTY_OF_TIER[name]).otherwise(steps)
-    return steps
+    return (
+        F.when(tier == "NOVICE", DIFFICULTY_OF_TIER["NOVICE"])
+        .when(tier == "INTERMEDIATE", DIFFICULTY_OF_TIER["INTERMEDIATE"])
+        .otherwise(DIFFICULTY_OF_TIER["EXPERT"])
+    )
 
 
 def latency_text(value: Column) -> Column:

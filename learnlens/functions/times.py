@@ -3,13 +3,14 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_FIRST_SECOND = -62135596800  # 0001-01-01T00:00:00Z
 _LAST_SECOND = 253402300799  # 9999-12-31T23:59:59Z
 
 
 def _usable(epoch: Column) -> Column:
-    # A broken clock (negative, infinite, far future) becomes a null time: one bad message
+    # A broken clock (infinite, beyond the calendar) becomes a null time: one bad message
     # must not overflow and fail the job.
-    return F.when((epoch >= 0) & (epoch <= _LAST_SECOND), epoch)
+    return F.when((epoch >= _FIRST_SECOND) & (epoch <= _LAST_SECOND), epoch)
 
 
 def whole_second(epoch: Column) -> Column:

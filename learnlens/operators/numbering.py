@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, key: str, number: str) -> DataFrame:
+def numbered(df: DataFrame, key: str, number: str, buckets: int) -> DataFrame:
     """Each distinct ``key`` with its own small integer.
 
     ``ml.ALS`` wants int ids.  A label indexer would hold all users on the driver; here a hash
     spreads the keys over buckets, each bucket counts its own keys, and the bucket interleaves
-    the counts: no two buckets share a number and none waits for another.  The same keys
-    always get the same numbers, so a recomputed task agrees with its first run.
+    the counts: no two buckets share a number and none waits for another.  The same keys and
+    ``buckets`` always give the same numbers, whatever the cluster.
     """
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_bucket = Window.partitionBy("_bucket").orderBy(key)
     return (
         df.select(key)

@@ -11,11 +11,6 @@ from learnlens.operators.numbering import numbered
 from learnlens.session import staged
 
 
-def _blocks(ids: DataFrame, learning: Learning) -> int:
-    """More ids, more blocks: a block of factors is the work of one task."""
-    return max(learning.als_min_blocks, -(-ids.count() // learning.als_ids_per_block))
-
-
 def next_problem(interactions: DataFrame, learning: Learning) -> DataFrame:
     """The best problem of every user who passed one; an empty frame when nobody did.
 
@@ -28,8 +23,8 @@ def next_problem(interactions: DataFrame, learning: Learning) -> DataFrame:
             [], "user_id string, recommended_problem_id string, recommendation_score double"
         )
 
-    users = staged(numbered(interactions, "user_id", "user_number"), "als-users")
-    problems = staged(numbered(interactions, "problem_id", "problem_number"), "als-problems")
+    users = staged(numbered(interactions, "user_id", "user_number", learning.id_buckets), "als-users")
+    problems = staged(numbered(interactions, "problem_id", "problem_number", learning.id_buckets), "als-problems")
     ratings = interactions.join(users, "user_id").join(problems, "problem_id")
 
     als = ALS(
@@ -44,8 +39,8 @@ def next_problem(interactions: DataFrame, learning: Learning) -> DataFrame:
         regParam=learning.als_reg_param,
         alpha=learning.als_alpha,
         seed=learning.als_seed,
-        numUserBlocks=_blocks(users, learning),
-        numItemBlocks=_blocks(problems, learning),
+        numUserBlocks=learning.als_user_blocks,
+        numItemBlocks=learning.als_item_blocks,
         checkpointInterval=4,
     )
     model = als.fit(ratings.select("user_number", "problem_number", "rating"))

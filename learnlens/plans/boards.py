@@ -64,7 +64,8 @@ class Boards:
         return serving.recommendation_board(chosen, self.users, self.problems, self._profiles(), limit)
 
     def tier_distribution(self) -> DataFrame:
-        return serving.tier_distribution(self._profiles())
+        chosen = self.warehouse.read("gold_next_problem_recommendations")
+        return serving.tier_distribution(chosen, self._profiles())
 
     def alerts(self, limit: int | None = 50) -> DataFrame:
         return serving.alert_feed(self.warehouse.read_alerts(), self.users, limit)

@@ -360,7 +360,9 @@ def srv_recommendation_board(t: DriverTables) -> DataFrame:
 
 @query
 def srv_tier_distribution(t: DriverTables) -> DataFrame:
-    return serving.tier_distribution(gold.adaptive_profiles(_features(t), RULES))
+    attempts = features.attempts(t.submissions())
+    recommended = gold.interactions(attempts).select("user_id").distinct()  # whoever passed gets one
+    return serving.tier_distribution(recommended, gold.adaptive_profiles(_features(t), RULES))
 
 
 @query

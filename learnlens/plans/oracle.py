@@ -40,16 +40,14 @@ metrics AS (
 _USERS = """
 users AS (
   SELECT 'user_' || c_custkey AS user_id, c_name AS full_name, c_mktsegment AS class_cohort
-  FROM customer WHERE c_acctbal >= 0)"""
+  FROM customer)"""
 
 _PROBLEMS = """
 problems AS (
   SELECT 'prob_' || p_partkey AS problem_id, p_name AS title, p_type AS category,
          CASE WHEN s_suppkey IS NOT NULL THEN 'inst_' || s_suppkey END AS instructor_id,
          s_name AS instructor_name
-  FROM part LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) AS s
-       ON s_suppkey = p_partkey // 20
-  WHERE p_size >= 5)"""
+  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey // 20)"""
 
 _LOGIN = """
 login AS (
@@ -272,7 +270,8 @@ FROM revenue""",
         "srv_instructors": f"""{_with(_PROBLEMS, _INSTRUCTORS)}
 SELECT * FROM instructors ORDER BY avg_rating DESC, instructor_id""",
         "srv_tier_distribution": f"""{features},{_TIERS}
-SELECT performance_tier AS tier, count(*) AS users FROM tiers GROUP BY performance_tier""",
+SELECT performance_tier AS tier, count(*) AS users FROM tiers
+WHERE user_id IN (SELECT user_id FROM submissions WHERE status = 'Pass') GROUP BY performance_tier""",
         "srv_alert_feed": f"""{alerts}
 SELECT alert_id, triggered_at, alert_type, coalesce(full_name, alerts.user_id) AS full_name,
        coalesce(class_cohort, 'Unknown') AS class_cohort, description

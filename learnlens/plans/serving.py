@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnlens.config import Rules
@@ -34,7 +34,7 @@ def leaderboard_kpis(board: DataFrame, users: DataFrame) -> DataFrame:
     leader = F.min_by("user_id", F.struct(-F.col("total_solved"), F.col("user_id")))
     totals = board.agg(
         leader.alias("user_id"),
-        F.count_distinct("user_id").alias("active_users"),
+        F.count("user_id").alias("active_users"),
         F.coalesce(F.sum("total_solved"), F.lit(0)).alias("total_solved"),
     )
     return _named(totals, users).select(
@@ -47,7 +47,7 @@ def quick_stats(board: DataFrame, heatmap: DataFrame, engagement: DataFrame, rul
     low = F.count_if(F.col("engagement_score") < rules.low_engagement)
     parts = [
         board.agg(
-            F.count_distinct("user_id").alias("active_users"),
+            F.count("user_id").alias("active_users"),
             F.sum("total_solved").alias("total_solved"),
         ),
         heatmap.agg(F.avg("fail_rate_pct").alias("avg_fail_rate")),
@@ -83,8 +83,8 @@ def failure_rollup(board: DataFrame, problems: DataFrame) -> DataFrame:
 
 
 def failure_share(board: DataFrame) -> DataFrame:
-    """Each category's part of all failed attempts."""
-    total = board.agg(F.sum("failed_attempts").alias("total")).scalar()
+    """Each category's part of all failed attempts; the total is taken over the few categories."""
+    total = F.sum("failed_attempts").over(Window.partitionBy(F.lit(0)))
     return (
         board.groupBy("category")
         .agg(F.sum("failed_attempts").alias("failed_attempts"))
@@ -160,9 +160,12 @@ def recommendation_board(
     )
 
 
-def tier_distribution(profiles: DataFrame) -> DataFrame:
-    known = profiles.filter(F.col("performance_tier").isNotNull())
-    return known.groupBy(F.col("performance_tier").alias("tier")).agg(F.count("*").alias("users"))
+def tier_distribution(recommended: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Tiers of the users who got a recommendation."""
+    tiers = recommended.select("user_id").join(
+        profiles.select("user_id", "performance_tier"), "user_id", "left"
+    )
+    return tiers.groupBy(R.or_unknown("performance_tier").alias("tier")).agg(F.count("*").alias("users"))
 
 
 def alert_feed(alerts: DataFrame, users: DataFrame, limit: int | None = 50) -> DataFrame:

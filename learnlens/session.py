@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +43,8 @@ def stream_session(spark: SparkSession, settings: Settings) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without one: it gets a folder of its own.
-    """
+    """The folder all executors see: ``spark.checkpoint.dir``, or else what was given to
+    ``setCheckpointDir``.  There is no default."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -55,10 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by the whole cluster")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="learnlens-"))
-    return context.getCheckpointDir().rstrip("/")
+    raise ValueError("spark.checkpoint.dir must name a folder shared by the whole cluster")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

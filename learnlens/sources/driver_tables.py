@@ -2,8 +2,6 @@
 
 Each ``events`` row is one submission and two metrics; customers are users, parts problems,
 suppliers instructors, orders transactions and line items ratings.  Whole tables are used.
-Metadata leaves out customers and suppliers in debt and the smallest parts, so that joins
-meet keys without metadata.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ _SECONDS_PER_EVENT = 0.5
 _DIFFICULTIES = ("Easy", "Medium", "Hard")
 _TIME_LIMITS_MS = (1000, 2000, 5000)
 _PROBLEMS_PER_INSTRUCTOR = 20
-_MIN_PROBLEM_SIZE = 5
 
 
 def _key(prefix: str, number: Column | str) -> Column:
@@ -67,8 +64,7 @@ class DriverTables:
     # metadata -------------------------------------------------------------------------
 
     def users(self) -> DataFrame:
-        registered = self.table("customer").filter(F.col("c_acctbal") >= 0)
-        return registered.select(
+        return self.table("customer").select(
             _key("user_", "c_custkey").alias("user_id"),
             F.col("c_name").alias("full_name"),
             F.col("c_mktsegment").alias("class_cohort"),
@@ -87,9 +83,7 @@ class DriverTables:
     def taught_problems(self) -> DataFrame:
         """Problems with their instructor, where there is one."""
         instructors = (
-            self.table("supplier")
-            .filter(F.col("s_acctbal") >= 0)
-            .select(
+            self.table("supplier").select(
                 "s_suppkey",
                 _key("inst_", "s_suppkey").alias("instructor_id"),
                 F.col("s_name").alias("instructor_name"),
@@ -104,7 +98,7 @@ class DriverTables:
         )
 
     def _catalogue(self) -> DataFrame:
-        return self.table("part").filter(F.col("p_size") >= _MIN_PROBLEM_SIZE)
+        return self.table("part")
 
     def transactions(self) -> DataFrame:
         return self.table("orders").select(

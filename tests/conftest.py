@@ -11,13 +11,15 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "learnlens-tests",
         master="local[8]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
+        spark__sql__warehouse__dir=f"{tmp_path_factory.mktemp('warehouse')}",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -176,8 +176,8 @@ def test_latest_by_key_of_keys_alone(spark):
 
 def test_numbers_are_unique_small_and_repeatable(spark):
     df = spark.createDataFrame([(f"user_{i % 3000}",) for i in range(9000)], "u string")
-    first = {r.u: r.n for r in numbered(df, "u", "n").collect()}
-    again = {r.u: r.n for r in numbered(df.repartition(7), "u", "n").collect()}
+    first = {r.u: r.n for r in numbered(df, "u", "n", 4).collect()}
+    again = {r.u: r.n for r in numbered(df.repartition(7), "u", "n", 4).collect()}
     assert len(first) == 3000 == len(set(first.values()))
     assert first == again
     assert 0 <= min(first.values()) and max(first.values()) < 2 * 3000

@@ -82,6 +82,20 @@ def test_users_of_two_groups_get_problems_of_their_group(spark):
     assert all(r.recommended_problem_id[0] == {"a": "x", "b": "y"}[r.user_id[0]] for r in rows)
 
 
+def test_recommendations_do_not_hang_on_the_shuffle_width(spark):
+    interactions = catalogue.registered()["als_interactions"](spark, SMALL).cache()
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for partitions in ("2", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = recommend.next_problem(interactions, LEARNING).collect()
+            found.append(sorted((r.user_id, r.recommended_problem_id, r.recommendation_score) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert found[0] == found[1] == found[2]
+
+
 def test_nobody_passed(spark):
     df = spark.createDataFrame([], "user_id string, problem_id string, rating double")
     got = recommend.next_problem(df, LEARNING)

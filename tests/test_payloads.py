@@ -41,7 +41,7 @@ def test_day_does_not_depend_on_the_session_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-@pytest.mark.parametrize("epoch", [-1.0, 1e18, float("inf"), float("nan"), None])
+@pytest.mark.parametrize("epoch", [-1e12, 1e18, float("inf"), float("nan"), None])
 def test_a_broken_clock_gives_a_null_time_and_no_error(spark, epoch):
     df = spark.createDataFrame([(epoch,)], "t double")
     row = df.select(

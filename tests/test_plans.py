@@ -44,7 +44,11 @@ def test_scans_read_only_what_is_used(spark):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan(spark, "cheat_windows")
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in plan(spark, "login_minutes")
     assert "ReadSchema: struct<o_totalprice:double,o_orderpriority:string>" in plan(spark, "subscription_revenue")
-    assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThanOrEqual(c_acctbal,0.0)" in plan(spark, "cohort_leaderboard")
+    assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in plan(spark, "cohort_leaderboard")
+
+
+def test_failure_share_reads_its_tables_once(spark):
+    assert plan(spark, "srv_failure_share").count("ReadSchema") == 2
 
 
 def test_small_metadata_is_broadcast_by_its_size_not_by_a_hint(spark):

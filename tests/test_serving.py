@@ -139,9 +139,11 @@ def test_recommendation_board(spark):
     ]
 
 
-def test_tiers_without_a_name_do_not_count(spark):
-    data = profiles(spark, ("a", "NOVICE", "Easy"), ("b", None, None), ("c", "NOVICE", "Easy"))
-    assert [tuple(r) for r in serving.tier_distribution(data).collect()] == [("NOVICE", 2)]
+def test_tiers_are_those_of_recommended_users(spark):
+    data = profiles(spark, ("a", "NOVICE", "Easy"), ("b", "EXPERT", "Hard"), ("c", "NOVICE", "Easy"))
+    recommended = frame(spark, "user_id string", ("a",), ("c",), ("unprofiled",))
+    got = serving.tier_distribution(recommended, data).collect()
+    assert sorted(tuple(r) for r in got) == [("NOVICE", 2), ("Unknown", 1)]
 
 
 def test_alert_feed_and_counts(spark):

@@ -251,12 +251,11 @@ def test_kafka_options():
         "kafka.bootstrap.servers": "localhost:9092",
         "subscribe": "raw_submissions",
         "startingOffsets": "latest",
-        "failOnDataLoss": "false",
-        "maxOffsetsPerTrigger": "1200",
+        "failOnDataLoss": "true",
     }
-    uncapped = Settings(root="x", max_offsets_per_trigger=0, fail_on_data_loss=True, starting_offsets="earliest")
-    assert "maxOffsetsPerTrigger" not in kafka_options(uncapped, "t")
-    assert kafka_options(uncapped, "t")["failOnDataLoss"] == "true"
+    capped = Settings(root="x", max_offsets_per_trigger=1200, fail_on_data_loss=False)
+    assert kafka_options(capped, "t")["maxOffsetsPerTrigger"] == "1200"
+    assert kafka_options(capped, "t")["failOnDataLoss"] == "false"
 
 
 def test_unknown_source(spark, root):

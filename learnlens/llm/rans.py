@@ -281,7 +281,7 @@ def write_ids(documents: DataFrame, scratch: Scratch, tokenizer: str, kind: str,
 
     coded = _sorted_ids(documents, scratch, encode, end_id)
     table = Frequencies(_counts(coded))
-    folder = scratch.path("files")
+    folder = scratch.fresh("files")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/frequencies") as out:

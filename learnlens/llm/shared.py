@@ -39,14 +39,21 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = new_folder(spark, label)
+        self.times: dict[str, int] = {}
         _findable(spark)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """The last folder of this name."""
+        return f"{self.root}/{name}-{self.times.get(name, 0)}"
+
+    def fresh(self, name: str) -> str:
+        """A new folder of this name."""
+        self.times[name] = self.times.get(name, 0) + 1
+        return self.path(name)
 
     def stage(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        (writer.partitionBy(*by) if by else writer).parquet(self.fresh(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -399,5 +399,6 @@ def pages_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    archive(pages, scratch.path("archives"))
-    return pages_of(pages.sparkSession, scratch.path("archives"))
+    folder = scratch.fresh("archives")
+    archive(pages, folder)
+    return pages_of(pages.sparkSession, folder)

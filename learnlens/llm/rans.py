@@ -39,6 +39,7 @@ BLOCK = 1 << 19
 SPAN = 1 << 20
 FILE = 1 << 24  # tokens in a file, about
 LANES = 2048
+COUNTS = -1
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -229,7 +230,8 @@ def read_span(folder: str, name: str, span: dict, table: Frequencies) -> Iterato
 
 
 def _sorted_ids(documents: DataFrame, scratch: Scratch, encode: Callable, end_id: int) -> DataFrame:
-    """``(part, doc_id, ids)`` written in ascending doc_id order within parts."""
+    """``(part, doc_id, ids)`` written in ascending doc_id order within parts; as part COUNTS, how
+    often each token occurs in what a task has read."""
     parts = width(documents.sparkSession)
     shares = [i / parts for i in range(1, parts)]
     edges = documents.select(F.percentile_approx("doc_id", shares, 10_000).alias("e")).first()["e"]
@@ -237,36 +239,48 @@ def _sorted_ids(documents: DataFrame, scratch: Scratch, encode: Callable, end_id
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encode()
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 doc_ids, texts = (part.column(c).to_pylist() for c in ("doc_id", "text"))
                 where = [0 if d is None else int(np.searchsorted(edges, d, "right")) for d in doc_ids]
-                blobs = [packed(np.append(ids, np.uint32(end_id))) for ids in ids_of(texts)]
+                coded = [np.append(ids, np.uint32(end_id)) for ids in ids_of(texts)]
+                total = _added(total, np.bincount(np.concatenate(coded)))
+                blobs = [packed(ids) for ids in coded]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(where, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary())],
                     names=["part", "doc_id", "ids"],
                 )
+        if len(total):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([COUNTS], pa.int32()), pa.array([None], pa.int64()), pa.array([packed(total)])],
+                names=["part", "doc_id", "ids"],
+            )
 
     coded = documents.select("doc_id", "text").mapInArrow(tokenized, "part int, doc_id long, ids binary")
     ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     return scratch.stage(ordered, "ids")
 
 
+def _added(total: np.ndarray, more: np.ndarray) -> np.ndarray:
+    if len(more) > len(total):
+        total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
+    total[: len(more)] += more
+    return total
+
+
 def _counts(coded: DataFrame) -> np.ndarray:
     """How often each token occurs: as many numbers as the vocabulary has, on the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(0, np.int64)
         for (blob,) in text_rows(batches, "ids"):
-            own = np.bincount(unpacked(blob))
-            if len(own) > len(total):
-                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-            total[: len(own)] += own
+            total = _added(total, unpacked(blob).astype(np.int64))
         token = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(total[token])], names=["token", "n"])
 
-    rows = coded.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = coded.filter(f"part = {COUNTS}").select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max((row["token"] for row in rows), default=0), np.int64)
     for row in rows:
         counts[row["token"]] = row["n"]
@@ -315,7 +329,7 @@ def write_ids(documents: DataFrame, scratch: Scratch, tokenizer: str, kind: str,
         )
 
     ddl = "folder string, name string, part int, first long, last long, tokens long"
-    files = scratch.stage(coded.mapInArrow(write, ddl), "manifest")
+    files = scratch.stage(coded.filter(f"part <> {COUNTS}").mapInArrow(write, ddl), "manifest")
     scratch.drop("ids")
     return files
 

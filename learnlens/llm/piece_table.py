@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from learnlens.llm import blocks
-from learnlens.llm.shared import Scratch, cut, packed, unpacked, width
+from learnlens.llm.shared import Scratch, cut, packed, rows_of, unpacked, width
 
 _MARKER = "▁".encode()
 _RUNS = re.compile(rb" +[^ ]*")
@@ -92,7 +92,8 @@ def digests(documents: DataFrame, scratch: Scratch, model: str) -> DataFrame:
 def _joined(documents: DataFrame, scratch: Scratch, path: str, row, fields, ddl: str) -> DataFrame:
     check_model(path)
     shards = width(documents.sparkSession)
-    parcels = scratch.stage(blocks.coded(documents, chunks, shards), "blocks", by=["kind"])
+    # coded texts are the bulk: they are written once, in buckets by block, and stay where they are
+    parcels = scratch.bucketed(blocks.coded(documents, chunks, shards), "blocks", "block", shards, by=["kind"])
     asked = parcels.filter(f"kind = {blocks.KEYS}").select(*_columns(parcels))
 
     def segment(own: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -119,19 +120,20 @@ def _joined(documents: DataFrame, scratch: Scratch, path: str, row, fields, ddl:
                 ]
             )
 
-    answers = blocks.by(asked, "shard", segment)
-    docs = parcels.filter(f"kind = {blocks.DOCS}").select(*_columns(parcels))
+    answers = blocks.by(asked, "shard", segment).select("block", "codes", "lens", "nums")
+    docs = parcels.filter(f"kind = {blocks.DOCS}").select("block", "ids", "lens", "codes")
 
-    def join(own: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    def join(coded: pa.Table, answered: pa.Table) -> pa.Table:
+        """The documents of one block, and the ids of its chunks."""
         end = _model(path).eos_id()
         places, sizes, ids = [], [], []
-        for got in own:
-            if got["kind"] == blocks.KEYS:
-                places.append(blocks.places_of(got))
-                sizes.append(unpacked(got["lens"]))
-                ids.append(unpacked(got["nums"]))
-                continue
-            flat, starts, size, written = _by_place(places, sizes, ids)
+        for got in rows_of(answered.to_batches()):
+            places.append(blocks.places_of(got))
+            sizes.append(unpacked(got["lens"]))
+            ids.append(unpacked(got["nums"]))
+        flat, starts, size, written = _by_place(places, sizes, ids)
+        batches = [_batch([], fields)]
+        for got in rows_of(coded.to_batches()):
             codes = unpacked(got["codes"])
             out, at = [], 0
             for doc_id, count in zip(got["ids"], unpacked(got["lens"]).tolist(), strict=True):
@@ -145,12 +147,12 @@ def _joined(documents: DataFrame, scratch: Scratch, path: str, row, fields, ddl:
                 text = " ".join([*map(written.__getitem__, code.tolist()), str(end)])
                 out.append(row(doc_id, doc, text))
                 if len(out) == 1000:
-                    yield _batch(out, fields)
+                    batches.append(_batch(out, fields))
                     out = []
-            if out:
-                yield _batch(out, fields)
+            batches.append(_batch(out, fields))
+        return pa.Table.from_batches(batches)
 
-    return blocks.by(answers.unionByName(docs), "block", join, ddl)
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, ddl)
 
 
 def _by_place(places, sizes, ids):
@@ -170,8 +172,9 @@ def _by_place(places, sizes, ids):
 
 
 def _batch(rows: list[tuple], fields) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)],
+        [pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)],
         names=[name for name, _ in fields],
     )
 

@@ -18,7 +18,7 @@ from itertools import chain, islice
 import numpy as np
 import regex
 
-TABLE_LIMIT = 600_000
+TABLE_LIMIT = 1_000_000
 
 # White space as Unicode defines it (White_Space); Python's own class knows four more.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -144,6 +144,8 @@ _MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Printable Latin-1 without white space but a first space: what no normal form changes, and
 # lower() maps one by one.
 _PLAIN = regex.compile(" ?[!-~\xa1-\xac\xae-\xff]+")
+# A word that every byte-level pattern leaves whole: letters of ASCII and Latin-1.
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 def _byte_letters() -> list[str]:
@@ -157,8 +159,8 @@ def _byte_letters() -> list[str]:
 
 
 class _Words:
-    """Ids of chunks.  Plain chunks go to the file's merges in bulk, others one by one through the
-    whole tokenizer."""
+    """Ids of chunks.  Words of letters go straight to the file's merges, other plain chunks through
+    the tokenizer in bulk, the rest through it one by one."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -170,6 +172,14 @@ class _Words:
         self.text = bytes.decode if kind == "blanks" else byte_level_text
         self.plain = self._merged if kind == "blanks" else self._lines
         self.letters = _byte_letters()
+        self.spelled = {i: "".join([self.letters[b] for b in chr(i).encode()]) for i in range(128, 256)}
+        # an added token, or a normal form, could make something else of a word of letters
+        added = [token.content.strip() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.straight = (
+            kind == "byte_level"
+            and self.tokenizer.normalizer is None
+            and not any(_LETTERS.fullmatch(content) for content in added)
+        )
         newline = self._whole(["\n"])[0]
         self.newline = newline[0] if len(newline) == 1 else None
 
@@ -205,12 +215,37 @@ class _Words:
             out.append(ids[at:])
         return out
 
+    def _words(self, batch: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-level chunks: a word of letters is one piece of the pattern, so its ids are its merges."""
+        merge, spelled, space = self.tokenizer.model.tokenize, self.spelled, self.letters[32]
+        ids: list[list[int] | None] = []
+        others: list[int] = []
+        for i, chunk in enumerate(batch):
+            word = chunk[1:] if chunk[:1] == "\0" else chunk
+            if not _LETTERS.fullmatch(word):
+                others.append(i)
+                ids.append(None)
+                continue
+            if not word.isascii():
+                word = word.translate(spelled)
+            ids.append([token.id for token in merge(word if chunk[:1] == "\0" else space + word)])
+        for i, own in zip(others, self._mixed([byte_level_text(batch[i]) for i in others]), strict=True):
+            ids[i] = own
+        return self._flat(ids)
+
     def __call__(self, batch: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = list(map(self.text, batch))
+        if self.straight:
+            return self._words(batch)
+        return self._flat(self._mixed(list(map(self.text, batch))))
+
+    def _mixed(self, texts: list[str]) -> list[list[int]]:
         easy = [_PLAIN.fullmatch(t) is not None for t in texts]
         plain = iter(self.plain([t for t, e in zip(texts, easy, strict=True) if e]))
         others = iter(self._whole([t for t, e in zip(texts, easy, strict=True) if not e]))
-        ids = [next(plain) if e else next(others) for e in easy]
+        return [next(plain) if e else next(others) for e in easy]
+
+    @staticmethod
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens import schemas
@@ -20,6 +19,7 @@ from learnlens.sources.tables import Warehouse
 Step = Callable[[DataFrame], DataFrame]
 
 
+
 def silver_submissions(bronze: DataFrame) -> DataFrame:
     """Typed submissions, one row per id: the copy that came last."""
     wanted = schemas.fields_of(
@@ -33,17 +33,21 @@ def silver_submissions(bronze: DataFrame) -> DataFrame:
     return timed.select(*schemas.TABLES["silver_submissions"].names)
 
 
-def silver_metrics(bronze: DataFrame) -> DataFrame:
-    """Typed metrics of known users, one row per id: the copy that came last."""
+def typed_metrics(bronze: DataFrame) -> DataFrame:
+    """Typed metrics, one row per id: the copy that came last, whether or not it names a user."""
     wanted = schemas.fields_of(schemas.METRIC, "user_id", "metric_type", "value", "timestamp")
     parsed = payloads.parse(bronze, wanted, "metric_id", "ingest_timestamp")
     latest = latest_by_key(parsed, ("metric_id",), ("ingest_timestamp",))
-    known = latest.filter(F.col("user_id").isNotNull())
-    return known.withColumn("day", times.utc_day(F.col("timestamp"))).select(
+    return latest.withColumn("day", times.utc_day(F.col("timestamp"))).select(
         *schemas.TABLES["silver_metrics"].names
     )
 
 
+def silver_metrics(bronze: DataFrame) -> DataFrame:
+    """Typed metrics of known users."""
+    return typed_metrics(bronze).filter("user_id IS NOT NULL")
+
+
 def attempt_totals(silver: DataFrame) -> DataFrame:
     return features.total_attempts(features.attempts(silver, "day"), "user_id", "problem_id", "day")
 
@@ -52,41 +56,56 @@ def login_totals(silver: DataFrame) -> DataFrame:
     return features.login_seconds(silver, "user_id", "day")
 
 
-def _on(days: Sequence[date | None]) -> Column:
-    """Rows of these days; ``None`` stands for events without a usable time."""
-    known = F.col("day").isin([d for d in days if d is not None])
-    return known | F.col("day").isNull() if None in days else known
-
-
 def _refresh(
     warehouse: Warehouse,
     ingest_days: Sequence[str] | None,
     bronze: str,
     silver: str,
     typed: Step,
+    wanted: str | None,
     totals: str,
     summed: Step,
 ) -> list[str]:
-    """Bring one silver table and its daily totals up to date; returns the tables written."""
+    """Bring one silver table and its daily totals up to date; returns the tables written.
+
+    The last copy of an id counts, and is then left out if it is not ``wanted``.
+    """
     raw = warehouse.read_bronze(bronze)
     if ingest_days is None:
-        warehouse.write_snapshot(typed(raw), silver)
-        warehouse.write_snapshot(summed(warehouse.read(silver)), totals)
+        warehouse.write_days({silver: lambda _: typed(raw).filter(wanted or "true"), totals: summed})
         return [silver, totals]
 
     arrived = raw.filter(F.col("ingest_day").cast("string").isin([str(d) for d in ingest_days]))
     fresh = staged(typed(arrived), silver)
-    days = [row.day for row in fresh.select("day").distinct().toLocalIterator()]
-    if not days:
+    keys = list(schemas.TABLE_KEYS[silver])
+    stored, ids = warehouse.read(silver), fresh.select(*keys)
+    # an id may have been stored under another day, which then loses it
+    left = stored.select(*keys, "day").join(ids, keys, "left_semi").select("day")
+    days = staged(left.unionByName(fresh.select("day")).distinct(), f"{silver}-days")
+    if days.isEmpty():
         return []
-    stored = warehouse.read(silver).filter(_on(days)).withColumn("_write", F.lit(0))
-    both = stored.unionByName(fresh.withColumn("_write", F.lit(1)))
-    merged = latest_by_key(both, schemas.TABLE_KEYS[silver], ("_write",)).drop("_write")
-    warehouse.overwrite_days(merged, silver)
-    warehouse.overwrite_days(summed(warehouse.read(silver).filter(_on(days))), totals)
+    touched = stored.join(days, stored["day"].eqNullSafe(days["day"]), "left_semi")
+    merged = touched.join(ids, keys, "left_anti").unionByName(fresh.filter(wanted or "true"))
+    warehouse.write_days({silver: lambda _: merged, totals: summed}, days)
     return [silver, totals]
 
 
+def refresh(warehouse: Warehouse, ingest_days: Sequence[str] | None = None) -> list[str]:
+    """Bring typed tables and daily totals up to date, whole or by the days that messages came on."""
+    written = _refresh(
+        warehouse,
+        ingest_days,
+        *("bronze_submissions", "silver_submissions", silver_submissions, None),
+        *("attempt_totals", attempt_totals),
+    )
+    return written + _refresh(
+        warehouse,
+        ingest_days,
+        *("bronze_metrics", "silver_metrics", typed_metrics, "user_id IS NOT NULL"),
+        *("login_totals", login_totals),
+    )
+
+
 def run_batch(
     spark: SparkSession,
     settings: Settings,
@@ -101,24 +120,13 @@ def run_batch(
     it was.
 
     With ``ingest_days`` only the messages that came on those days are parsed, and only the
-    event days they belong to are replaced, so a night costs what the day brought.  This asks
-    that a repeated id keeps its event time, as a replay does; otherwise run without.
+    event days are replaced that they belong to now or belonged to before.  Their copies win over
+    stored ones, so nights are run in the order of their days.
     """
     warehouse = Warehouse(spark, settings.root)
     rules, learning = settings.rules, settings.learning
 
-    written = _refresh(
-        warehouse,
-        ingest_days,
-        *("bronze_submissions", "silver_submissions", silver_submissions),
-        *("attempt_totals", attempt_totals),
-    )
-    written += _refresh(
-        warehouse,
-        ingest_days,
-        *("bronze_metrics", "silver_metrics", silver_metrics),
-        *("login_totals", login_totals),
-    )
+    written = refresh(warehouse, ingest_days)
 
     def report(df: DataFrame, name: str) -> None:
         for key in schemas.TABLE_KEYS[name]:

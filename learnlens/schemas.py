@@ -195,6 +195,14 @@ PARTITION_COLUMNS = {
     "gold_system_alerts": ("alert_type",),
 }
 
+# Tables that are replaced day by day, and the table whose list of days they follow.
+BY_DAY = {
+    "silver_submissions": "silver_submissions",
+    "attempt_totals": "silver_submissions",
+    "silver_metrics": "silver_metrics",
+    "login_totals": "silver_metrics",
+}
+
 BATCH_GOLD = (
     "gold_engagement_scores",
     "gold_difficulty_heatmap",

@@ -2,22 +2,28 @@
 
 A snapshot is written beside the one being read and counts once Spark has put its success
 marker there, so readers always see one whole snapshot and never an empty table.
+
+Tables by day are replaced day by day.  Each write is a version folder with the days it holds; a
+list of days (``days=<number>``) says which version of each day counts, and is written last.  A
+folder is never changed once it is complete, and a day that got no rows is on no list.  Daily
+totals follow the list of the table they are sums of: both change at one moment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from learnlens import schemas
 from learnlens.operators.dedup import latest_by_key
 
 _VERSION, _GENERATION, _CLEARED, _LOAD = "version=", "generation=", "cleared=", "load="
-_BASE, _BATCH = "as_of=", "batch_id="
+_BASE, _BATCH, _DAYS = "as_of=", "batch_id=", "days="
+_LISTED = StructType([StructField("day", DateType()), StructField("version", LongType())])
 
 
 def _sorted(df: DataFrame, name: str) -> DataFrame:
@@ -75,8 +81,9 @@ class Warehouse:
     def read(self, name: str, columns: Sequence[str] = ()) -> DataFrame:
         """The newest whole snapshot; empty when there is none yet."""
         schema = schemas.TABLES[name]
-        done = self.versions(name)
-        if done:
+        if name in schemas.BY_DAY:
+            df = self._read_days(name)
+        elif done := self.versions(name):
             df = self.spark.read.schema(schema).parquet(f"{self._table(name)}/{_VERSION}{done[-1]}")
         else:
             df = self._empty(schema)
@@ -84,11 +91,26 @@ class Warehouse:
 
     def write_snapshot(self, df: DataFrame, name: str) -> None:
         """Replace the table by ``df`` in the stored column order."""
-        started = self._numbered(self._table(name), _VERSION)
-        target = f"{self._table(name)}/{_VERSION}{started[-1] + 1 if started else 0}"
-        self._laid_out(df, name).write.partitionBy(
-            *schemas.PARTITION_COLUMNS.get(name, ())
-        ).parquet(target)
+        if name in schemas.BY_DAY:
+            self.write_days({name: lambda _: df})
+        else:
+            self._write_version(df, name, self._next(name))
+
+    def _next(self, *names: str) -> int:
+        """A number that no folder of these tables has."""
+        used = [
+            number
+            for name in names
+            for prefix in (_VERSION, _DAYS)
+            for number in self._numbered(self._table(name), prefix)
+        ]
+        return max(used, default=-1) + 1
+
+    def _write_version(self, df: DataFrame, name: str, number: int) -> str:
+        target = f"{self._table(name)}/{_VERSION}{number}"
+        partition_by = schemas.PARTITION_COLUMNS.get(name, ())
+        self._laid_out(df, name).write.partitionBy(*partition_by).parquet(target)
+        return target
 
     def upsert(self, df: DataFrame, name: str, order: Sequence[str] = ()) -> None:
         """Merge ``df`` into the table by its key; new rows win over stored ones."""
@@ -98,27 +120,96 @@ class Warehouse:
         latest = latest_by_key(merged, schemas.TABLE_KEYS[name], ("_write", *order))
         self.write_snapshot(latest.select(*columns), name)
 
-    def overwrite_days(self, df: DataFrame, name: str) -> None:
-        """Replace only the partitions that ``df`` holds, inside the newest snapshot."""
-        done = self.versions(name)
-        if not done:
-            self.write_snapshot(df, name)
-            return
-        (
-            self._laid_out(df, name)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*schemas.PARTITION_COLUMNS[name])
-            .parquet(f"{self._table(name)}/{_VERSION}{done[-1]}")
+    # tables by day --------------------------------------------------------------------
+
+    def _lists(self, name: str) -> list[int]:
+        """Numbers of the lists of days that count, the newest last."""
+        own = self._numbered(self._table(name), _DAYS, complete=True)
+        leader = schemas.BY_DAY[name]
+        if leader == name:
+            return own
+        newest = self._lists(leader)
+        return [n for n in own if newest and n <= newest[-1]]
+
+    def _listed(self, name: str, number: int) -> DataFrame:
+        return self.spark.read.schema(_LISTED).parquet(f"{self._table(name)}/{_DAYS}{number}")
+
+    def _read_days(self, name: str) -> DataFrame:
+        schema, folder, lists = schemas.TABLES[name], self._table(name), self._lists(name)
+        if not lists:
+            return self._empty(schema)
+        versions = [n for n in self._numbered(folder, _VERSION, complete=True) if n <= lists[-1]]
+        rows = (
+            self.spark.read.schema(StructType([*schema.fields]).add("version", LongType()))
+            .option("basePath", folder)
+            .parquet(*[f"{folder}/{_VERSION}{n}" for n in versions])
         )
+        live = self._listed(name, lists[-1]).toDF("_day", "_version")
+        own = rows["day"].eqNullSafe(live["_day"]) & (rows["version"] == live["_version"])
+        return rows.join(live, own, "left_semi").select(*schema.names)
+
+    def write_days(
+        self, steps: Mapping[str, Callable[[DataFrame | None], DataFrame]], days: DataFrame | None = None
+    ) -> None:
+        """Replace ``days`` (all without it) of tables that change at one moment, the leader first.
+
+        A step gets the rows that the step before it stored.  Days without rows are gone.
+        """
+        names = list(steps)
+        number, stored = self._next(*names), None
+        for name, step in steps.items():
+            target = self._write_version(step(stored), name, number)
+            stored = self.spark.read.schema(schemas.TABLES[name]).parquet(target)
+        for name in reversed(names):  # the leader's list makes all of them count
+            folder, before = self._table(name), self._lists(name)
+            held = self.spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{_VERSION}{number}")
+            listed = held.select("day").distinct().withColumn("version", F.lit(number).cast("long"))
+            if days is not None and before:
+                old = self._listed(name, before[-1])
+                others = old.join(days, old["day"].eqNullSafe(days["day"]), "left_anti")
+                listed = others.unionByName(listed)
+            listed.coalesce(1).write.parquet(f"{folder}/{_DAYS}{number}")
+
+    def overwrite_days(self, df: DataFrame, name: str) -> None:
+        """Replace the days that ``df`` holds; the others stay."""
+        self.write_days({name: lambda _: df}, df.select("day").distinct())
 
     def expire(self, name: str, keep: int = 2) -> None:
         """Drop all but the ``keep`` newest whole snapshots, and half-written ones before them."""
+        if name in schemas.BY_DAY:
+            self._expire_days(name, keep)
+            return
         kept = self.versions(name)[-max(keep, 1) :]
         for version in self._numbered(self._table(name), _VERSION):
             if kept and version < kept[-1] and version not in kept:
                 self._remove(f"{self._table(name)}/{_VERSION}{version}")
 
+    def _expire_days(self, name: str, keep: int) -> None:
+        """Drop old lists, and the days of each version that no kept list names."""
+        folder, kept = self._table(name), self._lists(name)[-max(keep, 1) :]
+        if not kept:
+            return
+        for number in self._numbered(folder, _DAYS):
+            if number < kept[-1] and number not in kept:
+                self._remove(f"{folder}/{_DAYS}{number}")
+        live = reduce(DataFrame.unionByName, [self._listed(name, n) for n in kept]).distinct()
+        named = {row.version for row in live.select("version").distinct().collect()}  # one per night
+        for version in self._numbered(folder, _VERSION):
+            if version < kept[-1] and version not in named:
+                self._remove(f"{folder}/{_VERSION}{version}")
+            elif version <= kept[-1]:
+                held = self._partitions(f"{folder}/{_VERSION}{version}", "day")
+                used = live.filter(F.col("version") == version).select(F.col("day").cast("string"))
+                current = {row.day or "__HIVE_DEFAULT_PARTITION__" for row in used.toLocalIterator()}
+                for day in held - current:
+                    self._remove(f"{folder}/{_VERSION}{version}/day={day}")
+
+    def _partitions(self, folder: str, column: str) -> set[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [status.getPath().getName() for status in fs.listStatus(path)]
+        return {n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")}
+
     def _laid_out(self, df: DataFrame, name: str) -> DataFrame:
         """Column order, and file layout for partitioned tables.
 

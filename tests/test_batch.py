@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from compare import connect, difference
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from learnlens import schemas
 from learnlens.config import Settings
@@ -192,3 +193,64 @@ def test_a_night_over_the_days_that_came_equals_a_full_rebuild(spark, root):
     batch.run_batch(spark, settings, {})
     assert partial == tables() != before
     assert len(partial["silver_submissions"]) == 13
+
+
+DAY, START = 86400, 1704067200.0
+
+
+def deliver_on(warehouse, name, schema, day, *texts):
+    key = schemas.BRONZE_KEYS[name]
+    rows = payloads.bronze(raw(warehouse.spark, *texts), schema, key)
+    at = F.lit(day).cast("timestamp")
+    warehouse.append_bronze(rows.withColumns({"ingest_timestamp": at, "ingest_day": at.cast("date")}), name)
+
+
+def typed_tables(warehouse):
+    return {n: sorted(map(str, warehouse.read(n).collect())) for n in schemas.BY_DAY}
+
+
+@pytest.fixture()
+def changed(spark, root):
+    """A replay that loses its user, and a replay that moves to another event day."""
+    warehouse = Warehouse(spark, root)
+    deliver_on(
+        warehouse, "bronze_submissions", schemas.SUBMISSION, "2024-02-01",
+        submission(1, epoch=START), submission(2, epoch=START + DAY),
+    )
+    deliver_on(warehouse, "bronze_metrics", schemas.METRIC, "2024-02-01", metric(1, 60), metric(2, 60))
+    batch.refresh(warehouse, ["2024-02-01"])
+    deliver_on(warehouse, "bronze_submissions", schemas.SUBMISSION, "2024-02-02", submission(1, epoch=START + 5 * DAY))
+    deliver_on(warehouse, "bronze_metrics", schemas.METRIC, "2024-02-02", metric(2, 60, user=None))
+    return warehouse
+
+
+def test_a_night_leaves_nothing_of_earlier_copies(changed):
+    batch.refresh(changed, ["2024-02-02"])
+    night = typed_tables(changed)
+    assert [str(r.day) for r in changed.read("silver_submissions").orderBy("day").collect()] == [
+        "2024-01-02",
+        "2024-01-06",  # the day it came from is empty and gone
+    ]
+    assert [r.seconds for r in changed.read("login_totals").collect()] == [60.0]
+    batch.refresh(changed)
+    assert typed_tables(changed) == night
+
+
+def test_a_night_cut_between_two_writes_changes_nothing(changed, monkeypatch):
+    before = typed_tables(changed)
+
+    def fails(_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(batch, "attempt_totals", fails)
+        with pytest.raises(RuntimeError, match="lost"):
+            batch.refresh(changed, ["2024-02-02"])
+    assert typed_tables(changed) == before
+    batch.refresh(changed, ["2024-02-02"])
+    night = typed_tables(changed)
+    for name in schemas.BY_DAY:
+        changed.expire(name, keep=1)
+    assert typed_tables(changed) == night
+    batch.refresh(changed)
+    assert typed_tables(changed) == night != before

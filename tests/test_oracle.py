@@ -5,8 +5,10 @@ from compare import connect, difference
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from learnlens.plans import catalogue, oracle
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES = {name: contract.queries()[name] for name in catalogue.registered()}
+SQL = oracle.statements()
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,7 @@ from learnlens.config import Settings
 from learnlens.functions import times
 from learnlens.operators import dropout, features, gold, recommend
 from learnlens.operators.dedup import latest_by_key
-from learnlens.session import staged
+from learnlens.session import job_folder, staged
 from learnlens.sources import payloads
 from learnlens.sources.tables import Warehouse
 
@@ -116,13 +116,23 @@ def run_batch(
 
     Raw messages are parsed once and submissions are summed once, per user, problem and day;
     features, heatmap and recommender start from these totals.  Every step reads a stored
-    table, so a lost executor repeats one step.  A report whose metadata is missing is left as
-    it was.
+    table, so a lost executor repeats one step; what was staged on the way is removed at the end.  A report whose metadata is
+    missing is left as it was, but for the heatmap, which then has no categories.
 
     With ``ingest_days`` only the messages that came on those days are parsed, and only the
     event days are replaced that they belong to now or belonged to before.  Their copies win over
     stored ones, so nights are run in the order of their days.
     """
+    with job_folder(spark, "nightly"):
+        return _run(spark, settings, dimensions, ingest_days)
+
+
+def _run(
+    spark: SparkSession,
+    settings: Settings,
+    dimensions: Mapping[str, DataFrame],
+    ingest_days: Sequence[str] | None,
+) -> list[str]:
     warehouse = Warehouse(spark, settings.root)
     rules, learning = settings.rules, settings.learning
 
@@ -153,7 +163,10 @@ def run_batch(
 
     problems, ratings = dimensions.get("problems"), dimensions.get("ratings")
     transactions = dimensions.get("transactions")
-    if problems is not None and not problems.isEmpty():
+    if problems is None or problems.isEmpty():
+        nothing = spark.createDataFrame([], "problem_id string, category string")
+        report(gold.difficulty_heatmap(totals, nothing), "gold_difficulty_heatmap")
+    else:
         report(gold.difficulty_heatmap(totals, problems), "gold_difficulty_heatmap")
         if ratings is not None and not ratings.isEmpty():
             report(gold.instructor_report(ratings, problems), "gold_instructor_report_card")

@@ -328,6 +328,8 @@ FROM (SELECT event_id, epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts)
         "stored_failure_rollup": "srv_failure_rollup",
         "stored_instructor_board": "srv_instructors",
         "stored_tier_distribution": "srv_tier_distribution",
+        "restarted_leaderboard": "stream_leaderboard",
+        "restarted_alerts": "stream_alerts",
         "incremental_submissions": "silver_submissions",
         "incremental_metrics": "silver_metrics",
         "incremental_features": "user_features",

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +58,29 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder shared by the whole cluster")
 
 
+_JOB_FOLDER: ContextVar[str | None] = ContextVar("job_folder", default=None)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path (not created yet) below the shared folder."""
-    return f"{shared_dir(spark)}/learnlens/{label}-{uuid.uuid4().hex}"
+    """A fresh path (not created yet) below the shared folder, or below that of the job."""
+    root = _JOB_FOLDER.get() or f"{shared_dir(spark)}/learnlens"
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """What is staged inside goes to one folder, which is removed at the end, failed or not.
+
+    Nothing that is read later may depend on staged tables: store it inside.
+    """
+    folder = new_folder(spark, label)
+    outer = _JOB_FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _JOB_FOLDER.reset(outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

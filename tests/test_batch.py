@@ -1,5 +1,6 @@
 import json
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from compare import connect, difference
@@ -10,6 +11,7 @@ from learnlens import schemas
 from learnlens.config import Settings
 from learnlens.plans import batch, catalogue, oracle
 from learnlens.plans.boards import Boards
+from learnlens.session import shared_dir
 from learnlens.sources import payloads
 from learnlens.sources.driver_tables import DriverTables
 from learnlens.sources.tables import Warehouse
@@ -109,7 +111,13 @@ def test_replays_and_corrections_count_once(spark, root):
     settings, warehouse = Settings(root=root), Warehouse(spark, root)
     first = raw(spark, submission(1), submission(1), submission(2, status="Wrong Answer"), "junk")
     load(spark, warehouse, "bronze_submissions", schemas.SUBMISSION, first)
-    assert "gold_difficulty_heatmap" not in batch.run_batch(spark, settings, {})  # no metadata
+    shared = Path(shared_dir(spark).removeprefix("file:"), "learnlens")
+    there = set(shared.glob("*"))
+    written = batch.run_batch(spark, settings, {})  # no metadata
+    assert set(shared.glob("*")) == there  # what was staged is gone
+    assert "gold_instructor_report_card" not in written
+    heat = warehouse.read("gold_difficulty_heatmap").drop("last_updated").collect()
+    assert [(r.problem_id, r.total_attempts, r.failed_attempts, r.category) for r in heat] == [("p", 2, 1, None)]
     assert scores(warehouse) == {"u": 18}
 
     load(spark, warehouse, "bronze_submissions", schemas.SUBMISSION, raw(spark, submission(2), submission(1)))

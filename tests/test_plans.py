@@ -15,6 +15,9 @@ RUN_JOBS = {  # these train or run streams while they are built
     "dropout_predictions",
     "next_problem_recommendations",
     "nightly_table_counts",
+    "recommendation_checks",
+    "restarted_alerts",
+    "restarted_leaderboard",
     "srv_risk_board",
     "srv_recommendation_board",
     "stream_alerts",

@@ -141,6 +141,21 @@ def test_junk_goes_and_clean_text_stays(spark, scratch):
     assert shares[1] > 0.98 and shares[0] < 0.4
 
 
+def test_named_quantiles_of_documents_outside_the_sample_are_the_bands(spark, scratch):
+    folder, model = "/root/testdata/sf0.1", kneser_ney.Quality()
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    trained = {r["doc_id"]: r["trained"] for r in kneser_ney.trusted_ids(labels, model).collect()}
+    assert 0.2 < np.mean([not t for t in trained.values()]) < 0.3
+    rows = kneser_ney.judged(spark.read.parquet(f"{folder}/documents.parquet"), labels, scratch).collect()
+    own = [r for r in rows if r["lang"] == "en" and trained.get(r["doc_id"]) is False and r["n_chars"]]
+    below, above = (np.mean([f(r) for r in own]) for f in (
+        lambda r: r["log_perplexity"] < r["low"], lambda r: r["log_perplexity"] > r["high"]))
+    assert 0.005 <= below <= model.low and 0.005 <= above <= 1 - model.high
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    kept = {q: [r["kept"] for r in rows if quality.get(r["doc_id"]) == q] for q in (0, 1)}
+    assert np.mean(kept[0]) < 0.09 and np.mean(kept[1]) > 0.97
+
+
 def test_quality_of_awkward_texts(spark, awkward, nothing, scratch):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(4, 9)], "doc_id long, quality int, toxic int")
     kept = kneser_ney.kept_documents(awkward, labels, scratch)

@@ -83,6 +83,8 @@ def perturbations(position: np.ndarray, number: int) -> np.ndarray:
     return np.stack(found)
 
 
+PAIRS = 1 << 15  # scored at once
+
 _FILED = "cell_table int, cell long, kind int, id long, ids array<bigint>, vector binary"
 _NAMES = [c.split()[0] for c in _FILED.split(", ")]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -199,21 +201,24 @@ def _ranked(filed: DataFrame, index: Index, k: int) -> DataFrame:
                     matrix = np.frombuffer(b"".join(e[2] for e in own), np.float64).reshape(len(own), -1)
                     norms = np.linalg.norm(matrix, axis=1)
                     nodes = np.array([e[0] for e in own])
+                    margin = 4 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps  # of rough sums
                     places = np.empty(len(own), object)
                     places[:] = [e[1] for e in own]
                     queries = np.frombuffer(b"".join(vectors[i] for i in rows), np.float64).reshape(len(rows), -1)
                     for at in range(0, len(rows), 512):
                         part = queries[at : at + 512]
                         rough = part @ matrix.T / norms
-                        keep = min(k + 4, len(own))
-                        top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-                        # of the best the exact cosine, summed in one order whatever the group
-                        exact = (part[:, None, :] * matrix[top]).sum(2)
-                        exact /= np.linalg.norm(part, axis=1)[:, None] * norms[top]
+                        length = np.linalg.norm(part, axis=1)
+                        # all that may tie with the last place: what is cut is left to score and id
+                        last = max(len(own) - k - 1, 0)
+                        bar = np.partition(rough, last, axis=1)[:, last] - margin * length
+                        near, entry = np.nonzero(~(rough < bar[:, None]))
                         names = ids[rows[at : at + 512]]
-                        best.add(
-                            np.repeat(names, keep), exact.ravel(), nodes[top].ravel(), places[top].ravel()
-                        )
+                        for first in range(0, len(near), PAIRS):
+                            x, y = near[first : first + PAIRS], entry[first : first + PAIRS]
+                            # the exact cosine, summed in one order whatever the group
+                            exact = (part[x] * matrix[y]).sum(1) / (length[x] * norms[y])
+                            best.add(names[x], exact, nodes[y], places[y])
         query, score, node, place = best.trim()
         for at in range(0, len(query), 50_000):
             some = slice(at, at + 50_000)

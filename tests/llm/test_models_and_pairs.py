@@ -334,6 +334,20 @@ def test_neighbours_with_ties_and_unusable_vectors(spark, scratch):
     assert pstable.nearest(df.limit(0), scratch, F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_neighbours_that_tie_at_several_lengths_go_by_id(spark, scratch):
+    random = np.random.default_rng(9)
+    vectors = random.standard_normal((1000, 16))
+    same = random.permutation(np.arange(1, 1000))[:40]
+    vectors[same] = vectors[0] * 2.0 ** np.arange(-20, 20)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = pstable.Index(tables=1, hashes=1, cell=1000.0, probes=1)  # a single cell
+    found = pstable.nearest(df, scratch, F.col("vec_id") == 0, index=one).collect()
+    got = sorted(found, key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in got] == sorted(same.tolist())[:5]
+    assert len({r["score"] for r in got}) == 1
+
+
 def test_perturbations_come_in_order_of_cost():
     position = np.array([0.1, 0.55, 0.8])
     steps = pstable.perturbations(position, 27)

@@ -36,8 +36,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from learnlens.llm.shared import Scratch, components, free_name, text_rows
 
@@ -137,6 +138,10 @@ def _choices(near: Near) -> list[tuple[int, np.ndarray]]:
 # 1. nodes ------------------------------------------------------------------------------
 
 
+def _name(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def _nodes(documents: DataFrame, near: Near) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seeds = Shingler(near.words), _seeds(near.symbols)
@@ -147,11 +152,10 @@ def _nodes(documents: DataFrame, near: Near) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     own = shingler.shingles(text)
                     sizes.append(len(own))
+                    names.append(_name(own))
                     if len(own):
-                        names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                         signs.append(signature(own, seeds).tobytes())
                     else:
-                        names.append(None)
                         signs.append(None)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -355,7 +359,11 @@ def _sets(documents: DataFrame, wanted: DataFrame, near: Near) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, scratch: Scratch, near: Near | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each document."""
-    near = near or Near()
+    return _judged(documents, scratch, near or Near()).drop("same")
+
+
+def _judged(documents: DataFrame, scratch: Scratch, near: Near) -> DataFrame:
+    """The rows of ``near_duplicates`` with the name of their set, null for an empty one."""
     signed = scratch.stage(_nodes(documents, near), "signed")
     classes = signed.filter("same IS NOT NULL").groupBy("same").agg(
         F.min("doc_id").alias("node"), F.first("signature").alias("signature")
@@ -377,13 +385,46 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, near: Near | None =
     component = F.coalesce("component_id", "doc_id")
     return rows.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        component.eqNullSafe(F.col("doc_id")).alias("kept"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"), "same",
     )
 
 
 def one_of_each(documents: DataFrame, scratch: Scratch, near: Near | None = None) -> DataFrame:
-    """The documents that stand for their group: the smallest doc_id of each."""
-    gone = near_duplicates(documents, scratch, near).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    name = free_name(documents, "gone_id")
-    gone = scratch.stage(gone.filter("NOT kept").select(F.col("doc_id").alias(name)), "gone")
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone[name]), "left_anti")
+    """The documents that stand for their group: the smallest doc_id of each.  Rows that share a doc_id,
+    or have none, are judged one by one, and one of those with equal sets stays."""
+    near = near or Near()
+    rows = scratch.stage(_judged(documents, scratch, near), "judged")
+    name, own = free_name(documents, "gone_id"), free_name(documents, "own_set")
+    ids = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(name)).agg(
+        F.count("*").alias("n"), F.bool_or("kept").alias("kept")
+    )
+    apart = scratch.stage(ids.filter("n > 1 OR NOT kept"), "gone")
+    with_id = documents.filter(documents["doc_id"].isNotNull())
+    single = with_id.join(apart.select(name), documents["doc_id"] == F.col(name), "left_anti")
+
+    shared = with_id.join(apart.filter("kept").select(name), documents["doc_id"] == F.col(name), "left_semi")
+    several = shared.unionByName(documents.filter(documents["doc_id"].isNull()))
+    several = scratch.stage(_named(several, own, near), "several")
+    fit = rows.filter("kept AND same IS NOT NULL").select(F.col("doc_id").alias(name), "same").distinct()
+    stay = several.join(
+        fit, (F.col(own) == F.col("same")) & several["doc_id"].eqNullSafe(F.col(name)), "left_semi"
+    )
+    place = free_name(documents, "place")
+    first = Window.partitionBy("doc_id", own).orderBy("text")
+    stay = stay.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
+    empty = several.filter(F.col(own).isNull())
+    return single.unionByName(stay.unionByName(empty).drop(own))
+
+
+def _named(documents: DataFrame, name: str, near: Near) -> DataFrame:
+    """The rows with the name of their set."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(near.words)
+        for batch in batches:
+            names = [_name(shingler.shingles(text)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(names, pa.binary())], names=[*batch.schema.names, name]
+            )
+
+    return documents.mapInArrow(named, StructType([*documents.schema.fields, StructField(name, BinaryType())]))

@@ -274,6 +274,14 @@ def test_near_duplicates_of_awkward_texts(awkward, nothing, scratch):
     assert hamming_join.near_duplicates(nothing, scratch).collect() == []
 
 
+def test_one_row_stays_of_repeated_rows_and_of_rows_without_an_id(spark, scratch):
+    a, b, c, d = (" ".join(f"{letter}{i}" for i in range(30)) for letter in "abcd")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (4, d), (4, c), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, hamming_join.one_of_each(df, scratch).collect()), key=str)
+    assert kept == sorted([(1, a), (None, b), (3, c), (4, d), (None, None), (None, "")], key=str)
+
+
 def test_the_pigeonhole_holds():
     near = hamming_join.Near()
     choices = hamming_join._choices(near)

@@ -72,6 +72,31 @@ def blank_chunks(text: str) -> list[bytes]:
     return data.split()
 
 
+def around_added(added: dict[str, int], chunks: Callable[[str], list]) -> Callable[[str], list]:
+    """``chunks`` of what lies between the strings of added tokens, and the ids of these.
+
+    The library finds added tokens first, the longest at a place, and treats what is between them as
+    texts of their own.
+    """
+    if not added:
+        return chunks
+    longest_first = sorted(added, key=len, reverse=True)
+    found = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
+
+    def cut(text: str) -> list:
+        if not found.search(text):
+            return chunks(text)
+        out: list = []
+        for number, part in enumerate(found.split(text)):
+            if number % 2:
+                out.append(added[part])
+            elif part:
+                out += chunks(part)
+        return out
+
+    return cut
+
+
 class ChunkTable:
     """Ids of texts, in a task.
 
@@ -148,7 +173,7 @@ _PLAIN = regex.compile(" ?[!-~\xa1-\xac\xae-\xff]+")
 _LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable character that byte-level vocabularies have for each byte."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letters = {b: chr(b) for b in printable}
@@ -160,18 +185,26 @@ def _byte_letters() -> list[str]:
 
 class _Words:
     """Ids of chunks.  Words of letters go straight to the file's merges, other plain chunks through
-    the tokenizer in bulk, the rest through it one by one."""
+    the tokenizer in bulk, the rest through it one by one.
+
+    ``as_text``: strings of added tokens are ordinary text.  Else they are these tokens, as the
+    library has it by default, and ``added`` has them: they come as ids in place of chunks.
+    """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = as_text
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        self.added = {} if as_text else {token.content: i for i, token in tokens.items()}
+        if not as_text and any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
+            raise ValueError("added tokens that look at what is around them are not supported")
         self.split = regex.compile(_MARKS).findall
         self.text = bytes.decode if kind == "blanks" else byte_level_text
         self.plain = self._merged if kind == "blanks" else self._lines
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.spelled = {i: "".join([self.letters[b] for b in chr(i).encode()]) for i in range(128, 256)}
         # an added token, or a normal form, could make something else of a word of letters
         added = [token.content.strip() for token in self.tokenizer.get_added_tokens_decoder().values()]
@@ -233,7 +266,12 @@ class _Words:
             ids[i] = own
         return self._flat(ids)
 
-    def __call__(self, batch: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, batch: Sequence) -> tuple[np.ndarray, np.ndarray]:
+        if self.added and any(isinstance(chunk, int) for chunk in batch):
+            own = {i: chunk for i, chunk in enumerate(batch) if isinstance(chunk, int)}
+            sizes, flat = self([chunk for chunk in batch if not isinstance(chunk, int)])
+            rest = iter(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+            return self._flat([[own[i]] if i in own else next(rest).tolist() for i in range(len(batch))])
         if self.straight:
             return self._words(batch)
         return self._flat(self._mixed(list(map(self.text, batch))))
@@ -250,16 +288,19 @@ class _Words:
         return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
 
 
-_TABLES: dict[str, ChunkTable] = {}
+_TABLES: dict[tuple, ChunkTable] = {}
 
 
-def hugging_table(path: str, kind: str) -> ChunkTable:
+def hugging_table(path: str, kind: str, as_text: bool = False, limit: int = TABLE_LIMIT) -> ChunkTable:
     """The chunk table of a ``tokenizers`` file, one in each Python worker.
 
     ``kind``: ``byte_level`` or ``blanks``, how the file's own pattern treats white space.  No
-    special tokens are added, and their strings in a text are ordinary text.
+    special tokens are added.  Their strings in a text are these tokens, as the library has it, or
+    with ``as_text`` ordinary text.
     """
-    if path not in _TABLES:
+    key = (path, as_text, limit)
+    if key not in _TABLES:
         chunks = {"byte_level": byte_level_chunks, "blanks": blank_chunks}[kind]
-        _TABLES[path] = ChunkTable(_Words(path, kind), chunks)
-    return _TABLES[path]
+        words = _Words(path, kind, as_text)
+        _TABLES[key] = ChunkTable(words, around_added(words.added, chunks), limit)
+    return _TABLES[key]

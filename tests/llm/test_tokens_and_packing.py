@@ -20,7 +20,6 @@ FILES = [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "blanks")]
 @cache
 def plain(name):
     tokenizer = Tokenizer.from_file(path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -43,6 +42,25 @@ def test_chunked_ids_of_any_white_space(name, kind, text):
     assert hugging_table(path(name), kind).ids([text])[0].tolist() == plain(name)(text)
 
 
+ADDED = ["<|endoftext|>", "<|startoftext|>"]
+
+
+@pytest.mark.parametrize("name,kind", FILES)
+@given(parts=st.lists(st.sampled_from([*ADDED, " ", "one", "'s", "\n", "É", "<|", "end", "."]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_added_tokens_are_found_where_the_library_finds_them(name, kind, parts):
+    text = "".join(parts)
+    assert hugging_table(path(name), kind).ids([text])[0].tolist() == plain(name)(text)
+
+
+def test_added_tokens_can_be_ordinary_text():
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "a <|endoftext|><|endoftext|> b"]
+    table = hugging_table(path("byte_bpe_50k.json"), "byte_level", as_text=True)
+    assert [x.tolist() for x in table.ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_full_table_starts_anew():
     table = hugging_table(path("byte_bpe_50k.json"), "byte_level")
     limit, table.limit = table.limit, 3

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens.llm import (
+    alignment,
     brown,
     hamming_join,
+    hard_negatives,
     kneser_ney,
     line_runs,
+    merge_automaton,
     packing,
     piece_table,
     pstable,
@@ -91,6 +94,27 @@ def op10_rans_ids(spark: SparkSession, folder: str) -> DataFrame:
     return rans.read_ids(files)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    asks = F.col("vec_id") % 100 == 0
+    return hard_negatives.mine(_table(spark, folder, "embeddings"), Scratch(spark, "negatives"), asks, moved)
+
+
+def op12_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_automaton.digests(
+        _documents(spark, folder), Scratch(spark, "automaton"), tokenizer("word_bpe_49k.json")
+    )
+
+
+def op13_pair_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(
+        _documents(spark, folder),
+        Scratch(spark, "alignment"),
+        tokenizer("byte_bpe_50k.json"),
+        tokenizer("piece_bpe_32k.model"),
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -105,6 +129,9 @@ def registered() -> dict[str, Query]:
             op8_linear_grouping,
             op9_warc_round_trip,
             op10_rans_ids,
+            op11_hard_negatives,
+            op12_merge_automaton,
+            op13_pair_counts,
         )
     }
 
@@ -190,4 +217,29 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
             FROM payloads p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 1000
         """,
+        "op11_hard_negatives": """
+            WITH vectors AS (
+                SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ),
+            scored AS (
+                SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+                    CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+                FROM vectors a JOIN vectors r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+            ),
+            positives AS (
+                SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+            )
+            SELECT p.anchor_id, positive_id,
+                CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+                    AS INTEGER) AS rank,
+                n.vec_id AS negative_id, positive_score, n.score AS negative_score
+            FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+                AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+            QUALIFY rank <= 10
+        """,
     }

@@ -127,5 +127,68 @@ def test_a_run_is_read_without_a_shuffle(spark, scratch):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def filled(spark, scratch, runs, buckets=4, fanout=9):
+    store = line_runs.LineRuns(spark, scratch.fresh("runs"), buckets, fanout)
+    for i in range(runs):
+        rows = [(f"k{j}".encode(), i) for j in range(20 * i, 20 * i + 50)]
+        store.ingest(spark.createDataFrame(rows, "key binary, owner long"))
+    return store
+
+
+def test_runs_are_merged_and_looked_up_without_a_shuffle_or_a_sort(spark, scratch):
+    store = filled(spark, scratch, 2)
+    one, other = store.runs()
+    plan = plan_of(store.merged(one, other))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+    lines = store.store(store.dealt(store.owners().selectExpr("owner", "1L AS mark", "key")))
+    plan = plan_of(line_runs.owned(store, lines, store.compact()))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+
+
+def test_only_the_batch_is_sorted_for_an_anti_join(spark, scratch):
+    store = filled(spark, scratch, 2)
+    lines = store.store(store.dealt(store.owners().selectExpr("owner", "1L AS mark", "key")))
+    plan = plan_of(store.unseen(store.table(lines).groupBy("key").min("owner")))
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and plan.count("Sort ") <= 1
+
+
+@pytest.mark.parametrize("tasks", [8, 211])
+def test_a_run_is_one_file_a_bucket(spark, scratch, tasks):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        store = line_runs.LineRuns(spark, scratch.fresh("runs"), buckets=8)
+        rows = spark.range(5000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS key", "id AS owner")
+        for part in range(3):
+            store.ingest(rows.filter(f"id % 3 = {part}"))
+        for run in store.runs():
+            assert len(store.table(run).inputFiles()) == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_merged_runs_leave_nothing_behind(spark, scratch):
+    before = {t.name for t in spark.catalog.listTables()}
+    store = filled(spark, scratch, 4, fanout=2)
+    folder = spark._jvm.java.io.File(store.root.removeprefix("file:"))
+    assert len(store.runs()) == len(folder.list()) == len(store.paths) == 1
+    store.remove()
+    assert len(folder.list()) == 0
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_line_in_most_documents_and_many_rows_without_an_id(spark, scratch):
+    common = "this line is in nearly every document"
+    rows = [(i, f"{common}\nthe own line of document {i}\nx") for i in range(300)]
+    rows += [(None, f"{common}\nanother line number {i}") for i in range(50)] + [(None, f"{common}\nanother line number 7")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_runs.deduplicate(table, scratch, batches=3, buckets=4)
+    assert result(got) == by_key(plain_dedup(rows))
+
+
 def test_sql_is_given_for_lines():
     assert "op4_line_runs" in oracle_sql()

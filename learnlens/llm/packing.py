@@ -5,13 +5,13 @@ a number from 1 to ``capacity``, so the table of counts per length is of fixed s
 documents there are, and the plan is made from that table alone:
 
 1. large lengths are dealt, longest first, into groups of equal cardinality, and every length in a
-   group is rounded up to the longest of it;
-2. configurations of these few sizes are chosen one after another: the largest size left is
-   completed by the subset of the others that fills the sequence best, and the configuration
-   is used as often as the counts allow;
-3. the documents of a group, in order of length, take the places of their rounded sizes; each run of
-   sequences that got the same lengths keeps its true free space;
-4. small lengths, longest first, go by best fit into the free space that is left, then into new
+   group is rounded up to the longest of it, so there are few sizes;
+2. configurations of these sizes are optimised: a linear program over all configurations that fit, solved
+   by column generation (a bounded knapsack over the dual values gives the next column), and each
+   is used as often as the solution, rounded down, says;
+3. documents take the places of the rounded sizes: the longest left that is no longer than the size, and in
+   the last place the longest large ones that fit; a run of sequences that got the same lengths is one step;
+4. what is left, and all small ones, go longest first by best fit into the free space, then into new
    sequences.
 
 The plan is a list of runs: ranks of a length, and the sequences and offsets they go to.  Pieces
@@ -25,7 +25,7 @@ rows with equal doc_ids are separate documents; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,80 +50,73 @@ class Run(NamedTuple):
     offset: int
 
 
-class _Ranks:
-    """Hands out the ranks of a group, longest first, as (length, first rank, number)."""
-
-    def __init__(self, parts: list[tuple[int, int, int]]):
-        self.parts = parts
-
-    def take(self, number: int) -> list[tuple[int, int, int]]:
-        taken = []
-        while number:
-            length, first, there = self.parts[0]
-            used = min(there, number)
-            taken.append((length, first, used))
-            if used == there:
-                self.parts.pop(0)
-            else:
-                self.parts[0] = (length, first + used, there - used)
-            number -= used
-        return taken
-
-
-def _grouped(counts: dict[int, int], groups: int) -> tuple[list[int], list[int], list[_Ranks]]:
-    """Sizes (rounded up), cardinalities and members of the groups."""
-    total = sum(counts.values())
-    share = -(-total // groups) if total else 1
-    sizes, numbers, members = [], [], []
-    parts: list[tuple[int, int, int]] = []
-    room = share
+def _grouped(counts: dict[int, int], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, rounded up within groups of equal cardinality, and how many pieces have each."""
+    share = -(-sum(counts.values()) // groups)
+    demand: dict[int, int] = {}
+    room, size = 0, 0
     for length in sorted(counts, reverse=True):
-        first, left = 0, counts[length]
+        left = counts[length]
         while left:
+            if not room:
+                room, size = share, length
             used = min(left, room)
-            parts.append((length, first, used))
-            first, left, room = first + used, left - used, room - used
-            if room == 0:
-                sizes.append(parts[0][0])
-                numbers.append(share)
-                members.append(_Ranks(parts))
-                parts, room = [], share
-    if parts:
-        sizes.append(parts[0][0])
-        numbers.append(share - room)
-        members.append(_Ranks(parts))
-    return sizes, numbers, members
-
-
-def _fill(sizes: list[int], left: list[int], begin: int, room: int) -> dict[int, int]:
-    """Group -> number: the subset of groups from ``begin`` on that fills ``room`` best."""
-    mask = (1 << (room + 1)) - 1
-    reached, before = 1, []
-    for group in range(begin, len(sizes)):
-        size = sizes[group]
-        if left[group] and size <= room:
-            before.append((group, reached))
-            for _ in range(min(left[group], room // size)):
-                more = (reached | reached << size) & mask
-                if more == reached:
-                    break
-                reached = more
-            if reached >> room & 1:
-                break
-    filled = reached.bit_length() - 1
-    used: dict[int, int] = {}
-    for group, without in reversed(before):
-        while not without >> filled & 1:
-            filled -= sizes[group]
-            used[group] = used.get(group, 0) + 1
-    return used
-
-
-def plan(counts: dict[int, int], capacity: int, groups: int = 1024, small: int = 64) -> list[Run]:
+            demand[size] = demand.get(size, 0) + used
+            left, room = left - used, room - used
+    return np.array(list(demand), np.int64), np.array(list(demand.values()), np.float64)
+
+
+def _fullest(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable configuration, with at most ``most`` of each size."""
+    best, steps = np.zeros(capacity + 1), []
+    for group in range(len(sizes)):
+        left, taken = int(min(most[group], capacity // sizes[group])), 1
+        while left > 0 and values[group] > 1e-12:
+            number = min(taken, left)
+            wide = number * int(sizes[group])
+            more = best[: capacity + 1 - wide] + number * values[group]
+            better = more > best[wide:] + 1e-12
+            best[wide:] = np.where(better, more, best[wide:])
+            steps.append((group, number, wide, better))
+            left, taken = left - number, 2 * taken
+    chosen, room = np.zeros(len(sizes), np.int64), capacity
+    for group, number, wide, better in reversed(steps):
+        if room >= wide and better[room - wide]:
+            chosen[group] += number
+            room -= wide
+    return float(best[capacity]), chosen
+
+
+def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000):
+    """Configurations, and how often the linear program uses each: the demand is met by the fewest sequences."""
+    start = np.minimum(capacity // sizes, demand)
+    columns = np.diag(start).astype(np.int64)
+    inverse, uses = np.diag(1 / start), demand / start
+    for _ in range(rounds):  # every round is a better plan, so it may end at any of them
+        value, column = _fullest(sizes, inverse.sum(0), demand, capacity)
+        if value <= 1 + 1e-6:
+            break
+        along = inverse @ column
+        ratio = np.where(along > 1e-9, uses / np.where(along > 1e-9, along, 1), np.inf)
+        leaves = int(np.argmin(ratio))
+        uses = np.maximum(uses - ratio[leaves] * along, 0)
+        uses[leaves] = ratio[leaves]
+        columns[:, leaves] = column
+        row = inverse[leaves] / along[leaves]
+        inverse = inverse - np.outer(along, row)
+        inverse[leaves] = row
+    return columns.T, uses
+
+
+def plan(counts: dict[int, int], capacity: int, groups: int = 100, small: int = 128) -> list[Run]:
     """Runs that place every piece of the table ``length -> number``."""
     runs: list[Run] = []
     free: dict[int, list[tuple[int, int]]] = {}  # free space -> (first sequence, number)
     levels: list[int] = []
+    left = np.zeros(capacity + 1, np.int64)
+    for length, number in counts.items():
+        left[length] = number
+    ranks = np.zeros(capacity + 1, np.int64)
     made = 0
 
     def leave(space: int, sequence: int, number: int) -> None:
@@ -132,56 +125,66 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 1024, small: int =
                 insort(levels, space)
             free.setdefault(space, []).append((sequence, number))
 
-    if counts.get(capacity):
-        runs.append(Run(capacity, 0, counts[capacity], 0, 1, 0))
-        made = counts[capacity]
-
-    large = {n: c for n, c in counts.items() if small < n < capacity and c}
-    sizes, left, members = _grouped(large, groups)
-    for anchor in range(len(sizes)):
-        while left[anchor]:
-            left[anchor] -= 1
-            used = _fill(sizes, left, anchor, capacity - sizes[anchor])
-            left[anchor] += 1
-            used[anchor] = used.get(anchor, 0) + 1
-            times = min(left[group] // n for group, n in used.items())
-            slots = []
-            for group, n in sorted(used.items()):
-                left[group] -= n * times
-                slots.extend(members[group].take(times) for _ in range(n))
-            done = 0
-            while done < times:  # as far as all slots keep their lengths
-                number = min(slot[0][2] for slot in slots)
+    def take(length: int, number: int, sequence: int, each: int, offset: int) -> None:
+        runs.append(Run(length, int(ranks[length]), number, sequence, each, offset))
+        ranks[length] += number
+        left[length] -= number
+
+    def longest(limit: int) -> int:
+        """The longest large piece left."""
+        there = np.flatnonzero(left[small + 1 : limit + 1])
+        return small + 1 + int(there[-1]) if len(there) else 0
+
+    def filled(slots: list[int]) -> list[int]:
+        """The lengths of one sequence: taken from what is left, and put back."""
+        lengths, space = [], capacity
+        for size in [*(min(s, capacity) for s in slots[:-1]), capacity]:
+            while length := longest(min(size, space)):
+                lengths.append(length)
+                left[length] -= 1
+                space -= length
+                if size < capacity:
+                    break
+        for length in lengths:
+            left[length] += 1
+        return lengths
+
+    if left[capacity]:
+        made = int(left[capacity])
+        take(capacity, made, 0, 1, 0)
+
+    large = {n: int(left[n]) for n in range(small + 1, capacity) if left[n]}
+    if large:
+        sizes, demand = _grouped(large, groups)
+        configurations, uses = _configurations(sizes, demand, capacity)
+        for chosen in np.argsort(-uses, kind="stable"):
+            times = int(uses[chosen] + 1e-6)
+            slots = sorted(np.repeat(sizes, configurations[chosen]).tolist(), reverse=True)
+            while times and (lengths := filled(slots)):
+                number = min(times, *(int(left[n]) // lengths.count(n) for n in lengths))
                 offset = 0
-                for slot in slots:
-                    length, first, there = slot[0]
-                    runs.append(Run(length, first, number, made + done, 1, offset))
+                for length in lengths:
+                    take(length, number, made, 1, offset)
                     offset += length
-                    if there == number:
-                        slot.pop(0)
-                    else:
-                        slot[0] = (length, first + number, there - number)
-                leave(capacity - offset, made + done, number)
-                done += number
-            made += times
-
-    for length in sorted((n for n in counts if n <= small and n < capacity), reverse=True):
-        first, rest = 0, counts[length]
-        while rest:
-            space = next((s for s in levels if s >= length), None)
-            if space is None:
+                leave(capacity - offset, made, number)
+                made, times = made + number, times - number
+
+    for length in np.flatnonzero(left)[::-1].tolist():
+        while rest := int(left[length]):
+            at = bisect_left(levels, length)
+            if at == len(levels):
                 number = -(-rest // (capacity // length))
                 leave(capacity, made, number)
                 made += number
                 continue
+            space = levels[at]
             sequence, number = free[space].pop()
             if not free[space]:
                 del free[space]
-                levels.remove(space)
+                levels.pop(at)
             each = min(space // length, rest)
             times = min(number, rest // each)
-            runs.append(Run(length, first, each * times, sequence, each, capacity - space))
-            first, rest = first + each * times, rest - each * times
+            take(length, each * times, sequence, each, capacity - space)
             leave(space - each * length, sequence, times)
             leave(space, sequence + times, number - times)
     return runs
@@ -214,8 +217,8 @@ def pack(
     kind: str = "byte_level",
     end_id: int = 2,
     capacity: int = 1024,
-    groups: int = 1024,
-    small: int = 64,
+    groups: int = 100,
+    small: int = 128,
     keep_table: bool = False,
 ) -> DataFrame:
     """A row per piece: where it is in its document, and in which sequence.
@@ -259,9 +262,17 @@ def pack(
     }
     placed = _lookup(plan(counts, capacity, groups, small))
 
-    earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_block.select(
-        "block", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    # blocks of a task follow each other: sums over tasks, then within each
+    task, none = F.shiftright("block", 32).alias("task"), F.lit(0)
+    before_it = (Window.unboundedPreceding, -1)
+    by_task = by_block.groupBy("length", task).agg(F.sum("n").alias("n"))
+    tasks = Window.partitionBy("length").orderBy("task").rowsBetween(*before_it)
+    begun = by_task.select("length", "task", F.coalesce(F.sum("n").over(tasks), none).alias("begun"))
+    blocks = Window.partitionBy("length", "task").orderBy("block").rowsBetween(*before_it)
+    before = (
+        by_block.withColumn("task", task)
+        .join(begun, ["length", "task"])
+        .select("block", "length", (F.col("begun") + F.coalesce(F.sum("n").over(blocks), none)).alias("before"))
     )
     ranked = pieces.join(before.hint("merge"), ["block", "length"]).withColumn("rank", F.col("before") + F.col("place"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -1,6 +1,7 @@
 """Token ids, packing and coded id files."""
 
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import cache
 
@@ -136,6 +137,37 @@ def test_plan_places_every_rank_once(counts, groups, small):
         assert at <= 40
 
 
+def best_fit_decreasing(pieces, capacity):
+    """Piece by piece; the number of sequences."""
+    spaces = []
+    for length in sorted(pieces, reverse=True):
+        at = bisect_left(spaces, length)
+        space = spaces.pop(at) if at < len(spaces) else capacity
+        insort(spaces, space - length)
+    return len(spaces)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_no_more_sequences_than_best_fit_decreasing(spark, scratch, scale):
+    documents = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    rows = packing.pack(documents, scratch, path("byte_bpe_50k.json")).collect()
+    used = len({r["sequence_id"] for r in rows})
+    assert used <= best_fit_decreasing([r["length"] for r in rows], 1024)
+
+
+@given(counts=st.dictionaries(st.integers(2, 40), st.integers(1, 60), min_size=1, max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_configurations_meet_the_demand_within_capacity(counts):
+    sizes, demand = packing._grouped(counts, 8)
+    assert sum(demand) == sum(counts.values()) and max(sizes) == max(counts)
+    configurations, uses = packing._configurations(sizes, demand, 40)
+    assert (configurations @ sizes <= 40).all() and (uses >= 0).all()
+    assert np.allclose(uses @ configurations, demand)
+    assert uses.sum() >= sum(k * v for k, v in counts.items()) / 40 - 1e-6
+    value, _ = packing._fullest(sizes, np.linalg.solve(configurations, np.ones(len(sizes))), demand, 40)
+    assert value <= 1 + 1e-4  # no configuration would make it better
+
+
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=4000))
 @settings(max_examples=50, deadline=None)
 def test_a_block_is_decoded_to_itself(values):

@@ -5,7 +5,8 @@ Vectors are scaled to unit length, where the order by cosine is the order by dis
 ``cell``.  Every vector is filed in its cell of each table.  A query looks into its own cell and into
 the neighbouring cells that most likely hold its neighbours: steps over a boundary are sorted by the
 squared distance to it, and sets of steps come from a heap in the order of their summed distances.
-The candidates of all tables are merged and ranked by their exact cosine.
+The candidates of all tables are merged and ranked by their exact cosine.  A query that finds fewer than
+``k`` this way is compared with all entries of its dimension.
 
 Equal vectors are one entry with the ``k + 1`` smallest ids, more of which no list can hold.  Cells
 with more than ``tile`` entries are cut into tiles, and queries are sent to each, so the
@@ -14,7 +15,9 @@ work of a task is bounded and every entry is compared.
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
 neither as query nor as candidate; only vectors of one dimension are compared; a row with a null id
 takes no part; rows with equal id and vector are one row, and a query never finds its own id;
-equal scores go by the smaller id; an empty table gives no rows.
+equal scores go by the smaller id; rows with one id and different vectors are entries of their own, as
+queries they share one list, of the best over their vectors; a query gets fewer than ``k`` rows only where there
+are no more candidates; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -101,8 +104,14 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[starts[rows][:, None] + np.arange(size)].astype(np.float64)
 
 
-def _filed(rows: DataFrame, index: Index, kind: int) -> DataFrame:
-    """Entries (kind 0) under their cells, or queries (kind 1) under the cells they probe."""
+EVERYWHERE = -1  # the table of which the only cell of a dimension holds all entries
+
+
+def _filed(rows: DataFrame, index: Index, kind: int, everywhere: bool = False) -> DataFrame:
+    """Entries (kind 0) under their cells, or queries (kind 1) under the cells they probe.
+
+    ``everywhere``: both under one cell, their dimension.
+    """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -116,9 +125,11 @@ def _filed(rows: DataFrame, index: Index, kind: int) -> DataFrame:
                     at_cells = (unit @ along + shift) / index.cell
                     cells = np.floor(at_cells)
                     blobs = [v.tobytes() for v in vectors]
-                    for table in range(index.tables):
+                    for table in [EVERYWHERE] if everywhere else range(index.tables):
                         own = slice(table * index.hashes, (table + 1) * index.hashes)
-                        if kind == 0:
+                        if everywhere:
+                            rows_, keys = np.arange(len(places)), np.full(len(places), vectors.shape[1])
+                        elif kind == 0:
                             rows_, keys = np.arange(len(places)), _cells(cells[:, own])
                         else:
                             probes = [
@@ -264,10 +275,24 @@ def nearest(
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
         .select(F.col("ids")[0].alias("id"), "ids", "vector")
     )
-    filed = scratch.stage(_filed(entries, index, 0), "entries")
+    entries = scratch.stage(entries, "entries")
     asked = rows.filter("asks").withColumn("ids", F.lit(None).cast("array<bigint>"))
-    probes = _filed(asked, index, 1)
-
+    filed = scratch.stage(_filed(entries, index, 0), "filed")
+    found = scratch.stage(_searched(filed, _filed(asked, index, 1), scratch, index, k), "found")
+
+    # fewer than k in the cells looked into: all entries are candidates
+    enough = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = scratch.stage(asked.join(enough, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    everywhere = _filed(entries, index, 0, True), _filed(short, index, 1, True)
+    complete = _searched(*everywhere, scratch, index, k)
+    others = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return others.select(*complete.columns).unionByName(complete)
+
+
+def _searched(filed: DataFrame, probes: DataFrame, scratch: Scratch, index: Index, k: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` best of each query among the entries of its cells."""
     # cells too large for a task are cut; queries visit every tile
     crowded = (
         filed.groupBy("cell_table", "cell")
@@ -284,10 +309,11 @@ def nearest(
     found = _ranked(both, index, k).groupBy("query_id", "node").agg(
         F.max("score").alias("score"), F.first("ids").alias("ids")
     )
-    listed = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    listed = found.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
+    best = listed.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        listed.withColumn("rank", F.row_number().over(order))
+        best.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

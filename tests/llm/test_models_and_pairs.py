@@ -356,6 +356,31 @@ def test_neighbours_that_tie_at_several_lengths_go_by_id(spark, scratch):
     assert len({r["score"] for r in got}) == 1
 
 
+@pytest.mark.parametrize("number", range(2, 11))
+def test_few_vectors_are_all_found(spark, scratch, number):
+    """Sparse cells hold fewer than k: the rest is searched too."""
+    random = np.random.default_rng(number)
+    size = 2 if number % 2 else 8
+    vectors = random.standard_normal((number, size))
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string, rank int")
+    got = pstable.nearest(df, scratch, F.col("vec_id") % 2 == 0, index=pstable.Index(tables=2, probes=3, tile=3))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    expected = []
+    for q in range(0, number, 2):
+        order = [int(i) for i in np.argsort(-(unit @ unit[q]), kind="stable") if i != q]
+        expected += [(q, rank, i) for rank, i in enumerate(order[:5], 1)]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == expected
+
+
+def test_one_id_with_different_vectors(spark, scratch):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [-1.0, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = pstable.nearest(df, scratch, F.col("vec_id") == 0, k=2).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 1), (2, 2)]
+
+
 def test_perturbations_come_in_order_of_cost():
     position = np.array([0.1, 0.55, 0.8])
     steps = pstable.perturbations(position, 27)

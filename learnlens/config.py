@@ -86,6 +86,7 @@ class Settings:
     stream_reset_keeps_tables: bool = False
     approximate_addresses: bool = False
     compact_every: int = 100
+    trigger_interval: str = "10 seconds"  # empty: a batch as soon as the one before has ended
     rules: Rules = field(default_factory=Rules)
     learning: Learning = field(default_factory=Learning)
 
@@ -118,6 +119,7 @@ _ENV_OPTIONS = {
     "STREAM_FAIL_ON_DATA_LOSS": ("fail_on_data_loss", _flag),
     "STREAM_MAX_OFFSETS_PER_TRIGGER": ("max_offsets_per_trigger", int),
     "STREAM_SHUFFLE_PARTITIONS": ("stream_shuffle_partitions", int),
+    "STREAM_TRIGGER_INTERVAL": ("trigger_interval", str),
     "STREAM_RESET": ("stream_reset", _flag),
     "STREAM_RESET_SKIP_DB_CLEAR": ("stream_reset_keeps_tables", _flag),
 }

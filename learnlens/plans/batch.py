@@ -70,13 +70,12 @@ def _refresh(
 
     The last copy of an id counts, and is then left out if it is not ``wanted``.
     """
-    raw = warehouse.read_bronze(bronze)
+    raw = warehouse.read_bronze(bronze, days=None if ingest_days is None else [str(d) for d in ingest_days])
     if ingest_days is None:
         warehouse.write_days({silver: lambda _: typed(raw).filter(wanted or "true"), totals: summed})
         return [silver, totals]
 
-    arrived = raw.filter(F.col("ingest_day").cast("string").isin([str(d) for d in ingest_days]))
-    fresh = staged(typed(arrived), silver)
+    fresh = staged(typed(raw), silver)
     keys = list(schemas.TABLE_KEYS[silver])
     stored, ids = warehouse.read(silver), fresh.select(*keys)
     # an id may have been stored under another day, which then loses it

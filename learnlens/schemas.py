@@ -169,6 +169,13 @@ TABLES = {
     ),
 }
 
+# What streams append to: raw messages by the day they came, alerts by the day they were raised.
+LOGS = {
+    "bronze_submissions": bronze("submission_id"),
+    "bronze_metrics": bronze("metric_id"),
+    "gold_system_alerts": StructType([*TABLES["gold_system_alerts"].fields, StructField("raised_day", _DAY)]),
+}
+
 # Primary keys: what "last write wins" means for each table.
 TABLE_KEYS = {
     "silver_submissions": ("submission_id",),
@@ -192,7 +199,9 @@ PARTITION_COLUMNS = {
     "silver_metrics": ("day",),
     "login_totals": ("day",),
     "attempt_totals": ("day",),
-    "gold_system_alerts": ("alert_type",),
+    "bronze_submissions": ("ingest_day", "accepted"),
+    "bronze_metrics": ("ingest_day", "accepted"),
+    "gold_system_alerts": ("raised_day",),
 }
 
 # Tables that are replaced day by day, and the table whose list of days they follow.
@@ -255,4 +264,7 @@ SORT_COLUMNS = {
     "silver_submissions": ("problem_id", "user_id", "-timestamp"),
     "silver_metrics": ("metric_type", "user_id"),
     "gold_live_leaderboard": ("rank_tier", "-total_solved", "user_id"),
+    "bronze_submissions": ("ingest_timestamp",),
+    "bronze_metrics": ("ingest_timestamp",),
+    "gold_system_alerts": ("alert_type", "triggered_at"),
 }

@@ -20,6 +20,7 @@ from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from learnlens import schemas
 from learnlens.operators.dedup import latest_by_key
+from learnlens.sources.logs import BatchLog
 
 _VERSION, _GENERATION, _CLEARED, _LOAD = "version=", "generation=", "cleared=", "load="
 _BASE, _BATCH, _DAYS = "as_of=", "batch_id=", "days="
@@ -42,7 +43,7 @@ class Warehouse:
 
     # folders --------------------------------------------------------------------------
 
-    def _numbered(
+    def numbered(
         self, folder: str, prefix: str, complete: bool = False, after: int | None = None
     ) -> list[int]:
         """Numbers of the ``prefix<number>`` folders below ``folder``, ascending."""
@@ -63,7 +64,7 @@ class Warehouse:
             found.append(int(name[len(prefix) :]))
         return sorted(found)
 
-    def _remove(self, folder: str) -> None:
+    def remove(self, folder: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -76,7 +77,7 @@ class Warehouse:
     # snapshots ------------------------------------------------------------------------
 
     def versions(self, name: str) -> list[int]:
-        return self._numbered(self._table(name), _VERSION, complete=True)
+        return self.numbered(self._table(name), _VERSION, complete=True)
 
     def read(self, name: str, columns: Sequence[str] = ()) -> DataFrame:
         """The newest whole snapshot; empty when there is none yet."""
@@ -102,7 +103,7 @@ class Warehouse:
             number
             for name in names
             for prefix in (_VERSION, _DAYS)
-            for number in self._numbered(self._table(name), prefix)
+            for number in self.numbered(self._table(name), prefix)
         ]
         return max(used, default=-1) + 1
 
@@ -124,7 +125,7 @@ class Warehouse:
 
     def _lists(self, name: str) -> list[int]:
         """Numbers of the lists of days that count, the newest last."""
-        own = self._numbered(self._table(name), _DAYS, complete=True)
+        own = self.numbered(self._table(name), _DAYS, complete=True)
         leader = schemas.BY_DAY[name]
         if leader == name:
             return own
@@ -138,7 +139,7 @@ class Warehouse:
         schema, folder, lists = schemas.TABLES[name], self._table(name), self._lists(name)
         if not lists:
             return self._empty(schema)
-        versions = [n for n in self._numbered(folder, _VERSION, complete=True) if n <= lists[-1]]
+        versions = [n for n in self.numbered(folder, _VERSION, complete=True) if n <= lists[-1]]
         rows = (
             self.spark.read.schema(StructType([*schema.fields]).add("version", LongType()))
             .option("basePath", folder)
@@ -180,31 +181,31 @@ class Warehouse:
             self._expire_days(name, keep)
             return
         kept = self.versions(name)[-max(keep, 1) :]
-        for version in self._numbered(self._table(name), _VERSION):
+        for version in self.numbered(self._table(name), _VERSION):
             if kept and version < kept[-1] and version not in kept:
-                self._remove(f"{self._table(name)}/{_VERSION}{version}")
+                self.remove(f"{self._table(name)}/{_VERSION}{version}")
 
     def _expire_days(self, name: str, keep: int) -> None:
         """Drop old lists, and the days of each version that no kept list names."""
         folder, kept = self._table(name), self._lists(name)[-max(keep, 1) :]
         if not kept:
             return
-        for number in self._numbered(folder, _DAYS):
+        for number in self.numbered(folder, _DAYS):
             if number < kept[-1] and number not in kept:
-                self._remove(f"{folder}/{_DAYS}{number}")
+                self.remove(f"{folder}/{_DAYS}{number}")
         live = reduce(DataFrame.unionByName, [self._listed(name, n) for n in kept]).distinct()
         named = {row.version for row in live.select("version").distinct().collect()}  # one per night
-        for version in self._numbered(folder, _VERSION):
+        for version in self.numbered(folder, _VERSION):
             if version < kept[-1] and version not in named:
-                self._remove(f"{folder}/{_VERSION}{version}")
+                self.remove(f"{folder}/{_VERSION}{version}")
             elif version <= kept[-1]:
-                held = self._partitions(f"{folder}/{_VERSION}{version}", "day")
+                held = self.partitions(f"{folder}/{_VERSION}{version}", "day")
                 used = live.filter(F.col("version") == version).select(F.col("day").cast("string"))
                 current = {row.day or "__HIVE_DEFAULT_PARTITION__" for row in used.toLocalIterator()}
                 for day in held - current:
-                    self._remove(f"{folder}/{_VERSION}{version}/day={day}")
+                    self.remove(f"{folder}/{_VERSION}{version}/day={day}")
 
-    def _partitions(self, folder: str, column: str) -> set[str]:
+    def partitions(self, folder: str, column: str) -> set[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [status.getPath().getName() for status in fs.listStatus(path)]
@@ -226,7 +227,7 @@ class Warehouse:
 
     def generation(self) -> int:
         """Number of the current run of the streams; a fresh start opens the next one."""
-        found = self._numbered(f"{self.root}/_generations", _GENERATION)
+        found = self.numbered(f"{self.root}/_generations", _GENERATION)
         return found[-1] if found else 0
 
     def open_generation(self, keep_tables: bool = False) -> int:
@@ -243,30 +244,43 @@ class Warehouse:
 
     def _live_generations(self, name: str) -> list[int]:
         """Generations of a stream table since it was last cleared."""
-        cleared = self._numbered(f"{self.root}/_generations", _CLEARED)
+        cleared = self.numbered(f"{self.root}/_generations", _CLEARED)
         first = cleared[-1] if cleared else 0
-        return [n for n in self._numbered(self._table(name), _GENERATION) if n >= first]
+        return [n for n in self.numbered(self._table(name), _GENERATION) if n >= first]
 
     def stream_path(self, name: str, generation: int | None = None) -> str:
         number = self.generation() if generation is None else generation
         return f"{self._table(name)}/{_GENERATION}{number}"
 
-    def read_bronze(self, name: str, accepted: bool = True) -> DataFrame:
-        """Raw messages of all stream generations, each read through its commit log, and loads."""
-        schema = schemas.bronze(schemas.BRONZE_KEYS[name])
-        folder = self._table(name)
-        parts = [
-            self.spark.read.schema(schema).parquet(f"{folder}/{prefix}{number}")
-            for prefix, complete in ((_GENERATION, False), (_LOAD, True))
-            for number in self._numbered(folder, prefix, complete)
-        ]
+    def log(self, name: str, generation: int | None = None) -> BatchLog:
+        """The micro-batches of raw messages or alerts in one generation."""
+        schema = schemas.LOGS[name]
+        partition_by, sort_by = schemas.PARTITION_COLUMNS[name], schemas.SORT_COLUMNS[name]
+        return BatchLog(self, self.stream_path(name, generation), schema, partition_by, sort_by)
+
+    def read_bronze(self, name: str, accepted: bool = True, days: Sequence[str] | None = None) -> DataFrame:
+        """Raw messages of all stream generations and loads; with ``days`` those that came then.
+
+        Only the folders of ``days`` are listed and read.
+        """
+        schema, folder = schemas.LOGS[name], self._table(name)
+        parts = [self.log(name, number).read(days) for number in self.numbered(folder, _GENERATION)]
+        for number in self.numbered(folder, _LOAD, complete=True):
+            load = f"{folder}/{_LOAD}{number}"
+            paths = [load]
+            if days is not None:
+                paths = [f"{load}/ingest_day={d}" for d in sorted(self.partitions(load, "ingest_day") & set(days))]
+            if paths:
+                rows = self.spark.read.schema(schema).option("basePath", load).parquet(*paths)
+                parts.append(rows.select(*schema.names))
+        parts = [part for part in parts if part is not None]
         if not parts:
             return self._empty(schema)
         return reduce(DataFrame.unionByName, parts).filter(F.col("accepted") == accepted)
 
     def append_bronze(self, df: DataFrame, name: str) -> None:
         """Batch load of raw messages, kept apart from the folders the streams commit to."""
-        started = self._numbered(self._table(name), _LOAD)
+        started = self.numbered(self._table(name), _LOAD)
         number = started[-1] + 1 if started else 0
         df.write.partitionBy("ingest_day", "accepted").parquet(f"{self._table(name)}/{_LOAD}{number}")
 
@@ -274,10 +288,8 @@ class Warehouse:
         """Alerts since the table was last cleared."""
         name = "gold_system_alerts"
         schema = schemas.TABLES[name]
-        parts = [
-            self.spark.read.schema(schema).parquet(self.stream_path(name, number))
-            for number in self._live_generations(name)
-        ]
+        parts = [self.log(name, number).read() for number in self._live_generations(name)]
+        parts = [part.select(*schema.names) for part in parts if part is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty(schema)
 
     # The leaderboard stream emits the users that changed.  Rewriting all users per micro-batch
@@ -312,23 +324,23 @@ class Warehouse:
         _sorted(latest, name).write.mode("overwrite").parquet(target)
 
         folder = self.stream_path(name)
-        folds = self._numbered(f"{folder}/base", _BASE, complete=True)
+        folds = self.numbered(f"{folder}/base", _BASE, complete=True)
         if len(folds) > 1:
             for old in folds[:-2]:
-                self._remove(f"{folder}/base/{_BASE}{old}")
-            for old in self._numbered(f"{folder}/changes", _BATCH):
+                self.remove(f"{folder}/base/{_BASE}{old}")
+            for old in self.numbered(f"{folder}/changes", _BATCH):
                 if old <= folds[-2]:
-                    self._remove(f"{folder}/changes/{_BATCH}{old}")
+                    self.remove(f"{folder}/changes/{_BATCH}{old}")
 
     def _changes(self, name: str, generation: int) -> DataFrame:
         folder = self.stream_path(name, generation)
         stored = StructType([*schemas.TABLES[name].fields]).add("batch_id", LongType())
-        folds = self._numbered(f"{folder}/base", _BASE, complete=True)
+        folds = self.numbered(f"{folder}/base", _BASE, complete=True)
         since = folds[-1] if folds else -1
         # batches are listed one by one only since the last fold, so the list stays short
         recent = [
             f"{folder}/changes/{_BATCH}{number}"
-            for number in self._numbered(f"{folder}/changes", _BATCH, complete=True, after=since)
+            for number in self.numbered(f"{folder}/changes", _BATCH, complete=True, after=since)
         ]
         reader = self.spark.read.schema(stored)
         parts = [reader.parquet(f"{folder}/base/{_BASE}{since}")] if folds else []

@@ -1,8 +1,9 @@
 """The four continuous queries.
 
-None keeps a driver-side loop: three use the Parquet stream sink, whose commit log makes a
-replayed micro-batch count once, and the leaderboard stores changes under the batch number.
-A failed write fails the query, and the next start replays it from the checkpoint.
+None keeps a driver-side loop over rows.  Every micro-batch is stored under its number, so a replayed
+one counts once, and every ``compact_every`` batches what came is folded: messages and alerts into
+large files by day, the leaderboard's changes into one row per user.  A failed write fails the query, and the
+next start replays it from the checkpoint.
 """
 
 from __future__ import annotations
@@ -28,7 +29,24 @@ def _writer(df: DataFrame, settings: Settings, name: str, checkpoint: str, mode:
     writer = (
         df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", location)
     )
-    return writer.trigger(availableNow=True) if available_now else writer
+    if available_now:
+        return writer.trigger(availableNow=True)
+    return writer.trigger(processingTime=settings.trigger_interval) if settings.trigger_interval else writer
+
+
+def _start_log(
+    rows: DataFrame, settings: Settings, table: str, checkpoint: str, available_now: bool
+) -> StreamingQuery:
+    """Append the rows of every micro-batch to a log, and fold it now and then."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        log = Warehouse(batch.sparkSession, settings.root).log(table)
+        log.write(batch, batch_id)
+        if (batch_id + 1) % settings.compact_every == 0:
+            log.compact(batch_id)
+
+    writer = _writer(rows, settings, f"stream_{table}", checkpoint, "append", available_now)
+    return writer.foreachBatch(store).start()
 
 
 def _start_bronze(
@@ -40,9 +58,7 @@ def _start_bronze(
     available_now: bool,
 ) -> StreamingQuery:
     rows = payloads.bronze(payloads.decode(messages), schema, schemas.BRONZE_KEYS[table])
-    path = Warehouse(rows.sparkSession, settings.root).stream_path(table)
-    writer = _writer(rows, settings, f"stream_{table}", checkpoint, "append", available_now)
-    return writer.partitionBy("ingest_day", "accepted").format("parquet").start(path)
+    return _start_log(rows, settings, table, checkpoint, available_now)
 
 
 def start_bronze_submissions(
@@ -107,11 +123,9 @@ def start_alerts(
     settings: Settings,
     available_now: bool = False,
 ) -> StreamingQuery:
-    table = "gold_system_alerts"
     rows = alert_stream(submission_messages, metric_messages, settings)
-    path = Warehouse(rows.sparkSession, settings.root).stream_path(table)
-    writer = _writer(rows, settings, f"stream_{table}", "system/alerts", "append", available_now)
-    return writer.partitionBy("alert_type").format("parquet").start(path)
+    rows = rows.withColumn("raised_day", F.to_date(F.current_timestamp()))
+    return _start_log(rows, settings, "gold_system_alerts", "system/alerts", available_now)
 
 
 def start_all(session: SparkSession, settings: Settings, available_now: bool = False) -> list[StreamingQuery]:

@@ -130,8 +130,8 @@ def test_changes_fold_to_the_newest_row_per_user(spark, root):
     warehouse.fold_changes(name, 12)
     assert current(warehouse) == [("a", 2), ("b", 11), ("c", 1)]
     folder = warehouse.stream_path(name)
-    assert warehouse._numbered(f"{folder}/base", "as_of=") == [11, 12]
-    assert warehouse._numbered(f"{folder}/changes", "batch_id=") == [12]
+    assert warehouse.numbered(f"{folder}/base", "as_of=") == [11, 12]
+    assert warehouse.numbered(f"{folder}/changes", "batch_id=") == [12]
 
 
 def test_a_new_generation_starts_empty_and_the_old_stays(spark, root):

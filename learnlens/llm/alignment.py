@@ -75,8 +75,16 @@ class Bytes:
         self.entries = entries
         self.lengths = np.fromiter(map(len, entries), np.int64, len(entries))
 
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.entries.__getitem__, ids))
+    def spell(self, ids: np.ndarray, text: str) -> bool:
+        """Whether the joined bytes are those of the text.
+
+        Both tokenizers keep every byte but the marker's, which piece models read as a space, so the
+        number of bytes tells for a text without one.
+        """
+        data = text.encode()
+        if int(self.lengths[ids].sum()) != len(data):
+            return False
+        return "\u2581" not in text or b"".join(map(self.entries.__getitem__, ids.tolist())) == data
 
 
 def byte_level_bytes(path: str) -> Bytes:
@@ -126,47 +134,66 @@ class Alignment:
     def __init__(self, sizes: np.ndarray, first: np.ndarray, second: np.ndarray, a: Bytes, b: Bytes):
         self.first, self.second, sizes = first, second, sizes.astype(np.int64)
         self.first_stops, self.second_stops = np.cumsum(sizes[0::2]), np.cumsum(sizes[1::2])
-        self.first_ends, self.second_ends = np.cumsum(a.lengths[first]), np.cumsum(b.lengths[second])
+        first_ends, second_ends = np.cumsum(a.lengths[first]), np.cumsum(b.lengths[second])
+        marks = np.zeros(int(first_ends[-1]) + 1 if len(first) else 1, np.uint8)
+        marks[first_ends] = 1
+        marks[second_ends] += 2
         # between two neighbouring offsets lies one token of each: a link
-        cuts = np.union1d(self.first_ends, self.second_ends)
-        self.link_first = np.searchsorted(self.first_ends, cuts)
-        self.link_second = np.searchsorted(self.second_ends, cuts)
-        self.pairs = first[self.link_first].astype(np.uint64) << np.uint64(32) | second[self.link_second]
-        self.group_ends = np.intersect1d(self.first_ends, self.second_ends, assume_unique=True)
-        ends = np.concatenate([[0], self.first_ends])[self.first_stops]
+        cuts = np.flatnonzero(marks)
+        marks = marks[cuts]
+        self.ends_first, self.ends_second, both = (marks & 1).astype(bool), marks > 1, marks == 3
+        self.link_first = np.cumsum(self.ends_first) - self.ends_first
+        self.link_second = np.cumsum(self.ends_second) - self.ends_second
+        self.link_group = np.cumsum(both) - both
+        self.groups = int(both.sum())
+        ends = np.concatenate([[0], first_ends])[self.first_stops]
         self.link_stops = np.searchsorted(cuts, ends, side="right")
-        self.group_stops = np.searchsorted(self.group_ends, ends, side="right")
+        self.group_stops = np.concatenate([[0], np.cumsum(both)])[self.link_stops]
+        # ids of both in one number, as short as they allow
+        shift = np.int64(len(b.entries)).item().bit_length()
+        self.short = shift + np.int64(len(a.entries)).item().bit_length() <= 32
+        kind, self.shift = np.uint32 if self.short else np.uint64, 32 if not self.short else shift
+        self.pairs = first[self.link_first].astype(kind) << kind(self.shift) | second[self.link_second].astype(kind)
+
+    def keys(self, pairs: np.ndarray) -> np.ndarray:
+        """Pairs with the first id in the upper half of 64 bits."""
+        wide = pairs.astype(np.uint64)
+        low = np.uint64((1 << self.shift) - 1)
+        return wide >> np.uint64(self.shift) << np.uint64(32) | wide & low
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs, and how many documents hold each."""
-        keys, code = np.unique(self.pairs, return_inverse=True)
-        document = np.searchsorted(self.link_stops, np.arange(len(code)), side="right")
-        held = np.unique(document * np.int64(len(keys)) + code)
-        return keys, np.bincount(held % max(len(keys), 1), minlength=len(keys))
+        pairs, code = np.unique(self.pairs, return_inverse=True)
+        document = np.repeat(np.arange(len(self.link_stops)), np.diff(self.link_stops, prepend=0))
+        held = np.unique(document * len(pairs) + code)
+        return self.keys(pairs), np.bincount(held % max(len(pairs), 1), minlength=len(pairs))
+
+    def counted(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The count of each link's pair; ``keys`` ascend and hold all pairs."""
+        if not len(keys):
+            return np.empty(0, np.int64)
+        low = (keys >> np.uint64(32) << np.uint64(self.shift)) | (keys & np.uint64(0xFFFFFFFF))
+        return counts[np.searchsorted(low.astype(self.pairs.dtype), self.pairs)]
 
     def pieces(self, a: Bytes, b: Bytes) -> np.ndarray:
         """The tokens of all groups in writing order, as numbers of ``_written``."""
-        groups = len(self.group_ends)
-        of_first = np.searchsorted(self.group_ends, self.first_ends)
-        of_second = np.searchsorted(self.group_ends, self.second_ends)
-        n_first, n_second = np.bincount(of_first, minlength=groups), np.bincount(of_second, minlength=groups)
-        starts = np.cumsum(n_first + n_second) - n_first - n_second
-        before_first, before_second = np.cumsum(n_first) - n_first, np.cumsum(n_second) - n_second
-        out = np.empty(len(self.first) + len(self.second), np.int64)
-        wide_a, wide_b = len(a.entries), len(b.entries)
-        last_first = np.append(of_first[1:] != of_first[:-1], True) if len(of_first) else np.empty(0, bool)
-        last_second = np.append(of_second[1:] != of_second[:-1], True) if len(of_second) else np.empty(0, bool)
-        place = starts[of_first] + np.arange(len(of_first)) - before_first[of_first]
-        out[place] = self.first + np.where(last_first, wide_a, 0)
-        place = starts[of_second] + n_first[of_second] + np.arange(len(of_second)) - before_second[of_second]
-        out[place] = 2 * wide_a + self.second + np.where(last_second, wide_b, 0)
+        of_first, of_second = self.link_group[self.ends_first], self.link_group[self.ends_second]
+        n_first, n_second = np.bincount(of_first, minlength=self.groups), np.bincount(of_second, minlength=self.groups)
+        first_stops, second_stops = np.cumsum(n_first), np.cumsum(n_second)
+        out = np.empty(len(self.first) + len(self.second), np.int32)
+        # a token has before it the tokens of earlier groups, those of the second behind those of the first
+        first, second = self.first.astype(np.int32), self.second.astype(np.int32) + 2 * len(a.entries)
+        first[first_stops - 1] += len(a.entries)  # every group ends both
+        second[second_stops - 1] += len(b.entries)
+        out[np.arange(len(first)) + (second_stops - n_second)[of_first]] = first
+        out[np.arange(len(second)) + first_stops[of_second]] = second
         return out
 
 
-def _written(a: Bytes, b: Bytes) -> list[str]:
+def _written(a: Bytes, b: Bytes) -> list[bytes]:
     """Ids with what follows them: a comma, or where a group's tokens end a bar or a semicolon."""
     return [
-        f"{i}{mark}" for table, marks in ((a, ",|"), (b, ",;")) for mark in marks for i in range(len(table.entries))
+        f"{i}{mark}".encode() for table, marks in ((a, ",|"), (b, ",;")) for mark in marks for i in range(len(table.entries))
     ]
 
 
@@ -199,12 +226,9 @@ class _Tokenizers:
     def encoded(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         spaced = [f" {text}" if text else None for text in texts]
         none = np.empty(0, np.uint32)
-        for whole, a, b in zip(spaced, self.first.ids(spaced), self.second.ids(texts), strict=True):
-            data = whole.encode() if whole else b""
-            if self.a.joined(a.tolist()) == data == self.b.joined(b.tolist()):
-                yield a, b
-            else:
-                yield none, none
+        for text, a, b in zip(spaced, self.first.ids(spaced), self.second.ids(texts), strict=True):
+            same = text is None or (self.a.spell(a, text) and self.b.spell(b, text))
+            yield (a, b) if same else (none, none)
 
 
 def _encoded(documents: DataFrame, first: str, second: str) -> DataFrame:
@@ -409,12 +433,9 @@ def _looked_up(docs: DataFrame, answers: DataFrame, first: str, second: str, who
             return
         sizes = unpacked(got["sizes"])
         one = Alignment(sizes, unpacked(got["first"]), unpacked(got["second"]), a, b)
-        if keys:
-            keys, marked = np.concatenate(keys), np.concatenate(marked)
-            order = np.argsort(keys)
-            marked = marked[order][np.searchsorted(keys[order], one.pairs)]
-        else:
-            marked = np.empty(0, np.int64)
+        keys = np.concatenate([np.empty(0, np.uint64), *keys])
+        order = np.argsort(keys)
+        marked = one.counted(keys[order], np.concatenate([np.empty(0, np.int64), *marked])[order])
 
         def each(stops: np.ndarray, values: np.ndarray) -> np.ndarray:
             """Sums of the values of each document."""
@@ -427,10 +448,10 @@ def _looked_up(docs: DataFrame, answers: DataFrame, first: str, second: str, who
         ]
         codes, groups, at = one.pieces(a, b), [], 0
         for stop in (one.first_stops + one.second_stops).tolist():
-            groups.append("".join(map(written.__getitem__, codes[at:stop].tolist()))[:-1])
+            groups.append(b"".join(map(written.__getitem__, codes[at:stop].tolist()))[:-1])
             at = stop
-        digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-        made = [got["doc_ids"], *columns, *([groups] if whole else []), digests]
+        digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+        made = [got["doc_ids"], *columns, *([[g.decode() for g in groups]] if whole else []), digests]
         for begin in range(0, len(digests), 2000):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[begin : begin + 2000], f.type) for c, f in zip(made, schema, strict=True)], schema=schema

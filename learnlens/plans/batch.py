@@ -14,6 +14,7 @@ from learnlens.operators import dropout, features, gold, recommend
 from learnlens.operators.dedup import latest_by_key
 from learnlens.session import job_folder, staged
 from learnlens.sources import payloads
+from learnlens.sources.index import distinct_days
 from learnlens.sources.tables import Warehouse
 
 Step = Callable[[DataFrame], DataFrame]
@@ -77,13 +78,12 @@ def _refresh(
 
     fresh = staged(typed(raw), silver)
     keys = list(schemas.TABLE_KEYS[silver])
-    stored, ids = warehouse.read(silver), fresh.select(*keys)
+    ids = fresh.select(*keys)
     # an id may have been stored under another day, which then loses it
-    left = stored.select(*keys, "day").join(ids, keys, "left_semi").select("day")
-    days = staged(left.unionByName(fresh.select("day")).distinct(), f"{silver}-days")
+    days = staged(distinct_days(warehouse.days_holding(silver, ids), fresh), f"{silver}-days")
     if days.isEmpty():
         return []
-    touched = stored.join(days, stored["day"].eqNullSafe(days["day"]), "left_semi")
+    touched = warehouse.read_touched(silver, days)
     merged = touched.join(ids, keys, "left_anti").unionByName(fresh.filter(wanted or "true"))
     warehouse.write_days({silver: lambda _: merged, totals: summed}, days)
     return [silver, totals]

@@ -212,6 +212,9 @@ BY_DAY = {
     "login_totals": "silver_metrics",
 }
 
+# Tables by day that can tell under which days an id is stored.
+INDEXED = {"silver_submissions": "submission_id", "silver_metrics": "metric_id"}
+
 BATCH_GOLD = (
     "gold_engagement_scores",
     "gold_difficulty_heatmap",

@@ -20,11 +20,14 @@ from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from learnlens import schemas
 from learnlens.operators.dedup import latest_by_key
+from learnlens.sources.index import DayIndex
 from learnlens.sources.logs import BatchLog
 
 _VERSION, _GENERATION, _CLEARED, _LOAD = "version=", "generation=", "cleared=", "load="
 _BASE, _BATCH, _DAYS = "as_of=", "batch_id=", "days="
 _LISTED = StructType([StructField("day", DateType()), StructField("version", LongType())])
+_NULL_DAY = "__HIVE_DEFAULT_PARTITION__"
+MOST_FOLDERS = 10_000  # that are named one by one
 
 
 def _sorted(df: DataFrame, name: str) -> DataFrame:
@@ -149,6 +152,42 @@ class Warehouse:
         own = rows["day"].eqNullSafe(live["_day"]) & (rows["version"] == live["_version"])
         return rows.join(live, own, "left_semi").select(*schema.names)
 
+    def index(self, name: str) -> DayIndex | None:
+        """Where the ids of a table by day are stored."""
+        if name not in schemas.INDEXED:
+            return None
+        return DayIndex(self, f"{self._table(name)}/ids", schemas.INDEXED[name])
+
+    def read_touched(self, name: str, days: DataFrame) -> DataFrame:
+        """The rows of ``days``: only their folders are listed and read.
+
+        A table whose ``days`` are in more than ``MOST_FOLDERS`` folders is read whole and joined.
+        """
+        schema, folder, lists = schemas.TABLES[name], self._table(name), self._lists(name)
+        if not lists:
+            return self._empty(schema)
+        listed = self._listed(name, lists[-1])
+        wanted = listed.join(days, listed["day"].eqNullSafe(days["day"]), "left_semi")
+        found = wanted.select(F.col("day").cast("string").alias("day"), "version").limit(MOST_FOLDERS + 1).collect()
+        if len(found) > MOST_FOLDERS:
+            rows = self._read_days(name)
+            return rows.join(days, rows["day"].eqNullSafe(days["day"]), "left_semi")
+        if not found:
+            return self._empty(schema)
+        paths = [f"{folder}/{_VERSION}{row.version}/day={row.day or _NULL_DAY}" for row in found]
+        reader = self.spark.read.schema(StructType([*schema.fields]).add("version", LongType()))
+        return reader.option("basePath", folder).parquet(*sorted(paths)).select(*schema.names)
+
+    def days_holding(self, name: str, ids: DataFrame) -> DataFrame:
+        """Days under which any of ``ids`` is stored, from the index, or from the table if it has none."""
+        index = self.index(name)
+        if index and index.lists():
+            return index.days_of(ids)
+        if not self._lists(name):
+            return self._empty(_LISTED).select("day")
+        keys = list(schemas.TABLE_KEYS[name])
+        return self.read(name).select(*keys, "day").join(ids, keys, "left_semi").select("day").distinct()
+
     def write_days(
         self, steps: Mapping[str, Callable[[DataFrame | None], DataFrame]], days: DataFrame | None = None
     ) -> None:
@@ -161,6 +200,9 @@ class Warehouse:
         for name, step in steps.items():
             target = self._write_version(step(stored), name, number)
             stored = self.spark.read.schema(schemas.TABLES[name]).parquet(target)
+            index = self.index(name)
+            if index and (days is None or index.lists() or not self._lists(name)):
+                index.add(stored, number, anew=days is None)  # before the rows count: it may name too many
         for name in reversed(names):  # the leader's list makes all of them count
             folder, before = self._table(name), self._lists(name)
             held = self.spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{_VERSION}{number}")
@@ -201,7 +243,7 @@ class Warehouse:
             elif version <= kept[-1]:
                 held = self.partitions(f"{folder}/{_VERSION}{version}", "day")
                 used = live.filter(F.col("version") == version).select(F.col("day").cast("string"))
-                current = {row.day or "__HIVE_DEFAULT_PARTITION__" for row in used.toLocalIterator()}
+                current = {row.day or _NULL_DAY for row in used.toLocalIterator()}
                 for day in held - current:
                     self.remove(f"{folder}/{_VERSION}{version}/day={day}")
 

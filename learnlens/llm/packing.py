@@ -220,14 +220,16 @@ def pack(
     groups: int = 100,
     small: int = 128,
     keep_table: bool = False,
+    chunks: int = 400_000,
 ) -> DataFrame:
     """A row per piece: where it is in its document, and in which sequence.
 
-    ``keep_table``: workers keep their table of chunks for their next task, for more memory.
+    ``keep_table``: workers keep their table of chunks for their next task, for more memory;
+    ``chunks``: how many distinct chunks a table holds before it starts anew.
     """
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = hugging_table(tokenizer, kind)
+        table = hugging_table(tokenizer, kind, limit=chunks)
         # a block is what one task emits at a time; its number is unique and, with the
         # pieces, written once
         block = TaskContext.get().partitionId() << 32
@@ -271,7 +273,7 @@ def pack(
     blocks = Window.partitionBy("length", "task").orderBy("block").rowsBetween(*before_it)
     before = (
         by_block.withColumn("task", task)
-        .join(begun, ["length", "task"])
+        .join(begun.hint("merge"), ["length", "task"])
         .select("block", "length", (F.col("begun") + F.coalesce(F.sum("n").over(blocks), none)).alias("before"))
     )
     ranked = pieces.join(before.hint("merge"), ["block", "length"]).withColumn("rank", F.col("before") + F.col("place"))

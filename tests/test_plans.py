@@ -12,10 +12,14 @@ from learnlens.sources.tables import Warehouse
 
 QUERIES = catalogue.registered()
 RUN_JOBS = {  # these train or run streams while they are built
+    "dropout_model_weights",
     "dropout_predictions",
+    "dropout_predictions_rounded",
     "next_problem_recommendations",
     "nightly_table_counts",
     "recommendation_checks",
+    "recommendation_factor_checks",
+    "unsolved_recommendation_checks",
     "restarted_alerts",
     "restarted_leaderboard",
     "srv_risk_board",

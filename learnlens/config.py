@@ -36,6 +36,7 @@ class Rules:
     burst_window: str = "30 seconds"
     burst_slide: str = "10 seconds"
     watermark: str = "2 minutes"
+    sketch_bits: int = 12  # of address sketches: 4096 registers, 1.3 % standard error
     # status line
     low_engagement: int = 100
 
@@ -86,6 +87,7 @@ class Settings:
     stream_reset: bool = False
     stream_reset_keeps_tables: bool = False
     approximate_addresses: bool = False
+    alert_once_a_minute: bool = False  # True: one burst alert per user and minute
     compact_every: int = 100
     trigger_interval: str = "10 seconds"  # empty: a batch as soon as the one before has ended
     rules: Rules = field(default_factory=Rules)

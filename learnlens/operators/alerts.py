@@ -37,51 +37,109 @@ def activity(submissions: DataFrame) -> DataFrame:
     )
 
 
-def burst_windows(events: DataFrame, rules: Rules, approximate: bool = False) -> DataFrame:
+def burst_windows(
+    events: DataFrame, rules: Rules, approximate: bool = False, once_a_minute: bool = False
+) -> DataFrame:
     """Submissions, addresses and last event per user and sliding window.
 
     Addresses are counted exactly, in batch and in streams alike: first per user, window and
     address, then per user and window.  All partial results and state rows are plain numbers,
     and a user with most of the rows is spread over many groups.  ``approximate`` counts them
-    in one step with a sketch instead, which bounds the state of users with very many
+    with sketches instead, see ``activity_panes``, which bounds the state of users with very many
     addresses.  A stream is put under the watermark and emits a window once it is closed.
+
+    ``once_a_minute``: only windows that raise an alert, and of a user's that end in one minute only
+    the first; a burst is in up to three sliding windows, and a long one in many.
     """
+    if approximate:
+        counted = pane_windows(activity_panes(events, rules), rules)
+    else:
+        counted = _exact_windows(events, rules)
+    return _flat(_first_of_minute(counted, rules) if once_a_minute else counted)
+
+
+def _exact_windows(events: DataFrame, rules: Rules) -> DataFrame:
     if events.isStreaming:
         events = events.withWatermark("event_time", rules.watermark)
     window = F.window("event_time", rules.burst_window, rules.burst_slide)
-    submissions = "submission_count_30s"
-    if approximate:
-        counted = events.groupBy(window, "user_id").agg(
-            F.count("submission_id").alias(submissions),
-            F.approx_count_distinct("client_ip").alias("distinct_ip_count"),
-            F.max("event_time").alias("window_last_event"),
-        )
-    else:
-        per_address = events.groupBy(window, "user_id", "client_ip").agg(
-            F.count("submission_id").alias("submissions"),
-            F.max("event_time").alias("last_event"),
-        )
-        counted = per_address.groupBy("window", "user_id").agg(
-            F.sum("submissions").alias(submissions),
-            F.count("client_ip").alias("distinct_ip_count"),
-            F.max("last_event").alias("window_last_event"),
-        )
+    per_address = events.groupBy(window, "user_id", "client_ip").agg(
+        F.count("submission_id").alias("submissions"),
+        F.max("event_time").alias("last_event"),
+    )
+    return per_address.groupBy("window", "user_id").agg(
+        F.sum("submissions").alias(SUBMISSIONS),
+        F.count("client_ip").alias("distinct_ip_count"),
+        F.max("last_event").alias("window_last_event"),
+    )
+
+
+SUBMISSIONS = "submission_count_30s"
+
+
+def _flat(counted: DataFrame) -> DataFrame:
     return counted.select(
         "user_id",
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
-        submissions,
+        SUBMISSIONS,
         "distinct_ip_count",
         "window_last_event",
     )
 
 
+def activity_panes(events: DataFrame, rules: Rules) -> DataFrame:
+    """Submissions, last event and a sketch of the addresses per user and pane, a window as long as the slide.
+
+    Every event is in one pane, where it is in three sliding windows.  Sketches are of fixed size and can be
+    united, so panes can be stored and give windows of any number of panes later.
+    """
+    if events.isStreaming:
+        events = events.withWatermark("event_time", rules.watermark)
+    pane = F.window("event_time", rules.burst_slide).alias("pane")
+    return events.groupBy(pane, "user_id").agg(
+        F.count("submission_id").alias("submissions"),
+        F.max("event_time").alias("last_event"),
+        F.hll_sketch_agg("client_ip", F.lit(rules.sketch_bits)).alias("addresses"),
+    )
+
+
+def pane_windows(panes: DataFrame, rules: Rules) -> DataFrame:
+    """Sliding windows from panes: counts are added and sketches united.
+
+    The standard error of a count of addresses is about ``0.8 / sqrt(2 ** sketch_bits)``; few are exact.
+    """
+    window = F.window(F.col("pane"), rules.burst_window, rules.burst_slide).alias("window")
+    return panes.groupBy(window, "user_id").agg(
+        F.sum("submissions").alias(SUBMISSIONS),
+        F.hll_sketch_estimate(F.hll_union_agg("addresses")).alias("distinct_ip_count"),
+        F.max("last_event").alias("window_last_event"),
+    )
+
+
+def _first_of_minute(counted: DataFrame, rules: Rules) -> DataFrame:
+    """Of each user's flagged windows whose last moment lies in one minute, the first."""
+    minute = F.window(F.col("window"), "1 minute").alias("minute")
+    names = [SUBMISSIONS, "distinct_ip_count", "window_last_event"]
+    first = flagged(counted, rules).groupBy(minute, "user_id").agg(
+        F.min("window.start").alias("start"),
+        F.min("window.end").alias("end"),
+        *[F.min_by(name, "window.start").alias(name) for name in names],
+    )
+    return first.withColumn("window", F.struct("start", "end"))
+
+
+def flagged(windows: DataFrame, rules: Rules) -> DataFrame:
+    """Windows that are too busy or have too many addresses."""
+    return windows.filter(
+        (F.col(SUBMISSIONS) >= rules.burst_submissions) | (F.col("distinct_ip_count") > rules.burst_ips)
+    )
+
+
 def bursts(windows: DataFrame, rules: Rules) -> DataFrame:
     """One alert per window that is too busy or has too many addresses."""
-    count, ips = F.col("submission_count_30s"), F.col("distinct_ip_count")
-    flagged = windows.filter((count >= rules.burst_submissions) | (ips > rules.burst_ips))
+    count, ips = F.col(SUBMISSIONS), F.col("distinct_ip_count")
     start = F.unix_seconds("window_start").cast("string")
-    return flagged.select(
+    return flagged(windows, rules).select(
         R.alert_key(F.lit(R.CHEAT_DETECTED), F.col("user_id"), start).alias("alert_id"),
         F.lit(R.CHEAT_DETECTED).alias("alert_type"),
         "user_id",

@@ -238,6 +238,18 @@ def system_alerts(t: DriverTables) -> DataFrame:
     return _alerts(t)
 
 
+@query
+def cheat_alerts_once_a_minute(t: DriverTables) -> DataFrame:
+    return alerts.bursts(alerts.burst_windows(alerts.activity(t.submissions()), RULES, once_a_minute=True), RULES)
+
+
+@query
+def windows_of_unknown_addresses(t: DriverTables) -> DataFrame:
+    """Submissions that often come without an address: all of these count as one."""
+    unknown = F.when(F.col("submission_id").cast("long") % 3 > 0, F.col("client_ip"))
+    return alerts.burst_windows(alerts.activity(t.submissions().withColumn("client_ip", unknown)), RULES)
+
+
 # streams, run to the end of the given events and read back ----------------------------
 
 
@@ -285,6 +297,55 @@ def stream_alerts(t: DriverTables) -> DataFrame:
     return Warehouse(t.spark, settings.root).read_alerts().select(*alerts.ALERT_COLUMNS)
 
 
+@query
+def stream_alerts_once_a_minute(t: DriverTables) -> DataFrame:
+    """Burst alerts of a stream that raises one per user and minute."""
+    live, settings = _stream(t)
+    streams.start_alerts(
+        live.submission_messages(live.event_stream()),
+        live.metric_messages(live.event_stream()),
+        replace(settings, alert_once_a_minute=True),
+        available_now=True,
+    ).awaitTermination()
+    found = Warehouse(t.spark, settings.root).read_alerts()
+    return found.filter(F.col("alert_type") == "CHEAT_DETECTED").select(*alerts.ALERT_COLUMNS)
+
+
+@query
+def stream_cheat_alerts_approx(t: DriverTables) -> DataFrame:
+    """Burst alerts of a stream that counts addresses with sketches."""
+    live, settings = _stream(t)
+    streams.start_alerts(
+        live.submission_messages(live.event_stream()),
+        live.metric_messages(live.event_stream()),
+        replace(settings, approximate_addresses=True),
+        available_now=True,
+    ).awaitTermination()
+    return Warehouse(t.spark, settings.root).read_alerts().select(*alerts.ALERT_COLUMNS)
+
+
+@query
+def stream_from_topic_files(t: DriverTables) -> DataFrame:
+    """Topics as folders of message files, taken one file a batch by all four streams; the typed submissions."""
+    topics, width = new_folder(t.spark, "topics"), t.spark.sparkContext.defaultParallelism
+    settings = Settings(
+        root=new_folder(t.spark, "stream"),
+        source_kind="files",
+        source_path=topics,
+        max_files_per_trigger=1,
+        stream_shuffle_partitions=width,
+        compact_every=2,
+    )
+    for topic, messages in (
+        (settings.submissions_topic, t.submission_messages()),
+        (settings.metrics_topic, t.metric_messages()),
+    ):
+        payloads.decode(messages).coalesce(3).write.text(f"{topics}/{topic}")
+    for running in streams.start_all(stream_session(t.spark, settings), settings, available_now=True):
+        running.awaitTermination()
+    return batch.silver_submissions(Warehouse(t.spark, settings.root).read_bronze("bronze_submissions"))
+
+
 def _in_four_runs(t: DriverTables, start: Callable[[DriverTables, Settings], StreamingQuery]) -> Warehouse:
     """The events in order of time, in four parts; the stream ends after each and starts again."""
     live, settings = _stream(t)

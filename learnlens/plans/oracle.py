@@ -148,6 +148,12 @@ bursts AS (
 
 _CLOSED = """window_end <= (SELECT make_timestamp((max(second) - 120) * 1000000) FROM submissions)"""
 
+_MINUTES = """
+windows AS (
+  SELECT * FROM every_window WHERE submission_count_30s >= 2 OR distinct_ip_count > 1
+  QUALIFY row_number() OVER (
+    PARTITION BY user_id, date_trunc('minute', window_end - INTERVAL 1 MICROSECOND) ORDER BY window_start) = 1)"""
+
 _ALERTS = """
 alerts AS (SELECT * FROM latency UNION ALL SELECT * FROM bursts)"""
 
@@ -216,6 +222,13 @@ def statements() -> dict[str, str]:
     solved = f"{board} SELECT * FROM board"
     every_window = f"{windows} SELECT * FROM windows"
     model = _with(_SUBMISSIONS, _METRICS, _LOGIN, _FEATURES, _LABELS, _fit()).replace("WITH", "WITH RECURSIVE", 1)
+    minutes = _with(_SUBMISSIONS, _WINDOWS.replace("windows AS", "every_window AS"), _MINUTES)
+    minute_over = """date_trunc('minute', window_end - INTERVAL 1 MICROSECOND) + INTERVAL 1 MINUTE
+        <= (SELECT make_timestamp((max(second) - 120) * 1000000) FROM submissions)"""
+    unknown = _SUBMISSIONS.replace(
+        "'10.10.0.' || (11 + event_id % 5)",
+        "CASE WHEN event_id % 3 > 0 THEN '10.10.0.' || (11 + event_id % 5) ELSE 'unknown' END",
+    )
     found = {
         "silver_submissions": silver,
         "silver_metrics": silver_metrics,
@@ -271,6 +284,9 @@ FROM board LEFT JOIN users USING (user_id)""",
         "cheat_windows_approx": every_window,
         "cheat_alerts": f"{_with(_SUBMISSIONS, _WINDOWS, _bursts())} SELECT * FROM bursts",
         "system_alerts": f"{alerts} SELECT * FROM alerts",
+        "cheat_alerts_once_a_minute": f"{minutes},{_bursts()} SELECT * FROM bursts",
+        "stream_alerts_once_a_minute": f"{minutes},{_bursts(minute_over)} SELECT * FROM bursts",
+        "windows_of_unknown_addresses": f"{_with(unknown, _WINDOWS)} SELECT * FROM windows",
         "stream_bronze": silver,
         "stream_bronze_metrics": silver_metrics,
         "stream_leaderboard": solved,
@@ -400,6 +416,8 @@ FROM (SELECT event_id, epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts)
         "stored_failure_rollup": "srv_failure_rollup",
         "stored_instructor_board": "srv_instructors",
         "stored_tier_distribution": "srv_tier_distribution",
+        "stream_cheat_alerts_approx": "stream_alerts",
+        "stream_from_topic_files": "silver_submissions",
         "restarted_leaderboard": "stream_leaderboard",
         "restarted_alerts": "stream_alerts",
         "incremental_submissions": "silver_submissions",

@@ -112,7 +112,7 @@ def alert_stream(submission_messages: DataFrame, metric_messages: DataFrame, set
         "timestamp", times.whole_second(F.col("timestamp"))
     )
     events = alerts.activity(submissions)
-    windows = alerts.burst_windows(events, rules, settings.approximate_addresses)
+    windows = alerts.burst_windows(events, rules, settings.approximate_addresses, settings.alert_once_a_minute)
     both = alerts.every_alert(alerts.latency(metrics, rules), alerts.bursts(windows, rules))
     return both.withColumn("triggered_at", F.coalesce("triggered_at", F.current_timestamp()))
 

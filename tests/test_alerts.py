@@ -1,6 +1,8 @@
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from learnlens.config import Rules
 from learnlens.operators import alerts
 
@@ -111,3 +113,47 @@ def test_union_keeps_duplicates(spark):
     bursts = alerts.bursts(alerts.burst_windows(events(spark), RULES), RULES)
     assert alerts.every_alert(latency, bursts).count() == 2
     assert latency.first().triggered_at.replace(tzinfo=timezone.utc).timestamp() == 1.0
+
+
+def many_addresses(spark, number):
+    return spark.range(2 * number).select(
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 20).alias("event_time"),
+        F.lit("u").alias("user_id"),
+        F.col("id").cast("string").alias("submission_id"),
+        (F.col("id") % number).cast("string").alias("client_ip"),
+    )
+
+
+def test_sketches_of_very_many_addresses(spark):
+    rules = Rules()
+    exact = alerts.burst_windows(many_addresses(spark, 100_000), rules).collect()
+    rough = {r.window_start: r for r in alerts.burst_windows(many_addresses(spark, 100_000), rules, True).collect()}
+    assert len(exact) == len(rough) == 4
+    for row in exact:
+        other = rough[row.window_start]
+        assert other.submission_count_30s == row.submission_count_30s
+        assert other.window_last_event == row.window_last_event
+        assert abs(other.distinct_ip_count / row.distinct_ip_count - 1) < 0.05  # four standard errors
+
+
+def test_stored_panes_give_the_same_windows(spark, tmp_path):
+    rules, events = Rules(), many_addresses(spark, 500)
+    alerts.activity_panes(events, rules).write.parquet(str(tmp_path / "panes"))
+    stored = spark.read.parquet(str(tmp_path / "panes"))
+    assert stored.count() == 2  # a row per user and ten seconds
+    windows = alerts.pane_windows(stored, rules).select("user_id", "window", alerts.SUBMISSIONS, "distinct_ip_count")
+    once = alerts.pane_windows(alerts.activity_panes(events, rules), rules).select(*windows.columns)
+    assert sorted(map(tuple, windows.collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_one_alert_for_a_burst(spark):
+    rules = Rules()
+    seconds = [0, 1, 2, 100, 101, 125]
+    rows = [(datetime(2024, 1, 1) + timedelta(seconds=s), "u", f"s{i}", "ip") for i, s in enumerate(seconds)]
+    events = spark.createDataFrame(rows, "event_time timestamp, user_id string, submission_id string, client_ip string")
+    starts = [r.window_start for r in alerts.burst_windows(events, rules, once_a_minute=True).collect()]
+    seconds = sorted(int((s - datetime(2024, 1, 1)).total_seconds()) for s in starts)
+    # windows from -20, -10 and 0; 80 to 100; 100 holds 125 too: the first of the minutes 0, 1 and 2
+    assert seconds == [-20, 80, 100]
+    all_starts = [r.window_start for r in alerts.bursts(alerts.burst_windows(events, rules), rules).collect()]
+    assert len(all_starts) == 6 and set(starts) <= set(all_starts)

@@ -25,6 +25,9 @@ RUN_JOBS = {  # these train or run streams while they are built
     "srv_risk_board",
     "srv_recommendation_board",
     "stream_alerts",
+    "stream_alerts_once_a_minute",
+    "stream_cheat_alerts_approx",
+    "stream_from_topic_files",
     "stream_bronze",
     "stream_bronze_metrics",
     "stream_leaderboard",

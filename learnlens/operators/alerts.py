@@ -151,3 +151,9 @@ def bursts(windows: DataFrame, rules: Rules) -> DataFrame:
 
 def every_alert(latency_alerts: DataFrame, burst_alerts: DataFrame) -> DataFrame:
     return latency_alerts.unionByName(burst_alerts)
+
+
+def corrections(complete: DataFrame, raised: DataFrame) -> DataFrame:
+    """Alerts that should have been raised, and those whose counts were too low because rows came late."""
+    told = raised.select("alert_id", "description")
+    return complete.join(told, ["alert_id", "description"], "left_anti").select(*ALERT_COLUMNS)

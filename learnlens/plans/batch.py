@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlens import schemas
-from learnlens.config import Settings
+from learnlens.config import Rules, Settings
 from learnlens.functions import times
-from learnlens.operators import dropout, features, gold, recommend
+from learnlens.operators import alerts, dropout, features, gold, recommend
 from learnlens.operators.dedup import latest_by_key
 from learnlens.session import job_folder, staged
 from learnlens.sources import payloads
@@ -105,6 +105,23 @@ def refresh(warehouse: Warehouse, ingest_days: Sequence[str] | None = None) -> l
     )
 
 
+def late_alerts(warehouse: Warehouse, rules: Rules, ingest_days: Sequence[str] | None = None) -> DataFrame:
+    """Burst alerts over the windows that the stream has closed, where it missed rows that came late.
+
+    The stream drops a row whose windows are closed, but raw messages keep it.  Windows are counted
+    again from the messages that came on ``ingest_days`` (all without it), the last copy of each, and
+    compared with the alerts raised.  Give the day before too, so that windows are whole.
+    """
+    wanted = schemas.fields_of(schemas.SUBMISSION, "submission_id", "user_id", "client_ip", "timestamp")
+    raw = warehouse.read_bronze("bronze_submissions", days=None if ingest_days is None else [str(d) for d in ingest_days])
+    parsed = payloads.parse(raw.drop("submission_id"), wanted, "ingest_timestamp")
+    latest = latest_by_key(parsed, ("submission_id",), ("ingest_timestamp",))
+    events = staged(alerts.activity(latest.withColumn("timestamp", times.whole_second(F.col("timestamp")))), "activity")
+    closed = events.agg((F.max("event_time") - F.expr(f"INTERVAL {rules.watermark}")).alias("end")).first()["end"]
+    windows = alerts.burst_windows(events, rules).filter(F.col("window_end") <= F.lit(closed))
+    return alerts.corrections(alerts.bursts(windows, rules), warehouse.read_alerts())
+
+
 def run_batch(
     spark: SparkSession,
     settings: Settings,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from learnlens.config import Rules
 from learnlens.plans import serving
@@ -27,8 +27,9 @@ class Boards:
     def _profiles(self) -> DataFrame:
         return self.warehouse.read("gold_adaptive_difficulty_profiles")
 
-    def leaderboard(self, limit: int | None = 10) -> DataFrame:
-        return serving.leaderboard(self._leaderboard(), self.users, limit)
+    def leaderboard(self, limit: int | None = 10, as_of: Column | None = None) -> DataFrame:
+        """``as_of``: the moment that ages are told from, ``current_timestamp()`` for a live board."""
+        return serving.leaderboard(self._leaderboard(), self.users, limit, as_of)
 
     def leaderboard_kpis(self) -> DataFrame:
         return serving.leaderboard_kpis(self._leaderboard(), self.users)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -382,6 +382,65 @@ def restarted_alerts(t: DriverTables) -> DataFrame:
     return _in_four_runs(t, start).read_alerts().select(*alerts.ALERT_COLUMNS)
 
 
+def _part_of(t: DriverTables) -> Column:
+    """Which of four arrivals an event is in: three of the order of time, and last what is late of the first."""
+    events = t.table("events")
+    bounds = events.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    place = (F.col("event_id") - F.lit(bounds["a"])) * 4 / F.lit(bounds["b"] - bounds["a"] + 1)
+    late = (place < 1) & (F.col("event_id") % 5 < 3)
+    return F.when(late, 3).when(place < 2, 0).when(place < 3, 1).otherwise(2)
+
+
+@query
+def late_alerts(t: DriverTables) -> DataFrame:
+    """What the night adds to the alerts of a stream that most events of the first quarter reached last."""
+    live, settings = _stream(t)
+    events, part, folder = t.table("events"), _part_of(t), new_folder(t.spark, "arrivals")
+    arrivals = DriverTables(live.spark, folder)
+    for number in range(4):
+        events.filter(part == number).write.mode("append").parquet(arrivals.path("events"))
+        for running in (
+            streams.start_bronze_submissions(arrivals.submission_messages(arrivals.event_stream()), settings, True),
+            streams.start_alerts(
+                arrivals.submission_messages(arrivals.event_stream()),
+                arrivals.metric_messages(arrivals.event_stream()),
+                settings,
+                available_now=True,
+            ),
+        ):
+            running.awaitTermination()
+    return batch.late_alerts(Warehouse(t.spark, settings.root), RULES)
+
+
+@query
+def fresh_start_counts(t: DriverTables) -> DataFrame:
+    """Rows after the streams took all events, began afresh and took them again."""
+    live, settings = _stream(t)
+    warehouse = Warehouse(t.spark, settings.root)
+    for again in (False, True):
+        if again:
+            warehouse.open_generation()
+        for running in (
+            streams.start_bronze_submissions(live.submission_messages(live.event_stream()), settings, True),
+            streams.start_leaderboard(live.submission_messages(live.event_stream()), settings, True),
+        ):
+            running.awaitTermination()
+    return warehouse.row_counts(["bronze_submissions", "gold_live_leaderboard", "gold_system_alerts"])
+
+
+@query
+def alerts_without_a_time(t: DriverTables) -> DataFrame:
+    """Latency alerts of a stream whose metrics do not say when: all of them have a time."""
+    live, settings = _stream(t)
+    metrics = live.metric_messages(live.event_stream())
+    silent = metrics.select(
+        F.regexp_replace(F.col("value").cast("string"), ',"timestamp":[^,}]*', "").cast("binary").alias("value")
+    )
+    streams.start_alerts(live.submission_messages(live.event_stream()), silent, settings, True).awaitTermination()
+    found = Warehouse(t.spark, settings.root).read_alerts().filter(F.col("alert_type") == "HIGH_LATENCY")
+    return found.agg(F.count("*").alias("rows"), F.count("triggered_at").alias("timed"))
+
+
 # the nightly job, run whole -----------------------------------------------------------
 
 
@@ -405,12 +464,12 @@ def nightly_table_counts(t: DriverTables) -> DataFrame:
     return _once(t, _nightly).row_counts(["bronze_submissions", "silver_submissions", *schemas.BATCH_GOLD])
 
 
-_WAREHOUSES: dict[tuple[str, ...], Warehouse] = {}
+_WAREHOUSES: dict[tuple, Warehouse] = {}
 
 
 def _once(t: DriverTables, build: Callable[[DriverTables], Warehouse]) -> Warehouse:
-    """The tables of one job per application and folder, for the queries that read them back."""
-    key = (t.spark.sparkContext.applicationId, t.folder, build.__name__)
+    """The tables of one job per application and state of the files, for the queries that read them back."""
+    key = (t.spark.sparkContext.applicationId, build.__name__, t.folder, t.state())
     if key not in _WAREHOUSES:
         _WAREHOUSES[key] = build(t)
     return _WAREHOUSES[key]
@@ -469,6 +528,81 @@ def stored_tier_distribution(t: DriverTables) -> DataFrame:
     return _boards(t).tier_distribution()
 
 
+@query
+def stored_failure_share(t: DriverTables) -> DataFrame:
+    return _boards(t).failure_share()
+
+
+@query
+def stored_revenue_board(t: DriverTables) -> DataFrame:
+    return _boards(t).revenue().drop("last_updated")
+
+
+@query
+def stored_revenue_totals(t: DriverTables) -> DataFrame:
+    return _boards(t).revenue_totals()
+
+
+@query
+def stored_update_times(t: DriverTables) -> DataFrame:
+    """Rows of each report, and how many of them say when they were stored."""
+    warehouse = _once(t, _nightly)
+    counted = [
+        warehouse.read(name, ["last_updated"]).agg(F.count("*").alias("rows"), F.count("last_updated").alias("stamped"))
+        .select(F.lit(name).alias("table_name"), "rows", "stamped")
+        for name in schemas.BATCH_GOLD
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def _live(t: DriverTables) -> Warehouse:
+    """The tables of the night, and of streams that took all events."""
+    warehouse = _nightly(t)
+    width = t.spark.sparkContext.defaultParallelism
+    settings = Settings(root=warehouse.root, stream_shuffle_partitions=width)
+    live = DriverTables(stream_session(t.spark, settings), t.folder)
+    for running in (
+        streams.start_leaderboard(live.submission_messages(live.event_stream()), settings, available_now=True),
+        streams.start_alerts(
+            live.submission_messages(live.event_stream()),
+            live.metric_messages(live.event_stream()),
+            settings,
+            available_now=True,
+        ),
+    ):
+        running.awaitTermination()
+    return warehouse
+
+
+def _live_boards(t: DriverTables) -> Boards:
+    return Boards(_once(t, _live), t.users(), t.problems())
+
+
+@query
+def stored_leaderboard(t: DriverTables) -> DataFrame:
+    return _live_boards(t).leaderboard().drop("last_updated")
+
+
+@query
+def stored_leaderboard_kpis(t: DriverTables) -> DataFrame:
+    return _live_boards(t).leaderboard_kpis()
+
+
+@query
+def stored_quick_stats(t: DriverTables) -> DataFrame:
+    return _live_boards(t).quick_stats()
+
+
+@query
+def stored_alert_feed(t: DriverTables) -> DataFrame:
+    return _live_boards(t).alerts()
+
+
+@query
+def stored_alert_counts(t: DriverTables) -> DataFrame:
+    return _live_boards(t).alert_counts()
+
+
 _NIGHTS = ("2024-02-01", "2024-02-02", "2024-02-03")
 
 
@@ -658,10 +792,19 @@ def srv_leaderboard_kpis(t: DriverTables) -> DataFrame:
     return serving.leaderboard_kpis(leaderboard.solved_counts(t.submissions()), t.users())
 
 
+@query
+def srv_leaderboard_age(t: DriverTables) -> DataFrame:
+    """The leaderboard with the age of each user's last pass at a fixed moment."""
+    passes = t.submissions().filter(F.col("status") == "Pass")
+    last = passes.groupBy("user_id").agg(F.max("timestamp").alias("last_updated"))
+    board = leaderboard.solved_counts(t.submissions()).join(last, "user_id")
+    as_of = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    return serving.leaderboard(board, t.users(), as_of=as_of)
+
+
 @query
 def srv_quick_stats(t: DriverTables) -> DataFrame:
-    board = leaderboard.solved_counts(t.submissions())
-    return serving.quick_stats(board, _heatmap(t), gold.engagement(_features(t), RULES), RULES)
+    return serving.status_line(t.submissions(), t.metrics(), RULES)
 
 
 @query

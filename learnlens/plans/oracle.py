@@ -229,6 +229,31 @@ def statements() -> dict[str, str]:
         "'10.10.0.' || (11 + event_id % 5)",
         "CASE WHEN event_id % 3 > 0 THEN '10.10.0.' || (11 + event_id % 5) ELSE 'unknown' END",
     )
+    # which of four arrivals an event is in, and the windows it still counted in when it came
+    arrivals = """
+arrivals AS (
+  SELECT *, CASE WHEN place < 1 AND CAST(submission_id AS BIGINT) % 5 < 3 THEN 3 WHEN place < 2 THEN 0
+                 WHEN place < 3 THEN 1 ELSE 2 END AS part
+  FROM (SELECT *, (CAST(submission_id AS BIGINT) - (SELECT min(event_id) FROM events)) * 4
+                  / (SELECT max(event_id) - min(event_id) + 1 FROM events) AS place FROM submissions)),
+taken AS (
+  SELECT a.*, a.second - a.second % 10 - unnest([0, 10, 20]) AS start_second,
+         (SELECT max(second) - 120 FROM arrivals AS b WHERE b.part < a.part) AS closed_through
+  FROM arrivals AS a),
+seen AS (
+  SELECT user_id, start_second, count(*) AS n, count(DISTINCT client_ip) AS ips
+  FROM taken WHERE closed_through IS NULL OR start_second + 30 > closed_through
+  GROUP BY user_id, start_second)"""
+    late = f"""{_with(_SUBMISSIONS, _WINDOWS, _bursts(_CLOSED))},{arrivals}
+SELECT * FROM bursts WHERE NOT EXISTS (
+  SELECT 1 FROM seen WHERE seen.user_id = bursts.user_id
+    AND make_timestamp(start_second * 1000000) = window_start
+    AND bursts.description = 'Window anomaly: submissions_30s=' || n || ', distinct_ips=' || ips)"""
+    risk = f"""{model},{_USERS},{_TIERS},
+scored AS (
+  SELECT user_id, coalesce((SELECT 1 / (1 + exp(-list_dot_product(x, b))) FROM fitted),
+                           CASE WHEN label = 1 THEN 0.8 ELSE 0.2 END) AS p
+  FROM scaled)"""
     found = {
         "silver_submissions": silver,
         "silver_metrics": silver_metrics,
@@ -356,6 +381,49 @@ LEFT JOIN part ON 'prob_' || p_partkey = recommended_problem_id""",
         "srv_leaderboard_top10": f"""{board}
 SELECT user_id, rank_tier, total_solved, recent_status, full_name, class_cohort
 FROM board LEFT JOIN users USING (user_id) ORDER BY total_solved DESC, user_id LIMIT 10""",
+        "srv_leaderboard_age": f"""{board},
+last_pass AS (SELECT user_id, max(second) AS second FROM submissions WHERE status = 'Pass' GROUP BY user_id),
+aged AS (
+  SELECT board.*, make_timestamp(second * 1000000) AS last_updated,
+         epoch(TIMESTAMP '2024-01-02 00:00:00') - second AS seconds
+  FROM board JOIN last_pass USING (user_id))
+SELECT user_id, rank_tier, total_solved, recent_status, last_updated, full_name, class_cohort,
+       CASE WHEN seconds < 60 THEN 'Just now'
+            WHEN seconds < 3600 THEN CAST(floor(seconds / 60) AS BIGINT) || ' mins ago'
+            WHEN seconds < 86400 THEN CAST(floor(seconds / 3600) AS BIGINT) || ' hours ago'
+            ELSE CAST(floor(seconds / 86400) AS BIGINT) || ' days ago' END AS age
+FROM aged LEFT JOIN users USING (user_id) ORDER BY total_solved DESC, user_id LIMIT 10""",
+        "late_alerts": late,
+        "fresh_start_counts": f"""{board}
+SELECT 'bronze_submissions' AS table_name, 2 * count(*) AS rows FROM events
+UNION ALL SELECT 'gold_live_leaderboard', count(*) FROM board
+UNION ALL SELECT 'gold_system_alerts', 0""",
+        "alerts_without_a_time": f"""{_with(_METRICS, _LATENCY)}
+SELECT count(*) AS rows, count(*) AS timed FROM latency""",
+        "stored_update_times": f"""{features},{_PROBLEMS},{_HEATMAP},{_REVENUE},{_INSTRUCTORS},
+counted AS (
+  SELECT 'gold_engagement_scores' AS table_name, count(*) AS rows FROM features
+  UNION ALL SELECT 'gold_difficulty_heatmap', count(*) FROM heatmap
+  UNION ALL SELECT 'gold_subscription_revenue', count(*) FROM revenue
+  UNION ALL SELECT 'gold_instructor_report_card', count(*) FROM instructors
+  UNION ALL SELECT 'gold_dropout_predictions', count(*) FROM features
+  UNION ALL SELECT 'gold_next_problem_recommendations', count(DISTINCT user_id) FROM submissions WHERE status = 'Pass'
+  UNION ALL SELECT 'gold_adaptive_difficulty_profiles', count(*) FROM features)
+SELECT table_name, rows, rows AS stamped FROM counted""",
+        "stored_alert_feed": f"""{closed},{_USERS}
+SELECT alert_id, triggered_at, alert_type, coalesce(full_name, alerts.user_id) AS full_name,
+       coalesce(class_cohort, 'Unknown') AS class_cohort, description
+FROM alerts LEFT JOIN users ON users.user_id = alerts.user_id
+ORDER BY triggered_at DESC, alert_id LIMIT 50""",
+        "stored_alert_counts": f"""{closed}
+SELECT count(*) FILTER (WHERE alert_type = 'HIGH_LATENCY') AS high_latency,
+       count(*) FILTER (WHERE alert_type = 'CHEAT_DETECTED') AS cheat_detected
+FROM alerts""",
+        "srv_risk_board": f"""{risk}
+SELECT scored.user_id AS user_id, full_name, class_cohort, {_half_up("p * 100")} AS dropout_probability,
+       CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS risk_label,
+       performance_tier, {_DIFFICULTY} AS recommended_difficulty
+FROM scored JOIN tiers USING (user_id) LEFT JOIN users ON users.user_id = scored.user_id""",
         "srv_leaderboard_kpis": f"""{board}
 SELECT (SELECT full_name FROM board LEFT JOIN users USING (user_id)
         ORDER BY total_solved DESC, user_id LIMIT 1) AS top_student,
@@ -415,6 +483,12 @@ FROM (SELECT event_id, epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts)
         "stored_heatmap_board": "srv_heatmap_top12",
         "stored_failure_rollup": "srv_failure_rollup",
         "stored_instructor_board": "srv_instructors",
+        "stored_failure_share": "srv_failure_share",
+        "stored_revenue_board": "srv_revenue",
+        "stored_revenue_totals": "srv_revenue_totals",
+        "stored_leaderboard": "srv_leaderboard_top10",
+        "stored_leaderboard_kpis": "srv_leaderboard_kpis",
+        "stored_quick_stats": "srv_quick_stats",
         "stored_tier_distribution": "srv_tier_distribution",
         "stream_cheat_alerts_approx": "stream_alerts",
         "stream_from_topic_files": "silver_submissions",

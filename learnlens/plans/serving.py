@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from learnlens.config import Rules
 from learnlens.functions import rules as R
+from learnlens.functions import times
+from learnlens.operators import features
 
 
 def _top(df: DataFrame, limit: int | None, *order: Column) -> DataFrame:
@@ -20,13 +22,22 @@ def _top(df: DataFrame, limit: int | None, *order: Column) -> DataFrame:
     return ranked if limit is None else ranked.limit(limit)
 
 
+def _stamp(rows: DataFrame) -> list[str]:
+    """When the row was stored, if it was."""
+    return ["last_updated"] if "last_updated" in rows.columns else []
+
+
 def _named(rows: DataFrame, users: DataFrame) -> DataFrame:
     return rows.join(users.select("user_id", "full_name", "class_cohort"), "user_id", "left")
 
 
-def leaderboard(board: DataFrame, users: DataFrame, limit: int | None = 10) -> DataFrame:
+def leaderboard(
+    board: DataFrame, users: DataFrame, limit: int | None = 10, as_of: Column | None = None
+) -> DataFrame:
+    """With ``as_of`` the age of every row at that moment too."""
     order = F.desc("total_solved"), F.asc("user_id")
-    return _named(_top(board, limit, *order), users).orderBy(*order)
+    rows = _named(_top(board, limit, *order), users).orderBy(*order)
+    return rows if as_of is None else rows.withColumn("age", times.relative_age(F.col("last_updated"), as_of))
 
 
 def leaderboard_kpis(board: DataFrame, users: DataFrame) -> DataFrame:
@@ -66,6 +77,45 @@ def quick_stats(board: DataFrame, heatmap: DataFrame, engagement: DataFrame, rul
     )
 
 
+def status_line(submissions: DataFrame, metrics: DataFrame, rules: Rules) -> DataFrame:
+    """The row of ``quick_stats`` from typed submissions and metrics, each read once.
+
+    One aggregate over both sums per user and per problem (grouping sets); the figures are those of the
+    leaderboard, the heatmap and the engagement table, none of which is built.
+    """
+    nothing = F.lit(0).cast("bigint")
+    tries = features.attempts(submissions).select(
+        "user_id",
+        "problem_id",
+        "submissions",
+        "passes",
+        "fails",
+        F.when(F.col("problem_id").isNull(), nothing).otherwise(F.col("passes")).alias("solved"),
+        F.lit(1).cast("bigint").alias("rows"),
+        F.lit(0.0).alias("seconds"),
+    )
+    pauses = metrics.filter((F.col("metric_type") == R.LOGIN_METRIC) & F.col("user_id").isNotNull()).select(
+        "user_id",
+        F.lit(None).cast("string").alias("problem_id"),
+        *[nothing.alias(name) for name in ("submissions", "passes", "fails", "solved", "rows")],
+        F.col("value").alias("seconds"),
+    )
+    sums = [F.sum(name).alias(name) for name in ("submissions", "passes", "fails", "solved", "rows", "seconds")]
+    each = tries.unionByName(pauses).groupingSets([["user_id"], ["problem_id"]], "user_id", "problem_id")
+    totals = each.agg(F.grouping("problem_id").alias("of_user"), *sums)
+
+    user = (F.col("of_user") == 1) & F.col("user_id").isNotNull() & (F.col("rows") > 0)
+    problem = (F.col("of_user") == 0) & F.col("problem_id").isNotNull()
+    score = R.engagement_score(F.coalesce("seconds", F.lit(0.0)) / 60.0, F.col("passes"), rules)
+    rate = R.share_pct(F.col("fails"), F.col("submissions"))
+    return totals.agg(
+        F.count_if(user & (F.col("passes") > 0)).alias("active_users"),
+        F.coalesce(F.sum(F.when(user, F.col("solved"))), nothing).alias("total_solved"),
+        F.round(F.coalesce(F.avg(F.when(problem, rate)), F.lit(0.0)), 2).alias("avg_fail_rate"),
+        F.count_if(user & (score < rules.low_engagement)).alias("low_engagement_users"),
+    )
+
+
 def heatmap(board: DataFrame, problems: DataFrame, limit: int | None = 12) -> DataFrame:
     order = F.desc("fail_rate_pct"), F.asc("problem_id")
     top = _top(board, limit, *order)
@@ -125,6 +175,7 @@ def risk_board(
             "risk_label",
             R.or_unknown("performance_tier"),
             R.or_unknown("recommended_difficulty"),
+            *_stamp(predictions),
         )
     )
 
@@ -156,6 +207,7 @@ def recommendation_board(
             "recommendation_score",
             R.or_unknown("performance_tier"),
             R.or_unknown("recommended_difficulty"),
+            *_stamp(recommendations),
         )
     )
 

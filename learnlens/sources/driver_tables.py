@@ -35,6 +35,12 @@ class DriverTables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def state(self) -> tuple:
+        """Names, sizes and times of change of the tables: other files give another state."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(schemas.GIVEN[name]).parquet(self.path(name))
 

@@ -12,6 +12,9 @@ from learnlens.sources.tables import Warehouse
 
 QUERIES = catalogue.registered()
 RUN_JOBS = {  # these train or run streams while they are built
+    "alerts_without_a_time",
+    "fresh_start_counts",
+    "late_alerts",
     "dropout_model_weights",
     "dropout_predictions",
     "dropout_predictions_rounded",
@@ -57,6 +60,11 @@ def test_scans_read_only_what_is_used(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in plan(spark, "cohort_leaderboard")
 
 
+def test_the_status_line_reads_each_table_once(spark):
+    text = plan(spark, "srv_quick_stats")
+    assert text.count("ReadSchema") == 2 and "Join" not in text and text.count("Exchange") == 2
+
+
 def test_failure_share_reads_its_tables_once(spark):
     assert plan(spark, "srv_failure_share").count("ReadSchema") == 2
 

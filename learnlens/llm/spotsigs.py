@@ -1,20 +1,22 @@
 """SpotSigs fingerprints, in DataFrame functions alone.
 
-A spot is a common word (an anchor); its signature is the anchor with the chain of the next ``chain``
-content words, anchors between them included in the chain but not counted.  The distinct signatures of
-a text, as sorted 32-bit hashes, are its fingerprint.  Boilerplate has few anchors, running text
-has many, so the set follows the text and not its frame.
+A spot is a common word (an anchor); its signature is the anchor with the next ``chain`` content words,
+other anchors left out.  The distinct signatures of a text, as sorted 32-bit hashes, are its fingerprint.
+Boilerplate has few anchors, running text has many, so the set follows the text and not its frame.
+
+A text is cut once into runs of anchors, each with the content word that ends it, so that the words after an
+anchor are looked up by position: the work follows the length of the text, whatever it repeats.
 
 Two sets with Jaccard similarity of at least t have sizes within a factor t, so sets are partitioned by
 length: partition ``floor(log(size) / log(1 / t))``, and only equal or adjacent partitions can
 match.  ``likeness`` compares two sets; ``similar`` joins a table of sets through the partitions
-and the signatures that a matching pair cannot avoid sharing.
+and the signatures that a matching pair cannot avoid sharing, the rarest of each set.
 
 Anchors come from the commonest words of the languages at hand.  A text without spots (too short,
 or without anchors) takes its words as signatures.
 
 Defined results: a null text is an empty one, with an empty set and the fingerprint ``''``; two empty
-sets have likeness 1; rows with a null doc_id come last in the order; rows with equal doc_ids are
+sets have likeness 1; rows with a null doc_id come last in the order; these and rows with equal doc_ids are
 ordered by their texts' hashes; the only row of a table is its own next; an empty table gives no rows.
 """
 
@@ -56,18 +58,41 @@ def words_of(text: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def signatures(text: Column, chain: int = 2, anchors: list[str] | tuple = ANCHORS) -> Column:
     """The distinct signatures of a text, sorted."""
-    anchor = _tree(list(anchors))
-    between = f"(?:{anchor} )*+"
-    content = rf"{between}[\p{{L}}\p{{N}}]+ "
-    # a look-ahead, so that chains may overlap
-    spots = F.regexp_extract_all(
-        words_of(text), F.lit(rf"(?<= )(?=({anchor} (?:{content}){{{chain}}}))"), F.lit(1)
+    # runs of anchors, each with the word that ends it; a full stop ends the last
+    runs = F.regexp_extract_all(
+        F.concat(F.trim(words_of(text)), F.lit(" . ")), F.lit(rf"(?:{_tree(list(anchors))} )*+[^ ]+ "), F.lit(0)
     )
-    words = F.filter(F.split(words_of(text), " "), lambda w: w != "")
-    chosen = F.when(F.size(spots) > 0, spots).otherwise(words)
-    return F.array_sort(F.array_distinct(F.transform(chosen, lambda s: F.hash(s))))
+
+    def all_of(runs: Column) -> Column:
+        words = F.transform(runs, lambda run: F.substring_index(F.rtrim(run), " ", -1))
+        return _let(words, lambda words: spots_of(runs, words))
+
+    def spots_of(runs: Column, words: Column) -> Column:
+        whole = F.greatest(F.size(words) - chain, F.lit(0))  # runs with enough words behind them
+
+        def of_run(run: Column, place: Column) -> Column:
+            after = [F.get(words, place + i) for i in range(chain)]
+            parts = F.split(F.rtrim(run), " ")
+            own = F.array_distinct(F.slice(parts, F.lit(1), F.size(parts) - 1))
+            return F.transform(own, lambda anchor: F.hash(F.concat_ws(" ", anchor, *after)))
+
+        return F.flatten(F.transform(F.slice(runs, F.lit(1), whole), of_run))
+
+    def chosen(runs: Column) -> Column:
+        plain = F.filter(F.split(F.concat_ws("", runs), " "), lambda word: (word != "") & (word != "."))
+        return _let(
+            all_of(runs),
+            lambda spots: F.when(F.size(spots) > 0, spots).otherwise(F.transform(plain, lambda word: F.hash(word))),
+        )
+
+    return F.array_sort(F.array_distinct(_let(runs, chosen)))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -84,26 +109,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def similar(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+def similar(sets: DataFrame, threshold: float = 0.8, tile: int = 1000) -> DataFrame:
     """``(a, b, likeness)``: pairs of rows ``(id, sigs)`` with different sets and at least this
     likeness, ``a < b``.
 
-    Equal sets count once, by their smallest id.  A set of n signatures shares at least one of its
-    first ``n - ceil(t * n) + 1`` with every match; these alone are joined, within a partition and
-    to the next.
+    Equal sets count once, by their smallest id.  A set of n signatures shares at least one of any
+    ``n - ceil(t * n) + 1`` of its own with every match; the rarest ones are taken, and these alone are joined,
+    within a length partition and to the next.  A signature that more than ``tile`` sets have taken is cut into
+    tiles, each joined with all others.
     """
     one = sets.filter(F.size("sigs") > 0).groupBy("sigs").agg(F.min("id").alias("id"))
-    prefix = F.slice("sigs", F.lit(1), F.size("sigs") - F.ceil(F.size("sigs") * threshold).cast("int") + 1)
+    spread = one.select("id", F.explode("sigs").alias("sig"))
+    rarity = spread.groupBy("sig").agg(F.count("*").alias("n"))
+    taken = F.col("size") - F.ceil(F.col("size") * threshold).cast("int") + 1
+    ordered = spread.join(rarity, "sig").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("rare"), F.count("*").cast("int").alias("size")
+    )
+    prefix = ordered.select("id", F.explode(F.slice("rare.sig", F.lit(1), taken)).alias("sig"))
+    tiles = prefix.groupBy("sig").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     part = length_partition(F.col("sigs"), threshold)
-    left = one.select("id", "sigs", part.alias("part"), F.explode(prefix).alias("sig"))
-    right = one.select(
-        F.col("id").alias("id2"), F.col("sigs").alias("sigs2"), prefix.alias("p"), part.alias("part2")
-    ).select("id2", "sigs2", F.explode("p").alias("sig2"), "part2")
+    entries = prefix.join(tiles, "sig").join(one.select("id", "sigs", part.alias("part")), "id")
+    left = entries.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
+    right = entries.select(
+        F.col("id").alias("id2"), F.col("sigs").alias("sigs2"), F.col("sig").alias("sig2"), F.col("part").alias("part2"),
+        F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile2"),
+    )
     right = right.select("*", F.explode(F.array(F.col("part2"), F.col("part2") - 1)).alias("part3"))
     smaller, larger = F.least(F.size("sigs"), F.size("sigs2")), F.greatest(F.size("sigs"), F.size("sigs2"))
     once = (F.col("part") < F.col("part2")) | (F.col("id") < F.col("id2"))
+    same = (F.col("sig") == F.col("sig2")) & (F.col("part") == F.col("part3")) & (F.col("tile") == F.col("tile2"))
     near = (
-        left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("part") == F.col("part3")))
+        left.join(right, same)
         .filter((F.col("id") != F.col("id2")) & once & (smaller >= larger * threshold))
         .withColumn("likeness", likeness(F.col("sigs"), F.col("sigs2")))
         .filter(F.col("likeness") >= threshold)
@@ -121,13 +157,14 @@ def edited_pairs(documents: DataFrame, scratch: Scratch, threshold: float = 0.8)
     edges = sorted(set(edges or []))
     # ids in ranges; the ranges are sorted apart from each other, and their first rows passed on
     bounds = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<bigint>")
-    rank = F.when(F.col("doc_id").isNull(), -1).otherwise(
-        F.size(F.filter(bounds, lambda e: e <= F.col("doc_id")))
-    )
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("part"))
-
     order = [F.desc_nulls_last("doc_id"), F.desc("tie")]
-    tied = rows.withColumn("tie", F.xxhash64("text"))
+    tied = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    tied = tied.withColumn("tie", F.xxhash64("text"))
+    # rows without an id come behind the others, in ranges of their own
+    share = F.floor((F.col("tie") / 2.0**64 + 0.5) * parts).cast("int")
+    last = F.least(F.greatest(share, F.lit(0)), F.lit(parts - 1)) - parts
+    rank = F.when(F.col("doc_id").isNull(), last).otherwise(F.size(F.filter(bounds, lambda e: e <= F.col("doc_id"))))
+    tied = tied.withColumn("part", rank)
     first = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "tie")
     heads = tied.groupBy("part").agg(F.max_by("text", first).alias("head"))
     heads = scratch.stage(heads, "heads")

@@ -4,11 +4,13 @@ import gzip
 import hashlib
 import io
 import math
+import time
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from learnlens.llm import brown, hamming_join, kneser_ney, packing, pstable, spotsigs, warc
@@ -192,11 +194,56 @@ def test_edited_texts_and_likeness_by_brute_force(small, small_rows, scratch):
 
 def test_signatures_are_chains_after_anchors(spark):
     df = spark.createDataFrame([("The cat of the dark house is old.",)], "t string")
-    spots = ["the cat of the dark ", "of the dark house ", "the dark house ", ]
+    spots = ["the cat dark", "of dark house", "the dark house"]
     want = df.select(F.array_sort(F.array(*(F.hash(F.lit(s)) for s in spots))).alias("s")).first()["s"]
     assert df.select(spotsigs.signatures(F.col("t")).alias("s")).first()["s"] == want
 
 
+def plain_signatures(text):
+    """Anchor by anchor."""
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()
+    content = [(i, w) for i, w in enumerate(words) if w not in set(spotsigs.ANCHORS)]
+    spots = set()
+    for i, word in enumerate(words):
+        after = [w for j, w in content if j > i][:2]
+        if word in set(spotsigs.ANCHORS) and len(after) == 2:
+            spots.add(" ".join([word, *after]))
+    return spots or set(words)
+
+
+def test_signatures_by_brute_force(spark, small_rows):
+    texts = [
+        *list(small_rows.values())[:60], "", "the", "the of", "the of cat", "the cat", "the cat dog", "cat dog",
+        "the the cat the of the dog the", "of The CAT, the dog.", "theory of thematic", "a.b.c of 7 8 9",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    hashed = df.sparkSession.createDataFrame(
+        [(i, s) for i, t in enumerate(texts) for s in plain_signatures(t)], "i int, s string"
+    ).groupBy("i").agg(F.array_sort(F.collect_set(F.hash("s"))).alias("want"))
+    got = df.select("i", spotsigs.signatures(F.col("t")).alias("got")).join(hashed, "i", "left").collect()
+    assert len(got) == len(texts) and all(r["got"] == (r["want"] or []) for r in got)
+
+
+def test_runs_of_anchors_take_linear_time(spark):
+    long = spark.createDataFrame([("the " * 100_000 + "cat dog",), ("the " * 100_000,), ("the cat " * 50_000,)], "t string")
+    began = time.time()
+    sizes = [r["n"] for r in long.select(F.size(spotsigs.signatures(F.col("t"))).alias("n")).collect()]
+    assert sizes == [1, 1, 1] and time.time() - began < 20
+
+
+def test_rows_without_an_id_are_spread_over_ranges(spark, scratch):
+    rows = [(None, f"the text of number {i} is here") for i in range(200)] + [(i, f"the word {i} of it") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spotsigs.edited_pairs(df, scratch).collect()
+    assert len(got) == 220
+    # one ring: every text is once the next
+    nexts = df.withColumn("tie", F.xxhash64("text")).orderBy(F.desc_nulls_last("doc_id"), F.desc("tie")).collect()
+    for one, after in zip(nexts, [*nexts[1:], nexts[0]], strict=True):
+        half = len(one["text"]) // 2
+        edited = one["text"][: len(one["text"]) - half] + after["text"][:half]
+        assert hashlib.sha256(edited.encode()).hexdigest() in {r["edited_sha256"] for r in got if r["doc_id"] == one["doc_id"]}
+
+
 def test_fingerprints_of_awkward_texts(awkward, nothing, scratch, spark):
     assert spotsigs.edited_pairs(awkward, scratch).count() == awkward.count()
     assert spotsigs.edited_pairs(nothing, scratch).collect() == []
@@ -213,7 +260,7 @@ def test_similar_sets_by_brute_force(spark):
         own = set(list(own)[: 30 - i % 5]) | set(random.integers(1000, 2000, i % 4).tolist())
         sets.append((i, sorted(int(x) for x in own)))
     sets.append((60, []))
-    got = spotsigs.similar(spark.createDataFrame(sets, "id long, sigs array<int>"), 0.8).collect()
+    got = spotsigs.similar(spark.createDataFrame(sets, "id long, sigs array<int>"), 0.8, tile=3).collect()
     one = {}
     for i, s in sets:
         one.setdefault(tuple(s), i)

@@ -469,8 +469,24 @@ def _transitions(rows: DataFrame, model: Brown) -> np.ndarray:
         return np.log10(p3)
 
 
-def score(documents: DataFrame, scratch: Scratch, model: Brown | None = None) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every text."""
+@dataclass(frozen=True)
+class Fitted:
+    """A model over a table: counts of the training texts, classes, transitions and what each text emits."""
+
+    model: Brown
+    tokens: int
+    distinct: int
+    once: int
+    table: DataFrame  # TABLE parcels: words, how often they occur and their classes
+    rows: DataFrame
+    chances: np.ndarray
+
+    @property
+    def unknown(self) -> float:
+        return (self.once + 1) / (self.tokens + 2) if self.tokens else 1.0
+
+
+def fit(documents: DataFrame, scratch: Scratch, model: Brown | None = None) -> Fitted:
     model = model or Brown()
     k = model.classes
     shards = width(documents.sparkSession)
@@ -496,15 +512,27 @@ def score(documents: DataFrame, scratch: Scratch, model: Brown | None = None) ->
     asked = parcels.filter(f"kind = {blocks.KEYS}").select(*columns)
     answered = scratch.stage(_answers(asked, vocabulary, top, table, model), "answers", by=["kind"])
     answers = answered.filter(f"kind = {blocks.KEYS}").select(*columns)
-    totals = _class_totals(answered.filter(f"kind = {blocks.TABLE}"), k)
+    tables = scratch.stage(answered.filter(f"kind = {blocks.TABLE}").select(*columns), "classes")
+    totals = _class_totals(tables, k)
     docs = parcels.filter(f"kind = {blocks.DOCS}").select(*columns)
     rows = scratch.stage(_emissions(answers, docs, totals, tokens, distinct, k), "emissions")
     scratch.drop("blocks")
     scratch.drop("answers")
-    chances = _transitions(rows, model)
-    unknown = (once + 1) / (tokens + 2) if tokens else 1.0
-    if tokens == 0:
-        chances = np.zeros_like(chances)
+    chances = _transitions(rows, model) if tokens else np.zeros((k + 1, k + 1, k + 1))
+    return Fitted(model, tokens, distinct, once, tables, rows, chances)
+
+
+def classes_of(fitted: Fitted) -> dict[bytes, int]:
+    """The class of every word, on the driver: for small tables."""
+    found = {}
+    for row in fitted.table.select("keys", "lens", "nums").collect():
+        found |= dict(zip(cut(row["keys"], unpacked(row["lens"])), row["nums"], strict=True))
+    return found
+
+
+def scored(fitted: Fitted) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every text."""
+    k, tokens, unknown, chances = fitted.model.classes, fitted.tokens, fitted.unknown, fitted.chances
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = chances.ravel()
@@ -523,8 +551,13 @@ def score(documents: DataFrame, scratch: Scratch, model: Brown | None = None) ->
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return rows.filter("trigrams IS NULL").drop("trigrams").mapInArrow(
+    return fitted.rows.filter("trigrams IS NULL").drop("trigrams").mapInArrow(
         finish,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double",
     )
+
+
+def score(documents: DataFrame, scratch: Scratch, model: Brown | None = None) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every text."""
+    return scored(fit(documents, scratch, model))

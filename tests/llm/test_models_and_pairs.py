@@ -45,6 +45,67 @@ def test_base_scores_by_brute_force_and_a_better_model(small, small_rows, scratc
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def plain_brown(documents, classes, model):
+    """The score of every text, from the classes of the words alone; the chances themselves."""
+    k = model.classes
+    train = [tokens(t) for d, t in documents if not brown.held_out(d)]
+    count = Counter(w for text in train for w in text)
+    total = sum(count.values())
+    unknown = (sum(c == 1 for c in count.values()) + 1) / (total + 2)
+    of_class = Counter()
+    for word, c in count.items():
+        of_class[classes[word]] += c
+    one, two, three = Counter(), Counter(), Counter()
+    for text in train:
+        line = [brown.ENDED, brown.ENDED, *(classes[w] for w in text)]
+        for a, b, c in zip(line, line[1:], line[2:], strict=False):
+            one[c] += 1
+            two[b, c] += 1
+            three[a, b, c] += 1
+    after_two, after_one = Counter(), Counter()
+    for (a, b, _), n in three.items():
+        after_two[a, b] += n
+    for (b, _), n in two.items():
+        after_one[b] += n
+
+    def chance(a, b, c):
+        p1 = (one[c] + 0.1) / (total + 0.1 * k)
+        p2 = (two[b, c] + model.bigram_weight * p1) / (after_one[b] + model.bigram_weight)
+        return (three[a, b, c] + model.trigram_weight * p2) / (after_two[a, b] + model.trigram_weight)
+
+    def text_score(text):
+        a = b = brown.ENDED
+        score = 0.0
+        for word in tokens(text):
+            c = classes[word] if word in count else k
+            if c == k:
+                score += math.log10(unknown)
+            else:
+                score += math.log10((1 - unknown) * chance(a, b, c) * count[word] / of_class[c])
+            a, b = b, c
+        return score
+
+    return [(d, text_score(t)) for d, t in documents], chance, unknown
+
+
+@pytest.mark.parametrize("model", [FEW, brown.Brown(classes=8, clustered=50, passes=3, workers=2)])
+def test_scores_by_brute_force(small, small_rows, scratch, model):
+    fitted = brown.fit(small, scratch, model)
+    classes = brown.classes_of(fitted)
+    documents = list(small_rows.items())
+    assert set(classes) == {t for d, text in documents if not brown.held_out(d) for t in tokens(text)}
+    expected, chance, unknown = plain_brown(documents, classes, model)
+    got = {r["doc_id"]: r["score"] for r in brown.scored(fitted).collect()}
+    assert set(got) == set(small_rows)
+    assert all(got[d] == pytest.approx(s, rel=1e-9) for d, s in expected)
+    # known words and one unknown share all probability, whatever comes before
+    known = set(classes.values())
+    assert 0 < unknown < 1
+    for a, b in [(brown.ENDED, brown.ENDED), (2, 3), (model.classes, 2)]:
+        assert sum(chance(a, b, c) for c in range(model.classes)) == pytest.approx(1, abs=1e-9)
+    assert known <= set(range(model.classes))
+
+
 def test_scores_of_awkward_texts(awkward, scratch):
     rows = brown.score(awkward, scratch, FEW).collect()
     check_scores(rows, [(r["doc_id"], r["text"]) for r in awkward.collect()])
@@ -118,7 +179,7 @@ def plain_kneser_ney(trusted, order, alphabet):
 
 
 def test_perplexity_by_brute_force(spark, awkward, scratch):
-    model = kneser_ney.Quality(order=3, alphabet=50, block_bytes=3000)
+    model = kneser_ney.Quality(order=3, alphabet=50, others=50, block_bytes=3000)
     good = [t for _, t in awkward.select("doc_id", "text").collect()[5:9] if t] * 3
     trusted = spark.createDataFrame([(t,) for t in good], "text string")
     rows = kneser_ney.log_perplexity(awkward, trusted, scratch, model).collect()

@@ -324,54 +324,68 @@ def _contexts(block: blocks.Block, keys: list[bytes], classes: dict[bytes, int],
     return columns
 
 
-def _answers(asked: DataFrame, vocabulary: DataFrame, top: dict[bytes, int], table: np.ndarray, model: Brown) -> DataFrame:
-    """KEYS parcels with the count and class of each word, TABLE parcels with all words' classes."""
+def _classified(asked: DataFrame, vocabulary: DataFrame, top: dict[bytes, int], table: np.ndarray, model: Brown) -> DataFrame:
+    """TABLE parcels: the words of a shard, how often they occur and their classes.
+
+    The contexts that blocks send are added up as they come, so a shard holds its words alone.
+    """
     k = model.classes
     joint = table + 0.5
     transit = np.log(joint / joint.sum(1, keepdims=True))
     weight = np.log(joint.sum(0) / joint.sum())
-    spark = asked.sparkSession
-    shared = spark.sparkContext.broadcast(top)  # ``clustered`` words
+    shared = asked.sparkSession.sparkContext.broadcast(top)  # ``clustered`` words
 
-    def answer(own: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def classify(own: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        known, words, counts = shared.value, [], b""
         number: dict[bytes, int] = {}
-        counts = np.empty(0, np.int64)
-        waiting: list[tuple] = []
-        stats = np.zeros((0, 2 * k), np.float32)
         for got in own:
             keys = cut(got["keys"], unpacked(got["lens"]))
             if got["kind"] == blocks.TABLE:
-                shard = got["shard"]
-                number = {w: i for i, w in enumerate(keys)}
-                counts = np.frombuffer(got["nums"], np.int64)
-                stats = np.zeros((len(keys), 2 * k), np.float32)
+                shard, words, counts = got["shard"], keys, bytes(got["nums"])
+                number = {w: i for i, w in enumerate(words)}
+                stats = np.zeros((len(words), 2 * k), np.float32)
                 continue
-            place = np.fromiter((number.get(w, -1) for w in keys), np.int64, len(keys))
             nums = unpacked(got["nums"]).astype(np.int64)
             sizes, rest = nums[: len(keys)], nums[len(keys) :]
-            entry, n = rest[: len(rest) // 2], rest[len(rest) // 2 :]
-            np.add.at(stats, (np.repeat(place, sizes), entry), n)
-            waiting.append((got["block"], got["shard"], bytes(got["codes"]), place))
+            if len(rest):
+                place = np.fromiter((number.get(w, -1) for w in keys), np.int64, len(keys))
+                entry, n = rest[: len(rest) // 2], rest[len(rest) // 2 :]
+                np.add.at(stats, (np.repeat(place, sizes), entry), n)
+        if not words:
+            return
         # the class whose neighbours fit best, for its share of all words
         fit = stats[:, :k] @ transit[:, 2:] + stats[:, k:] @ transit[2:].T - stats[:, :k].sum(1)[:, None] * weight[2:]
-        best = fit.argmax(1) + 2 if len(fit) else np.empty(0, np.int64)
-        words = list(number)
         chosen = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        chosen = np.where(chosen >= 0, chosen, best)
+        chosen = np.where(chosen >= 0, chosen, fit.argmax(1) + 2)
         chosen[np.fromiter((w == END for w in words), bool, len(words))] = ENDED
-        for block, shard, codes, place in waiting:
-            there = place >= 0
-            n = np.where(there, counts[place] if len(counts) else 0, 0)
-            own_class = np.where(there, chosen[place] if len(chosen) else 0, k)
-            columns = {"codes": codes, "lens": n.astype(np.int64).tobytes(), "nums": own_class.astype(np.uint8).tobytes()}
-            yield blocks.batch_of([blocks.parcel(blocks.KEYS, block, shard, **columns)])
-        if words:
-            columns = blocks.key_columns(words, np.arange(len(words)))
-            columns |= {"codes": counts.tobytes(), "nums": chosen.astype(np.uint8).tobytes()}
-            yield blocks.batch_of([blocks.parcel(blocks.TABLE, None, shard, **columns)])
+        columns = blocks.key_columns(words, np.arange(len(words)))
+        columns |= {"codes": counts, "nums": chosen.astype(np.uint8).tobytes()}
+        yield blocks.batch_of([blocks.parcel(blocks.TABLE, None, shard, **columns)])
+
+    return blocks.by(asked.unionByName(vocabulary), "shard", classify)
+
 
-    return blocks.by(asked.unionByName(vocabulary), "shard", answer)
+def _answers(asked: DataFrame, tables: DataFrame, model: Brown) -> DataFrame:
+    """KEYS parcels with the count and class of each word that a block asks for, one after another."""
+
+    def answer(own: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        counts, classes = np.zeros(1, np.int64), np.full(1, model.classes, np.uint8)
+        for got in own:
+            keys = cut(got["keys"], unpacked(got["lens"]))
+            if got["kind"] == blocks.TABLE:
+                number = {w: i for i, w in enumerate(keys)}
+                # a word that no training text holds is behind the others
+                counts = np.append(np.frombuffer(got["codes"], np.int64), 0)
+                classes = np.append(np.frombuffer(got["nums"], np.uint8), model.classes).astype(np.uint8)
+                continue
+            place = np.fromiter((number.get(w, -1) for w in keys), np.int64, len(keys))
+            columns = {"codes": bytes(got["codes"]), "lens": counts[place].tobytes(), "nums": classes[place].tobytes()}
+            yield blocks.batch_of([blocks.parcel(blocks.KEYS, got["block"], got["shard"], **columns)])
+
+    columns = [c.split()[0] for c in blocks.PARCEL.split(", ")]
+    plain = asked.withColumn("nums", F.lit(None).cast("binary")).select(*columns)
+    return blocks.by(plain.unionByName(tables), "shard", answer)
 
 
 def _class_totals(table: DataFrame, k: int) -> np.ndarray:
@@ -510,9 +524,8 @@ def fit(documents: DataFrame, scratch: Scratch, model: Brown | None = None) -> F
     )
     columns = [c.split()[0] for c in blocks.PARCEL.split(", ")]
     asked = parcels.filter(f"kind = {blocks.KEYS}").select(*columns)
-    answered = scratch.stage(_answers(asked, vocabulary, top, table, model), "answers", by=["kind"])
-    answers = answered.filter(f"kind = {blocks.KEYS}").select(*columns)
-    tables = scratch.stage(answered.filter(f"kind = {blocks.TABLE}").select(*columns), "classes")
+    tables = scratch.stage(_classified(asked, vocabulary, top, table, model), "classes")
+    answers = scratch.stage(_answers(asked, tables, model), "answers")
     totals = _class_totals(tables, k)
     docs = parcels.filter(f"kind = {blocks.DOCS}").select(*columns)
     rows = scratch.stage(_emissions(answers, docs, totals, tokens, distinct, k), "emissions")

@@ -12,11 +12,15 @@ symbols left, and two chunks within the errors agree on one of these keys.
 
 The members of a bucket (equal keys) gather at its pivot, the member that comes first in a
 random order.  Buckets with one pivot are one cluster, so a set is sent once to a pivot and not
-once to a bucket, and any two members of a bucket meet in a cluster.  A cluster is cut into
-tiles of bounded size, and pairs of tiles are compared as matrices inside the tasks: first by
-signature, to leave out members without any partner within ``distance``, then by their full sets.
-A pair of tiles returns a spanning forest of its confirmed links, which leaves the components
-as they are, and never the pairs.  Texts with equal sets are one node from the start.
+once to a bucket, and any two members of a bucket meet in a cluster.
+
+Members are compared with their pivot first, and only those that are not linked with it are compared with
+all members of the cluster: two members linked with the pivot are in one component already, so a group
+of many copies costs as much as it has members.  What is compared is cut into tiles of bounded size, and
+pairs of tiles are compared as matrices inside the tasks: first by signature, to leave out members
+without any partner within ``distance``, then by their full sets.  A pair of tiles returns a spanning
+forest of its confirmed links, which leaves the components as they are, and never the pairs.  Texts with
+equal sets are one node from the start.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and kept; a text with fewer words than a shingle has one shingle of all its words; rows
@@ -203,22 +207,25 @@ def _members(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
     return buckets.join(pivots, "bucket").select("pivot", "node").distinct()
 
 
-def _tiled(members: DataFrame, near: Near) -> DataFrame:
-    """Members with the pairs of tiles they take part in: ``(pivot, x, y, node)``."""
-    sizes = members.groupBy("pivot").agg(
-        F.ceil(F.count("*") / near.tile).cast("int").alias("tiles")
-    )
-    dealt = members.join(sizes, "pivot").withColumn(
-        "tile", F.pmod(F.xxhash64("node", F.lit(2)), F.col("tiles")).cast("int")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    return dealt.select("pivot", "node", "tile", other.alias("other")).select(
-        "pivot",
-        F.least("tile", "other").alias("x"),
-        F.greatest("tile", "other").alias("y"),
-        "tile",
-        "node",
-    )
+def _tiled(some: DataFrame, every: DataFrame, near: Near) -> DataFrame:
+    """``(pivot, x, y, side, node)``: each tile of ``some`` members beside each tile of ``every`` member."""
+
+    def tiles(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("pivot").agg(F.ceil(F.count("*") / near.tile).cast("int").alias(name))
+
+    both = tiles(some, "nx").join(tiles(every, "ny"), "pivot")
+
+    def dealt(rows: DataFrame, own: str, others: str, side: int) -> DataFrame:
+        tile = F.pmod(F.xxhash64("node", F.lit(2)), F.col(f"n{own}")).cast("int")
+        beside = F.explode(F.sequence(F.lit(0), F.col(f"n{others}") - 1))
+        placed = rows.join(both, "pivot").select("pivot", tile.alias(own), beside.alias(others), "node")
+        return placed.select("pivot", "x", "y", F.lit(side).alias("side"), "node")
+
+    return dealt(some, "x", "y", 0).unionByName(dealt(every, "y", "x", 1))
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    return members.select("pivot").distinct().select("pivot", F.col("pivot").alias("node"))
 
 
 def _per_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -246,20 +253,20 @@ def _per_tiles(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(groups, schema)
 
 
-def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places of the members of either tile; whether the tiles are one."""
-    tile = table.column("tile").to_numpy()
-    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-    return np.flatnonzero(tile == x), np.flatnonzero(tile == y), x == y
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of either tile."""
+    side = table.column("side").to_numpy()
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
 
 
 def _viable(tiled: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
-    """``(pivot, node)`` of the members with a partner within the distance in their cluster."""
+    """``(pivot, node)`` of the members with a partner within the distance on the other side."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b, one = _sides(table)
-        if len(a) == 0 or len(b) == 0 or one and len(a) == 1:
+        a, b = _sides(table)
+        if len(a) == 0 or len(b) == 0:
             return
+        node = table.column("node").to_numpy()
         signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16)
         signs = signs.reshape(table.num_rows, -1)
         near_by = np.zeros(table.num_rows, bool)
@@ -268,9 +275,7 @@ def _viable(tiled: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
             differ = np.zeros((len(rows), len(b)), np.uint8)
             for place in range(near.symbols):
                 differ += signs[rows, place][:, None] != signs[b, place][None, :]
-            close = differ <= near.distance
-            if one:
-                close[np.arange(len(rows)), np.arange(at, at + len(rows))] = False
+            close = (differ <= near.distance) & (node[rows][:, None] != node[b][None, :])
             near_by[rows] |= close.any(1)
             near_by[b] |= close.any(0)
         yield pa.RecordBatch.from_arrays(
@@ -280,7 +285,7 @@ def _viable(tiled: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
 
     rows = tiled.join(nodes.select("node", "signature"), "node")
     found = _per_tiles(
-        rows.select("pivot", "x", "y", "tile", "node", "signature"), work, "pivot long, node long"
+        rows.select("pivot", "x", "y", "side", "node", "signature"), work, "pivot long, node long"
     )
     return found.distinct()
 
@@ -293,8 +298,8 @@ def _links(tiled: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     part, whole = near.similarity
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b, one = _sides(table)
-        if len(a) == 0 or len(b) == 0 or one and len(a) == 1:
+        a, b = _sides(table)
+        if len(a) == 0 or len(b) == 0:
             return
         node = table.column("node").to_numpy()
         own = [np.frombuffer(raw, np.uint64) for raw in table.column("shingles").to_pylist()]
@@ -302,7 +307,8 @@ def _links(tiled: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
         rows = np.repeat(np.arange(len(own)), size)
         every, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
         shared = np.flatnonzero(times > 1)  # others are in no intersection
-        parent = np.arange(len(own))
+        first = {n: i for i, n in reversed(list(enumerate(node.tolist())))}  # a node may be on both sides
+        parent = np.fromiter((first[n] for n in node.tolist()), np.int64, len(node))
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -323,9 +329,7 @@ def _links(tiled: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             matrix[rows[hit], place[hit]] = 1
             common += matrix[a] @ matrix[b].T
         union = size[a][:, None] + size[b][None, :] - common
-        linked = whole * common >= part * union
-        if one:
-            linked &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+        linked = (whole * common >= part * union) & (node[a][:, None] != node[b][None, :])
         for i, j in zip(*np.nonzero(linked), strict=True):
             u, v = root(a[i]), root(b[j])
             if u != v:
@@ -336,7 +340,7 @@ def _links(tiled: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
         )
 
-    rows = tiled.join(sets, "node").select("pivot", "x", "y", "tile", "node", "shingles")
+    rows = tiled.join(sets, "node").select("pivot", "x", "y", "side", "node", "shingles")
     return _per_tiles(rows, work, "a long, b long")
 
 
@@ -371,12 +375,21 @@ def _judged(documents: DataFrame, scratch: Scratch, near: Near) -> DataFrame:
     classes = scratch.stage(classes, "classes")
     nodes = classes.filter("node IS NOT NULL")
 
+    key = ["pivot", "node"]
     members = scratch.stage(_members(nodes, near, scratch), "members")
-    viable = scratch.stage(_viable(_tiled(members, near), nodes, near), "viable")
+    close = scratch.stage(_viable(_tiled(_pivots(members), members, near), nodes, near), "close")
+    rest = members.join(close, key, "left_anti").filter("pivot <> node")
+    others = scratch.stage(_viable(_tiled(rest, members, near), nodes, near), "others")
+    viable = scratch.stage(close.unionByName(others).distinct(), "viable")
+
     sets = scratch.stage(_sets(documents, viable.select("node").distinct(), near), "sets")
-    links = scratch.stage(_links(_tiled(viable, near), sets, near), "links")
+    centres = _pivots(viable).join(viable, key, "left_semi")
+    star = scratch.stage(_links(_tiled(centres, viable, near), sets, near), "star")
+    linked = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+    loose = viable.join(linked, key, "left_anti").join(centres, key, "left_anti")
+    links = scratch.stage(_links(_tiled(loose, viable, near), sets, near), "links")
     scratch.drop("sets")
-    found = components(links, scratch)
+    found = components(star.unionByName(links), scratch)
 
     own = classes.select("same", "node").join(found, "node", "left").select(
         "same", F.coalesce("component", "node").alias("component_id")

@@ -372,6 +372,26 @@ def test_components_by_brute_force(spark, small, small_rows, scratch, tile):
     assert got == plain_components(documents, 4)
 
 
+def test_a_group_of_many_copies_is_linear(spark, scratch, monkeypatch):
+    """Members that are linked with their pivot are not compared with each other."""
+    base = [f"word{i}" for i in range(100)]
+    documents = [(i, " ".join([*base[: i % 100], f"edit{i}", *base[i % 100 + 1 :]])) for i in range(400)]
+    seen = []
+    links = hamming_join._links
+
+    def watched(tiled, sets, near):
+        seen.append(tiled.count())
+        return links(tiled, sets, near)
+
+    monkeypatch.setattr(hamming_join, "_links", watched)
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    near = hamming_join.Near(words=4, tile=20)
+    got = {r["doc_id"]: r["component_id"] for r in hamming_join.near_duplicates(df, scratch, near).collect()}
+    assert got == dict.fromkeys(range(400), 0)
+    star, rest = seen
+    assert star <= 400 * 63 + 400 and rest <= star  # all pairs of tiles would be twenty times as many
+
+
 def test_near_duplicates_of_awkward_texts(awkward, nothing, scratch):
     rows = hamming_join.near_duplicates(awkward, scratch).collect()
     assert len(rows) == awkward.count()

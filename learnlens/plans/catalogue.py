@@ -533,6 +533,11 @@ def stored_failure_share(t: DriverTables) -> DataFrame:
     return _boards(t).failure_share()
 
 
+@query
+def stored_risk_board(t: DriverTables) -> DataFrame:
+    return _boards(t).risk().drop("last_updated")
+
+
 @query
 def stored_revenue_board(t: DriverTables) -> DataFrame:
     return _boards(t).revenue().drop("last_updated")

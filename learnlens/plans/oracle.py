@@ -484,6 +484,7 @@ FROM (SELECT event_id, epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(ts)
         "stored_failure_rollup": "srv_failure_rollup",
         "stored_instructor_board": "srv_instructors",
         "stored_failure_share": "srv_failure_share",
+        "stored_risk_board": "srv_risk_board",
         "stored_revenue_board": "srv_revenue",
         "stored_revenue_totals": "srv_revenue_totals",
         "stored_leaderboard": "srv_leaderboard_top10",

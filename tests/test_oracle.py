@@ -26,7 +26,6 @@ def test_only_models_lack_sql():
     assert set(QUERIES) - set(SQL) == {
         "dropout_predictions",
         "next_problem_recommendations",
-        "srv_risk_board",
         "srv_recommendation_board",
     }
 

@@ -124,6 +124,7 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
 
 def test_settings_from_env():
     env = {
+        "STREAM_TRIGGER_INTERVAL": "1 minute",
         "BATCH_RESET_GOLD": "no",
         "STREAM_CHECKPOINT_BASE": "/shared/cp",
         "STREAM_STARTING_OFFSETS": "earliest",
@@ -136,6 +137,6 @@ def test_settings_from_env():
     assert settings.reset_gold is False and settings.stream_reset is True
     assert settings.checkpoints == "/shared/cp" and settings.starting_offsets == "earliest"
     assert settings.fail_on_data_loss is True and settings.stream_shuffle_partitions == 64
-    assert settings.max_offsets_per_trigger == 600
+    assert settings.max_offsets_per_trigger == 600 and settings.trigger_interval == "1 minute"
     default = Settings.from_env("/w", {})
     assert default == Settings(root="/w") and default.reset_gold and not default.stream_reset

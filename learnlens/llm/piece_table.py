@@ -54,6 +54,8 @@ def check_model(path: str) -> None:
         raise ValueError("the pieces of this model may depend on more than one chunk")
 
 
+BLOCK_BYTES = 8 << 20  # so that blocks are many more than tasks
+
 _MODELS: dict = {}
 
 
@@ -93,7 +95,7 @@ def _joined(documents: DataFrame, scratch: Scratch, path: str, row, fields, ddl:
     check_model(path)
     shards = width(documents.sparkSession)
     # coded texts are the bulk: they are written once, in buckets by block, and stay where they are
-    parcels = scratch.bucketed(blocks.coded(documents, chunks, shards), "blocks", "block", shards, by=["kind"])
+    parcels = scratch.bucketed(blocks.coded(documents, chunks, shards, block_bytes=BLOCK_BYTES), "blocks", "block", shards, by=["kind"])
     asked = parcels.filter(f"kind = {blocks.KEYS}").select(*_columns(parcels))
 
     def segment(own: Iterator[dict]) -> Iterator[pa.RecordBatch]:

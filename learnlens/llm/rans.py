@@ -13,7 +13,8 @@ A block: tokens, lanes, words, crc32 (u32 each), lane states (u64), words (u32).
 
 Files are named at random and count only once the table of written spans is committed, so what
 a lost task has left is never read.  Documents come in ascending doc_id order within and across
-files; a null doc_id comes first, rows with equal doc_ids in the order of their ids' bytes.  A
+files; rows with a null doc_id come first, in ranges of their texts' hashes, rows with equal doc_ids in the
+order of their ids' bytes.  A table has at most ``2**BITS`` distinct tokens.  A
 null or empty text is the end id alone; an empty table gives no files and no rows.
 """
 
@@ -51,6 +52,8 @@ class Frequencies:
     def __init__(self, counts: np.ndarray):
         counts = np.asarray(counts, np.int64)
         size = 1 << BITS
+        if np.count_nonzero(counts) > size:
+            raise ValueError(f"more than {size} distinct tokens")
         scaled = np.where(counts > 0, np.maximum(counts * size // max(1, int(counts.sum())), 1), 0)
         if counts.any():
             spare = size - int(scaled.sum())
@@ -243,8 +246,11 @@ def _sorted_ids(documents: DataFrame, scratch: Scratch, encode: Callable, end_id
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                doc_ids, texts = (part.column(c).to_pylist() for c in ("doc_id", "text"))
-                where = [0 if d is None else int(np.searchsorted(edges, d, "right")) for d in doc_ids]
+                doc_ids, texts, marks = (part.column(c).to_pylist() for c in ("doc_id", "text", "mark"))
+                where = [
+                    (m + (1 << 63)) * parts >> 64 if d is None else parts + int(np.searchsorted(edges, d, "right"))
+                    for d, m in zip(doc_ids, marks, strict=True)
+                ]
                 coded = [np.append(ids, np.uint32(end_id)) for ids in ids_of(texts)]
                 total = _added(total, np.bincount(np.concatenate(coded)))
                 blobs = [packed(ids) for ids in coded]
@@ -258,7 +264,8 @@ def _sorted_ids(documents: DataFrame, scratch: Scratch, encode: Callable, end_id
                 names=["part", "doc_id", "ids"],
             )
 
-    coded = documents.select("doc_id", "text").mapInArrow(tokenized, "part int, doc_id long, ids binary")
+    marked = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    coded = marked.mapInArrow(tokenized, "part int, doc_id long, ids binary")
     ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     return scratch.stage(ordered, "ids")
 

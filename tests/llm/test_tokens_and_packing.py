@@ -214,6 +214,23 @@ def test_id_files_of_awkward_texts(awkward, scratch):
     check_ids(rans.read_ids(files).collect(), [(r["doc_id"], r["text"]) for r in awkward.collect()])
 
 
+def test_rows_without_an_id_are_in_many_files(spark, scratch):
+    rows = [(None, f"text number {i} without an id") for i in range(100)] + [(i, f"word {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = rans.write_ids(df, scratch, path("word_bpe_49k.json"), "blanks")
+    assert files.filter("first IS NULL").count() > 1
+    got = sorted(rans.read_ids(files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 100 + list(range(30))
+    at = 0
+    for r in got:  # gapless
+        assert r["start"] == at
+        at += r["n_tokens"]
+    encode = plain("word_bpe_49k.json")
+    assert sorted(r["ids_crc32"] for r in got) == sorted(crc([*encode(t), 2]) for _, t in rows)
+    with pytest.raises(ValueError, match="distinct tokens"):
+        rans.Frequencies(np.ones((1 << rans.BITS) + 1, np.int64))
+
+
 def test_id_files_of_nothing(nothing, scratch):
     files = rans.write_ids(nothing, scratch, path("word_bpe_49k.json"), "blanks")
     assert rans.read_ids(files).collect() == []

@@ -39,20 +39,22 @@ from learnlens.llm.shared import Scratch, width
 
 @dataclass(frozen=True)
 class Mining:
-    """``low`` and ``high``: bounds of a negative's score in hundredths of the positive's."""
+    """``low`` and ``high``: bounds of a negative's score in hundredths of the positive's; ``tile`` and
+    ``components``: rows and numbers that a task holds at a time, about."""
 
     positives: int = 5
     negatives: int = 10
     low: int = 30
     high: int = 90
     scale: int = 256
-    tile: int = 1 << 16  # rows that a task scores at a time, about
+    tile: int = 1 << 16
+    components: int = 1 << 23
 
 
 _LOWEST, _HIGHEST = -(2**63), 2**63 - 1
 _KEY = struct.Struct(">QQQ?")
 _BIAS = 1 << 63
-BATCH = 256  # anchors that pass a tile at a time
+BATCH = 64  # anchors that pass a tile at a time
 
 
 def packed_key(anchor: int, score: int, row: int, same: bool) -> bytes:
@@ -260,7 +262,8 @@ def mine(
     rows = scratch.stage(rows, "rows")
     anchors = rows.filter("asks")
     parts = width(spark)
-    tiles = max(parts, -(-rows.count() // mining.tile))
+    held = rows.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("size")).first()
+    tiles = max(parts, -(-held["n"] // mining.tile), -(-(held["size"] or 0) // mining.components))
 
     def nearest_alike(anchor, ids, labels, scores):
         return first_places(scores, ids, np.flatnonzero((labels == anchor[1]) & (ids != anchor[0])), mining.positives)

@@ -27,6 +27,7 @@ from learnlens.plans import batch, serving
 from learnlens.plans.boards import Boards
 from learnlens.session import new_folder, staged, stream_session
 from learnlens.sources import payloads
+from learnlens.sources.dimensions import read_dimension
 from learnlens.sources.driver_tables import DriverTables
 from learnlens.sources.tables import Warehouse
 from learnlens.streaming import queries as streams
@@ -93,6 +94,15 @@ def latest_by_key(t: DriverTables) -> DataFrame:
     return dedup.latest_by_key(t.table("lineitem"), ("l_orderkey", "l_linenumber"), ("l_shipdate",))
 
 
+@query
+def metadata_problems(t: DriverTables) -> DataFrame:
+    """Problems kept as documents with their own key, read back with the columns a board needs."""
+    path = new_folder(t.spark, "metadata")
+    t.problems().withColumnRenamed("problem_id", "_id").write.json(path)
+    wanted = ("problem_id", "title", "category", "difficulty", "time_limit_ms")
+    return read_dimension(t.spark, "problems", path, wanted, file_format="json")
+
+
 # features and reports -----------------------------------------------------------------
 
 

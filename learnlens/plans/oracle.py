@@ -270,6 +270,11 @@ FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
   ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC,
            l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1""",
+        "metadata_problems": """
+SELECT 'prob_' || p_partkey AS problem_id, p_name AS title, p_type AS category,
+       list_extract(['Easy', 'Medium', 'Hard'], CAST(p_size % 3 AS INTEGER) + 1) AS difficulty,
+       CAST(list_extract([1000, 2000, 5000], CAST(p_size % 3 AS INTEGER) + 1) AS INTEGER) AS time_limit_ms
+FROM part""",
         "login_minutes": f"{_with(_METRICS, _LOGIN)} SELECT * FROM login",
         "attempt_totals": f"""{_with(_SUBMISSIONS)}
 SELECT user_id, problem_id, CAST(make_timestamp(second * 1000000) AS DATE) AS day,

@@ -114,6 +114,13 @@ def test_ratings_are_summed_before_the_join(spark):
     assert text.index("Join") < text.index("partial_sum(rating_score")
 
 
+def test_copies_of_a_key_are_reduced_before_the_shuffle(spark):
+    text = plan(spark, "latest_by_key")
+    shuffled = text.index("Exchange hashpartitioning(l_orderkey")
+    assert "row_number(), 1, Partial" in text[shuffled:] and "row_number(), 1, Final" in text[:shuffled]
+    assert "SortAggregate" not in text
+
+
 def test_shared_folder_is_the_one_the_cluster_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:

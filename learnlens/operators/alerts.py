@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from learnlens.config import Rules
@@ -42,11 +42,12 @@ def burst_windows(
 ) -> DataFrame:
     """Submissions, addresses and last event per user and sliding window.
 
-    Addresses are counted exactly, in batch and in streams alike: first per user, window and
-    address, then per user and window.  All partial results and state rows are plain numbers,
-    and a user with most of the rows is spread over many groups.  ``approximate`` counts them
-    with sketches instead, see ``activity_panes``, which bounds the state of users with very many
-    addresses.  A stream is put under the watermark and emits a window once it is closed.
+    Addresses are counted exactly.  A batch counts them per user, window and address first, then per user
+    and window: all partial results are plain numbers, and a user with most of the rows is spread over many
+    groups.  A stream, which is put under the watermark and emits a window once it is closed, keeps a
+    third of these rows: one per user, address and pane, which closed panes bring to their three windows.
+    ``approximate`` counts with sketches instead, see ``activity_panes``, which bounds the state
+    of users with very many addresses.
 
     ``once_a_minute``: only windows that raise an alert, and of a user's that end in one minute only
     the first; a burst is in up to three sliding windows, and a long one in many.
@@ -60,15 +61,29 @@ def burst_windows(
 
 def _exact_windows(events: DataFrame, rules: Rules) -> DataFrame:
     if events.isStreaming:
-        events = events.withWatermark("event_time", rules.watermark)
+        return _exact_stream_windows(events.withWatermark("event_time", rules.watermark), rules)
     window = F.window("event_time", rules.burst_window, rules.burst_slide)
-    per_address = events.groupBy(window, "user_id", "client_ip").agg(
+    return _added(_per_address(events, window, "window").groupBy("window", "user_id"), F.count("client_ip"))
+
+
+def _exact_stream_windows(events: DataFrame, rules: Rules) -> DataFrame:
+    """The state of a window holds its addresses, those of one user in half a minute."""
+    panes = _per_address(events, F.window("event_time", rules.burst_slide), "pane")
+    window = F.window(F.col("pane"), rules.burst_window, rules.burst_slide).alias("window")
+    return _added(panes.groupBy(window, "user_id"), F.size(F.collect_set("client_ip")).cast("bigint"))
+
+
+def _per_address(events: DataFrame, span: Column, name: str) -> DataFrame:
+    return events.groupBy(span.alias(name), "user_id", "client_ip").agg(
         F.count("submission_id").alias("submissions"),
         F.max("event_time").alias("last_event"),
     )
-    return per_address.groupBy("window", "user_id").agg(
+
+
+def _added(groups: GroupedData, addresses: Column) -> DataFrame:
+    return groups.agg(
         F.sum("submissions").alias(SUBMISSIONS),
-        F.count("client_ip").alias("distinct_ip_count"),
+        addresses.alias("distinct_ip_count"),
         F.max("last_event").alias("window_last_event"),
     )
 
@@ -109,11 +124,7 @@ def pane_windows(panes: DataFrame, rules: Rules) -> DataFrame:
     The standard error of a count of addresses is about ``0.8 / sqrt(2 ** sketch_bits)``; few are exact.
     """
     window = F.window(F.col("pane"), rules.burst_window, rules.burst_slide).alias("window")
-    return panes.groupBy(window, "user_id").agg(
-        F.sum("submissions").alias(SUBMISSIONS),
-        F.hll_sketch_estimate(F.hll_union_agg("addresses")).alias("distinct_ip_count"),
-        F.max("last_event").alias("window_last_event"),
-    )
+    return _added(panes.groupBy(window, "user_id"), F.hll_sketch_estimate(F.hll_union_agg("addresses")))
 
 
 def _first_of_minute(counted: DataFrame, rules: Rules) -> DataFrame:

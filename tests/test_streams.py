@@ -204,6 +204,20 @@ def test_late_rows_count_until_their_window_is_closed(spark, settings, topics):
     assert board(warehouse) == {"u": 2, "w": 4, "x": 2, "y": 2}  # the leaderboard has no watermark
 
 
+def test_an_event_is_in_the_state_once_not_once_a_window(spark, settings, topics):
+    # one user, five addresses, sixty submissions within ten seconds
+    topics.add("raw_submissions", *[submission(i, second=i % 10, ip=f"10.0.0.{i % 5}") for i in range(60)])
+    session = stream_session(spark, settings)
+    submissions = event_source(session, settings, "raw_submissions")
+    query = streams.start_alerts(submissions, event_source(session, settings, "system_metrics"), settings, True)
+    query.awaitTermination()
+    rows = [op["numRowsTotal"] for op in query.lastProgress["stateOperators"]]
+    assert max(rows) == 5 and sum(rows) <= 5 + 3
+    topics.add("raw_submissions", submission(90, "w", second=500))
+    found = run(spark, settings).read_alerts().filter("user_id = 'u'").collect()
+    assert {r.description for r in found} == {"Window anomaly: submissions_30s=60, distinct_ips=5"} and len(found) == 3
+
+
 def test_open_windows_wait(spark, settings, topics):
     topics.add("raw_submissions", submission(1), submission(2, second=1))
     assert burst_starts(run(spark, settings)) == []

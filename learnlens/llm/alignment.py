@@ -42,7 +42,7 @@ SHARDS = 64  # parts of the first tokenizer's vocabulary
 BLOCK_BYTES = 4 << 20
 TWIG = 64  # blocks that add into one dense vector
 FORK = 8  # vectors that are summed at a time
-CHUNKS = 300_000  # distinct chunks that a task remembers of each tokenizer
+CHUNKS = 200_000  # distinct chunks that a task remembers of each tokenizer
 
 TABLE, ASK, DOCS = 0, 1, 2
 _ROW = pa.schema(

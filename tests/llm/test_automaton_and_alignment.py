@@ -209,6 +209,20 @@ def test_many_blocks_twigs_and_forks(small, small_rows, scratch, monkeypatch):
     assert all(r["groups_sha256"] == (sha(r["groups"]) if r["groups"] else "") for r in got)
 
 
+def test_texts_without_tokens_and_very_long_ones(spark, scratch):
+    rows = [(1, None), (None, ""), (2, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = alignment.align(table, scratch, A, B).collect()
+    assert Counter(map(tuple, got)) == Counter([(d, 0, 0, 0, 0, 0, 0, "") for d, _ in rows])
+    empty = sha(b"")
+    assert {tuple(r)[1:] for r in merge_automaton.digests(table, scratch, path(FILES[0])).collect()} == {(0, empty, empty)}
+    rows = [(1, "x" * 200_000), (2, "word " * 40_000), (3, "\n" * 20_000), (4, "é" * 30_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, alignment.align(table, scratch, A, B).collect())) == brute_force(rows)
+    got = merge_automaton.digests(table, scratch, path(FILES[0])).collect()
+    assert Counter(map(tuple, got)) == expected_digests(rows)
+
+
 def test_pairs_and_their_documents(spark, scratch):
     rows = [(1, "the cat"), (2, "the cat the cat"), (3, "a cat"), (None, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string")

@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlens.llm.shared import Scratch, expanded, packed, squeezed, text_rows, unpacked, width
+from learnlens.llm.shared import Scratch, even_keys, expanded, packed, squeezed, text_rows, unpacked, width
 from learnlens.llm.tokens import hugging_table
 
 MAGIC = b"RANS0001"
@@ -239,6 +239,7 @@ def _sorted_ids(documents: DataFrame, scratch: Scratch, encode: Callable, end_id
     shares = [i / parts for i in range(1, parts)]
     edges = documents.select(F.percentile_approx("doc_id", shares, 10_000).alias("e")).first()["e"]
     edges = np.unique(np.array(edges or [], np.int64))
+    keys = np.array(even_keys(documents.sparkSession, parts), np.int64)  # a part is a task's own
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encode()
@@ -255,19 +256,25 @@ def _sorted_ids(documents: DataFrame, scratch: Scratch, encode: Callable, end_id
                 total = _added(total, np.bincount(np.concatenate(coded)))
                 blobs = [packed(ids) for ids in coded]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["part", "doc_id", "ids"],
+                    [
+                        pa.array(keys[np.array(where) % parts]), pa.array(where, pa.int32()),
+                        pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary()),
+                    ],
+                    names=["dealt", "part", "doc_id", "ids"],
                 )
         if len(total):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([COUNTS], pa.int32()), pa.array([None], pa.int64()), pa.array([packed(total)])],
-                names=["part", "doc_id", "ids"],
+                [
+                    pa.array([0], pa.int64()), pa.array([COUNTS], pa.int32()), pa.array([None], pa.int64()),
+                    pa.array([packed(total)]),
+                ],
+                names=["dealt", "part", "doc_id", "ids"],
             )
 
     marked = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    coded = marked.mapInArrow(tokenized, "part int, doc_id long, ids binary")
-    ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
-    return scratch.stage(ordered, "ids")
+    coded = marked.mapInArrow(tokenized, "dealt long, part int, doc_id long, ids binary")
+    ordered = coded.repartition(parts, "dealt").sortWithinPartitions("part", "doc_id", "ids")
+    return scratch.stage(ordered.drop("dealt"), "ids")
 
 
 def _added(total: np.ndarray, more: np.ndarray) -> np.ndarray:

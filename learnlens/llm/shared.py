@@ -77,6 +77,17 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, number: int) -> list[int]:
+    """Numbers of which a shuffle by hash into ``number`` partitions deals one to each."""
+    partition = F.pmod(F.hash("id"), F.lit(number)).alias("partition")
+    found: list[int] = []
+    reach = 16 * number
+    while len(found) < number:
+        rows = spark.range(reach).groupBy(partition).agg(F.min("id").alias("id")).collect()  # ``number`` rows
+        found, reach = sorted(row["id"] for row in rows), 2 * reach
+    return found
+
+
 _CODEC = local()
 
 

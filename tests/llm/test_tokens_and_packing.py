@@ -10,9 +10,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from learnlens.llm import packing, rans
+from learnlens.llm.shared import even_keys
 from learnlens.llm.tokens import hugging_table
 
 FILES = [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "blanks")]
@@ -214,6 +216,13 @@ def test_id_files_of_awkward_texts(awkward, scratch):
     check_ids(rans.read_ids(files).collect(), [(r["doc_id"], r["text"]) for r in awkward.collect()])
 
 
+@pytest.mark.parametrize("number", [1, 7, 200])
+def test_even_keys_go_to_a_partition_each(spark, number):
+    keys = spark.createDataFrame([(k,) for k in even_keys(spark, number)], "k long")
+    found = keys.repartition(number, "k").select(F.spark_partition_id().alias("p")).collect()
+    assert len(found) == len({r["p"] for r in found}) == number
+
+
 def test_rows_without_an_id_are_in_many_files(spark, scratch):
     rows = [(None, f"text number {i} without an id") for i in range(100)] + [(i, f"word {i}") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

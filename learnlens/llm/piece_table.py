@@ -54,7 +54,7 @@ def check_model(path: str) -> None:
         raise ValueError("the pieces of this model may depend on more than one chunk")
 
 
-BLOCK_BYTES = 8 << 20  # so that blocks are many more than tasks
+BLOCK_BYTES = 16 << 20  # smaller ones are more even, and ask for more words in all
 
 _MODELS: dict = {}
 

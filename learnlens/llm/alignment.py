@@ -42,7 +42,8 @@ SHARDS = 64  # parts of the first tokenizer's vocabulary
 BLOCK_BYTES = 4 << 20
 TWIG = 64  # blocks that add into one dense vector
 FORK = 8  # vectors that are summed at a time
-CHUNKS = 200_000  # distinct chunks that a task remembers of each tokenizer
+CHUNKS = 100_000  # distinct chunks that a task remembers of each tokenizer
+LINKS = 1 << 18  # that are told apart by document at a time
 
 TABLE, ASK, DOCS = 0, 1, 2
 _ROW = pa.schema(
@@ -134,20 +135,24 @@ class Alignment:
     def __init__(self, sizes: np.ndarray, first: np.ndarray, second: np.ndarray, a: Bytes, b: Bytes):
         self.first, self.second, sizes = first, second, sizes.astype(np.int64)
         self.first_stops, self.second_stops = np.cumsum(sizes[0::2]), np.cumsum(sizes[1::2])
-        first_ends, second_ends = np.cumsum(a.lengths[first]), np.cumsum(b.lengths[second])
-        marks = np.zeros(int(first_ends[-1]) + 1 if len(first) else 1, np.uint8)
+        # offsets and places in 32 bits, unless a text is too long for that
+        size = int(a.lengths[first].sum())
+        index = np.int32 if size < 1 << 31 else np.int64
+        first_ends, second_ends = np.cumsum(a.lengths[first], dtype=index), np.cumsum(b.lengths[second], dtype=index)
+        marks = np.zeros(size + 1, np.uint8)
         marks[first_ends] = 1
         marks[second_ends] += 2
         # between two neighbouring offsets lies one token of each: a link
-        cuts = np.flatnonzero(marks)
+        cuts = np.flatnonzero(marks).astype(index)
         marks = marks[cuts]
+        ends = np.where(self.first_stops > 0, first_ends[self.first_stops - 1], 0) if size else 0 * self.first_stops
+        self.link_stops = np.searchsorted(cuts, ends.astype(index), side="right")
+        del first_ends, second_ends, cuts
         self.ends_first, self.ends_second, both = (marks & 1).astype(bool), marks > 1, marks == 3
-        self.link_first = np.cumsum(self.ends_first) - self.ends_first
-        self.link_second = np.cumsum(self.ends_second) - self.ends_second
-        self.link_group = np.cumsum(both) - both
+        self.link_first = np.cumsum(self.ends_first, dtype=index) - self.ends_first
+        self.link_second = np.cumsum(self.ends_second, dtype=index) - self.ends_second
+        self.link_group = np.cumsum(both, dtype=index) - both
         self.groups = int(both.sum())
-        ends = np.concatenate([[0], first_ends])[self.first_stops]
-        self.link_stops = np.searchsorted(cuts, ends, side="right")
         self.group_stops = np.concatenate([[0], np.cumsum(both)])[self.link_stops]
         # ids of both in one number, as short as they allow
         shift = np.int64(len(b.entries)).item().bit_length()
@@ -163,10 +168,17 @@ class Alignment:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs, and how many documents hold each."""
-        pairs, code = np.unique(self.pairs, return_inverse=True)
-        document = np.repeat(np.arange(len(self.link_stops)), np.diff(self.link_stops, prepend=0))
-        held = np.unique(document * len(pairs) + code)
-        return self.keys(pairs), np.bincount(held % max(len(pairs), 1), minlength=len(pairs))
+        pairs = np.unique(self.pairs)
+        documents, stops, at = np.zeros(len(pairs), np.int64), self.link_stops, 0
+        while at < len(stops):  # whole documents, about LINKS links at a time
+            begin = int(stops[at - 1]) if at else 0
+            last = max(int(np.searchsorted(stops, begin + LINKS, side="right")), at + 1)
+            code = np.searchsorted(pairs, self.pairs[begin : int(stops[last - 1])])
+            document = np.repeat(np.arange(last - at), np.diff(stops[at:last], prepend=begin))
+            held = np.unique(document * len(pairs) + code)
+            documents += np.bincount(held % max(len(pairs), 1), minlength=len(pairs))
+            at = last
+        return self.keys(pairs), documents
 
     def counted(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The count of each link's pair; ``keys`` ascend and hold all pairs."""
@@ -446,12 +458,14 @@ def _looked_up(docs: DataFrame, answers: DataFrame, first: str, second: str, who
             sizes[0::2], sizes[1::2], np.diff(one.group_stops, prepend=0), np.diff(one.link_stops, prepend=0),
             each(one.link_stops, marked & 1), each(one.link_stops, marked >> 1),
         ]
-        codes, groups, at = one.pieces(a, b), [], 0
+        codes, groups, digests, at = one.pieces(a, b), [], [], 0
         for stop in (one.first_stops + one.second_stops).tolist():
-            groups.append(b"".join(map(written.__getitem__, codes[at:stop].tolist()))[:-1])
+            group = b"".join(map(written.__getitem__, codes[at:stop].tolist()))[:-1]
+            digests.append(hashlib.sha256(group).hexdigest() if group else "")
+            if whole:
+                groups.append(group.decode())
             at = stop
-        digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
-        made = [got["doc_ids"], *columns, *([[g.decode() for g in groups]] if whole else []), digests]
+        made = [got["doc_ids"], *columns, *([groups] if whole else []), digests]
         for begin in range(0, len(digests), 2000):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[begin : begin + 2000], f.type) for c, f in zip(made, schema, strict=True)], schema=schema
@@ -477,9 +491,10 @@ def align(documents: DataFrame, scratch: Scratch, first: str, second: str, whole
     ``first``: a byte-level file, which reads a space and the text; ``second``: a piece model, which adds
     that space itself.
     """
-    rows = scratch.stage(_encoded(documents, first, second), "encoded", by=["kind"])
+    rows = scratch.stage(_encoded(documents, first, second), "encoded")  # in the order made: no task sorts its ids
     columns = [f.name for f in _ROW]
-    docs = rows.filter(f"kind = {DOCS}").select(*columns)
+    none = F.lit(None).cast("binary")
+    docs = rows.filter(f"kind = {DOCS}").withColumns({"keys": none, "counts": none}).select(*columns)
     blocks = docs.count()
     twigs = max(1, -(-blocks // TWIG))
     twig = F.pmod(F.xxhash64("block"), F.lit(twigs)).alias("twig")
@@ -491,7 +506,7 @@ def align(documents: DataFrame, scratch: Scratch, first: str, second: str, whole
 
 def counts(documents: DataFrame, scratch: Scratch, first: str, second: str) -> DataFrame:
     """``(first_id, second_id, documents, best)``: every linked pair of the corpus."""
-    rows = scratch.stage(_encoded(documents, first, second), "encoded", by=["kind"])
+    rows = scratch.stage(_encoded(documents, first, second), "encoded")
     asks = rows.filter(f"kind = {ASK}").select(*[f.name for f in _ROW], F.lit(0).cast("long").alias("twig"))
     tables = _summed(asks, _hashed(asks, scratch), 1, scratch)
 

@@ -231,3 +231,38 @@ def test_pairs_and_their_documents(spark, scratch):
     cat = (first.encode(" cat").ids[0], second.encode("cat")[0])
     assert found[cat] == (3, True)
     assert found[(first.encode(" the").ids[0], second.encode("the")[0])] == (2, True)
+
+
+def test_a_block_needs_few_bytes_for_each_link():
+    import tracemalloc
+
+    a, b = alignment.Bytes([b"x" * n for n in range(1, 51)]), alignment.Bytes([b"x" * n for n in range(1, 41)])
+    random = np.random.default_rng(3)
+    sizes, firsts, seconds = [], [], []
+    for _ in range(40):
+        first = random.integers(0, 50, 5000, dtype=np.uint32)
+        ends = int(a.lengths[first].sum())
+        second = random.integers(0, 40, 9000, dtype=np.uint32)
+        stops = np.cumsum(b.lengths[second])
+        second = second[: int(np.searchsorted(stops, ends - 40))]
+        rest = ends - int(b.lengths[second].sum())
+        filled = [min(rest - at, 40) for at in range(0, rest, 40)]
+        second = np.concatenate([second, np.array(filled, np.uint32) - np.uint32(1)])
+        sizes += len(first), len(second)
+        firsts.append(first)
+        seconds.append(second)
+    tracemalloc.start()
+    one = alignment.Alignment(np.array(sizes), np.concatenate(firsts), np.concatenate(seconds), a, b)
+    keys, documents = one.distinct()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 55 * len(one.pairs)  # 70 a link before
+    held = np.repeat(np.arange(40), np.diff(one.link_stops, prepend=0))
+    brute = Counter(p for _, p in set(zip(held.tolist(), one.keys(one.pairs).tolist(), strict=True)))
+    assert dict(zip(keys.tolist(), documents.tolist(), strict=True)) == brute
+
+
+def test_the_ids_of_a_task_are_written_as_they_come(small, scratch):
+    alignment.align(small, scratch, A, B)
+    written = scratch.spark.read.parquet(scratch.path("encoded"))
+    assert not any("kind=" in name for name in written.inputFiles())  # folders by kind sort every task's ids

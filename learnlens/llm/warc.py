@@ -1,11 +1,12 @@
 """Web archives (WARC 1.1) as a PySpark data source.
 
-Reading plans one partition per archive file, and per ``split_bytes`` of a large uncompressed one
+Reading plans one partition per archive file, and per ``split_bytes`` of a large one
 whose committed index says where records start.  Filters on the record type and on header
 fields are pushed down: the reader parses a record's headers first and, where they do not
 match or no payload column is asked for, steps over the block without decoding it.
 
-Writing gives every task files of its own, rolled at ``file_bytes``.  The driver lists the files of the
+Writing gives every task files of its own, rolled at ``file_bytes``; with the option ``compression`` set to ``gzip`` every record is a member
+of its own, as the format advises, so that a file can still be entered where a record starts.  The driver lists the files of the
 tasks that succeeded in a manifest when the write commits, and readers of a folder with a
 manifest read those files alone, so a retried task leaves nothing behind that counts.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -43,6 +45,7 @@ from pyspark.sql.datasource import (
 from learnlens.llm.shared import Scratch
 
 MANIFEST = "_manifest.json"
+LEVEL = 6  # of compression
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, refers_to string, "
     "payload_digest string, payload_bytes long, payload binary"
@@ -210,14 +213,31 @@ class WarcReader(DataSourceReader):
             return
         system, path = file_system(self.folder)
         with system.open_input_file(f"{path}/{partition.name}") as raw:
+            raw.seek(partition.start)
             if partition.name.endswith(".gz"):
-                with gzip.open(raw) as source:
-                    yield from records(source, self.fields, self.wanted)
+                source = raw if partition.end is None else _Part(raw, partition.end - partition.start)
+                with gzip.open(source) as members:
+                    yield from records(members, self.fields, self.wanted)
             else:
-                raw.seek(partition.start)
                 yield from records(_Buffered(raw), self.fields, self.wanted, partition.end)
 
 
+class _Part(io.RawIOBase):
+    """The next bytes of a file, and no more: the members between two marks."""
+
+    def __init__(self, raw, size: int):
+        self.raw, self.left = raw, size
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.raw.read(min(len(buffer), self.left))
+        buffer[: len(data)] = data
+        self.left -= len(data)
+        return len(data)
+
+
 class _Buffered:
     """Lines and skips over a random-access file, read in large pieces."""
 
@@ -267,6 +287,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.folder = options["path"]
         self.file_bytes = int(options.get("file_bytes", 256 << 20))
         self.mark_bytes = int(options.get("mark_bytes", 8 << 20))
+        self.packed = {"none": False, "gzip": True}[options.get("compression", "none")]
 
     def write(self, batches):
         system, path = file_system(self.folder)
@@ -275,12 +296,12 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    files.append({"name": f"{uuid.uuid4().hex}.warc", "marks": []})
-                    out, at, mark = system.open_output_stream(f"{path}/{files[-1]['name']}"), 0, 0
+                    files.append({"name": f"{uuid.uuid4().hex}.warc{'.gz' if self.packed else ''}", "marks": []})
+                    out, at, mark = system.open_output_stream(f"{path}/{files[-1]['name']}", compression=None), 0, 0
                 if at - mark >= self.mark_bytes:
                     files[-1]["marks"].append(at)
                     mark = at
-                raw = record(row)
+                raw = gzip.compress(record(row), LEVEL, mtime=0) if self.packed else record(row)
                 out.write(raw)
                 at += len(raw)
                 if at >= self.file_bytes:
@@ -330,7 +351,13 @@ def page_uri(page_id: Column) -> Column:
     return F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")))
 
 
-def archive(pages: DataFrame, folder: str, min_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
+def archive(
+    pages: DataFrame,
+    folder: str,
+    min_bytes: int = 1000,
+    date: str = "1970-01-01T00:00:00Z",
+    compression: str = "none",
+) -> None:
     """Write a record per page.  Of equal payloads of ``min_bytes`` or more, the page with the
     largest id is the response and the others revisit it."""
     register(pages.sparkSession)
@@ -357,7 +384,7 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 1000, date: str = "1
         "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
-    rows.write.format("warc").mode("append").option("path", folder).save()
+    rows.write.format("warc").mode("append").option("path", folder).option("compression", compression).save()
 
 
 def _page_id(uri: str) -> Column:
@@ -400,5 +427,5 @@ def pages_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, scratch: Scratch) -> DataFrame:
     folder = scratch.fresh("archives")
-    archive(pages, folder)
+    archive(pages, folder, compression="gzip")
     return pages_of(pages.sparkSession, folder)

@@ -6,6 +6,7 @@ import io
 import math
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -219,6 +220,26 @@ def test_named_quantiles_of_documents_outside_the_sample_are_the_bands(spark, sc
     assert np.mean(kept[0]) < 0.09 and np.mean(kept[1]) > 0.97
 
 
+def test_all_trusted_documents_train_or_are_held_out(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    rows = kneser_ney.trusted_ids(labels.union(labels), kneser_ney.Quality())
+    trained, held_out = (rows.filter(F.col("trained") == t).count() for t in (True, False))
+    assert trained + held_out == 30_000
+    assert held_out == pytest.approx(7500, rel=0.05)  # 25,000 before: 5000 trained
+
+
+def test_n_grams_of_every_text_are_counted_in_parts(spark, scratch, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HELD", 10)
+    texts = [f"text {i} of {i % 7}" for i in range(50)] * 3
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    table = kneser_ney._alphabet(trusted, 100)
+    kneser_ney._train(trusted, table, kneser_ney.Quality(order=2), scratch)
+    counted = spark.read.parquet(scratch.path("counts-2"))
+    lines = [[kneser_ney.BEGIN, *kneser_ney._numbers(t, table).tolist()] for t in texts]
+    want = Counter((a << kneser_ney.BITS) | b for line in lines for a, b in zip(line, line[1:], strict=False))
+    assert {r["key"]: r["n"] for r in counted.collect()} == want
+
+
 def test_quality_of_awkward_texts(spark, awkward, nothing, scratch):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(4, 9)], "doc_id long, quality int, toxic int")
     kept = kneser_ney.kept_documents(awkward, labels, scratch)
@@ -573,6 +594,29 @@ def test_filters_reach_the_reader_and_files_are_planned(spark, scratch):
     assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 40
 
 
+def test_packed_archives_are_small_and_entered_at_their_marks(spark, scratch):
+    rows = [(i, "u", f"<p>{i} some words of a page</p>\n" * 100) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.register(spark)
+    got = warc.round_trip(pages, scratch)
+    assert sorted((r["page_id"], r["payload_digest"]) for r in got.collect()) == [
+        (i, hashlib.sha1(html.encode()).hexdigest()) for i, _, html in rows]
+    folder = scratch.path("archives").removeprefix("file:").replace("///", "/")
+    sizes = [f.stat().st_size for f in Path(folder).glob("*.warc*")]
+    assert 0 < sum(sizes) < sum(len(html) for _, _, html in rows) / 3  # above their length before
+    made = spark.createDataFrame(
+        [("response", f"urn:page:{i}", "d", "u", None, "00" * 20, len(h), h.encode()) for i, _, h in rows],
+        "record_type string, record_id string, date string, target_uri string, refers_to string, "
+        "payload_digest string, payload_bytes long, payload binary",
+    ).coalesce(1)
+    path = scratch.fresh("marked")
+    made.write.format("warc").mode("append").option("path", path).options(compression="gzip", mark_bytes=500).save()
+    reader = warc.WarcReader({"path": path, "split_bytes": "1"}, ["record_id", "payload"])
+    parts = [[tuple(r) for r in reader.read(p)] for p in reader.partitions()]
+    assert len(parts) > 10
+    assert sorted(r for part in parts for r in part) == sorted((f"urn:page:{i}", h.encode()) for i, _, h in rows)
+
+
 # the pipeline --------------------------------------------------------------------------
 
 

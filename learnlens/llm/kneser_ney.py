@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-The model learns from trusted text: documents labelled good, at most ``sample`` of them (a bound of the
-method, chosen by hash).  Its n-grams are counted by key, and everything that Kneser-Ney needs of
+The model learns from trusted text: all documents labelled good but those held out for the band, however
+many there are.  Its n-grams are counted by key, and everything that Kneser-Ney needs of
 them (continuation counts, discounts from counts of counts, interpolation weights of contexts)
 comes from aggregates and joins on n-gram keys, so no table of the model is held whole anywhere.
 
@@ -10,16 +10,16 @@ distinct n-grams of all blocks are joined with the count tables order by order,
 characters up; the answers go back to the blocks, where each document's perplexity is taken.
 
 A document is rejected when its log perplexity leaves the band of trusted documents of its language.  The
-band reaches from the ``low`` to the ``high`` quantile of the trusted documents outside the training
-sample: one in ``aside`` of them, chosen by hash, never trains, whatever the size of the input.  Short
+band reaches from the ``low`` to the ``high`` quantile of the trusted documents that are held out: one in
+``aside`` of them, chosen by hash, never trains, whatever the size of the input.  Short
 documents get room for the noise of few characters, and the quantiles are taken net of the same room,
-so that they are the thresholds at every length.  The model finds its own sample likelier than any other
-text, so the documents of the sample have bands of their own, from the sample.  Quantiles of a few documents
+so that they are the thresholds at every length.  The model finds what it learned from likelier than any other
+text, so the documents that train have bands of their own, from all that train.  Quantiles of a few documents
 say nothing: languages with fewer than ``enough`` trusted documents use the band of all.
 
 Defined results: a null or empty text has no perplexity and is kept; a null language is a language of
 its own; a null doc_id has no label; rows with equal doc_ids are scored separately; without trusted
-documents outside the sample everything outside it is kept; an empty table gives no rows.
+documents held out everything that does not train is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from learnlens.llm.shared import Scratch, free_name, text_rows
 
 UNKNOWN, BEGIN = 0, 1  # numbers of a character outside the alphabet and of the text's beginning
+HELD = 4_000_000  # n-grams that a task counts before it sends them
+SENT = 1_000_000  # ids that are sent to every executor; more are joined by key
 BITS = 16  # of a character's number: an n-gram of four is one key of 64 bits
 
 
@@ -50,7 +52,6 @@ class Quality:
     order: int = 4
     alphabet: int = (1 << BITS) - 2
     others: int = 1000
-    sample: int = 5000
     aside: int = 4
     low: float = 0.01
     high: float = 0.99
@@ -114,11 +115,33 @@ def _train(trusted: DataFrame, table: np.ndarray, model: Quality, scratch: Scrat
     shared = trusted.sparkSession.sparkContext.broadcast(table)  # a number per code point
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [nothing]
+        size = 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            key, code = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, code, np.concatenate([n for _, n in held]))
+            return key, total
+
+        def told(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(key), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(n[part])], names=["key", "n"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 texts = [t or "" for t in batch.column("text").slice(at, 1000).to_pylist()]
-                key, n = np.unique(_keys(texts, shared.value, model.order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+                held.append(np.unique(_keys(texts, shared.value, model.order)[0], return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [added()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from told(*held[0])
+                        held, size = [nothing], 0
+        yield from told(*added())
 
     counted = trusted.select("text").mapInArrow(count, "key long, n long")
     counts = scratch.stage(counted.groupBy("key").agg(F.sum("n").alias("n")), f"counts-{model.order}")
@@ -265,12 +288,10 @@ def _per_block(dealt: DataFrame, answers: DataFrame, take) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame, model: Quality) -> DataFrame:
-    """``(doc_id, trained)``: the trusted documents, and whether they are of the training sample."""
+    """``(doc_id, trained)``: the trusted documents, and whether they train; the others are held out."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    may_train = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(model.aside)) != 0
-    sample = good.filter(may_train).orderBy(F.xxhash64("doc_id"), "doc_id").limit(model.sample)
-    sample = sample.withColumn("trained", F.lit(True))
-    return good.join(sample, "doc_id", "left").select("doc_id", F.coalesce("trained", F.lit(False)).alias("trained"))
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(model.aside)) == 0
+    return good.select("doc_id", (~held_out).alias("trained"))
 
 
 def judged(
@@ -279,9 +300,11 @@ def judged(
     """``(doc_id, lang, n_chars, log_perplexity, low, high, kept)`` of every document."""
     model = model or Quality()
     good = scratch.stage(trusted_ids(labels, model), "good")
-    sample = good.filter("trained").select("doc_id")
+    train = good.filter("trained").select("doc_id")
+    if train.count() <= SENT:  # else texts move, to where their ids are
+        train = F.broadcast(train)
     trusted = scratch.stage(
-        documents.select("doc_id", "text").filter("text <> ''").join(sample, "doc_id"), "trusted"
+        documents.select("doc_id", "text").filter("text <> ''").join(train, "doc_id", "left_semi").select("text"), "trusted"
     )
     scored = scratch.stage(log_perplexity(documents, trusted, scratch, model), "scored")
 

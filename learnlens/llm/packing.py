@@ -220,7 +220,7 @@ def pack(
     groups: int = 100,
     small: int = 128,
     keep_table: bool = False,
-    chunks: int = 400_000,
+    chunks: int = 100_000,
 ) -> DataFrame:
     """A row per piece: where it is in its document, and in which sequence.
 

@@ -5,7 +5,7 @@ many there are.  Its n-grams are counted by key, and everything that Kneser-Ney
 them (continuation counts, discounts from counts of counts, interpolation weights of contexts)
 comes from aggregates and joins on n-gram keys, so no table of the model is held whole anywhere.
 
-Documents are dealt to blocks by hash.  A block asks for each of its distinct n-grams once; the
+Documents are dealt to blocks by hash, in parcels that are compressed before they move.  A block asks for each of its distinct n-grams once; the
 distinct n-grams of all blocks are joined with the count tables order by order, from single
 characters up; the answers go back to the blocks, where each document's perplexity is taken.
 
@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learnlens.llm.shared import Scratch, free_name, text_rows
+from learnlens.llm.shared import Scratch, expanded, free_name, squeezed, text_rows
 
 UNKNOWN, BEGIN = 0, 1  # numbers of a character outside the alphabet and of the text's beginning
 HELD = 4_000_000  # n-grams that a task counts before it sends them
+PARCELLED = 32 << 20  # bytes of text that a task holds before it sends parcels
 SENT = 1_000_000  # ids that are sent to every executor; more are joined by key
 BITS = 16  # of a character's number: an n-gram of four is one key of 64 bits
 
@@ -200,6 +201,54 @@ def _chances(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]], model:
     return lower.select("key", F.log("p").cast("float").alias("logp"))
 
 
+_ROWS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+
+
+def parcels(documents: DataFrame, blocks: int) -> DataFrame:
+    """``(block, parcel)``: rows of ``documents`` by the hash of id and text, many in a compressed parcel.
+
+    A shuffle as such hardly compresses prose, and the texts move twice.
+    """
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+            where = rows.column("block").to_numpy()
+            rows = rows.select(_ROWS.names).cast(_ROWS)
+            edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _ROWS) as writer:
+                    writer.write_table(rows.slice(start, end - start))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(where[start])], pa.int32()), pa.array([squeezed(sink.getvalue())], pa.binary())],
+                    names=["block", "parcel"],
+                )
+
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > PARCELLED:
+                yield from told()
+                held, size = [], 0
+        if held:
+            yield from told()
+
+    dealt = documents.select("doc_id", "lang", "text", block.alias("block"))
+    return dealt.mapInArrow(pack, "block int, parcel binary")
+
+
+def opened(parcel: pa.Scalar) -> pa.RecordBatch:
+    """The rows of a parcel, one batch."""
+    rows = pa.ipc.open_stream(expanded(parcel.as_buffer())).read_all().combine_chunks()
+    return rows.to_batches()[0]
+
+
 def log_perplexity(documents: DataFrame, trusted: DataFrame, scratch: Scratch, model: Quality) -> DataFrame:
     """``documents`` (doc_id, lang, text) without text, with ``n_chars`` and ``log_perplexity``."""
     spark = documents.sparkSession
@@ -210,8 +259,7 @@ def log_perplexity(documents: DataFrame, trusted: DataFrame, scratch: Scratch, m
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // model.block_bytes) or 1
 
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = documents.select("doc_id", "lang", "text", block.alias("block")).repartition("block")
+    dealt = parcels(documents, blocks).repartition("block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -225,19 +273,18 @@ def log_perplexity(documents: DataFrame, trusted: DataFrame, scratch: Scratch, m
                 )
 
         for batch in batches:
-            where = batch.column("block").to_numpy()
-            for own in np.unique(where).tolist():
-                texts = [t or "" for t in batch.column("text").filter(pa.array(where == own)).to_pylist()]
+            for own, raw in zip(batch.column("block").to_pylist(), batch.column("parcel"), strict=True):
+                texts = [t or "" for t in opened(raw).column("text").to_pylist()]
                 for at in range(0, len(texts), 500):
                     key = pd.unique(_keys(texts[at : at + 500], shared.value, model.order)[0])
                     held.setdefault(own, []).append(key)
                     size += len(key)
-            if size > 8_000_000:
-                held = {own: [pd.unique(np.concatenate(parts))] for own, parts in held.items()}
-                size = sum(len(parts[0]) for parts in held.values())
-                if size > 4_000_000:
-                    yield from told()
-                    held, size = {}, 0
+                if size > 8_000_000:
+                    held = {own: [pd.unique(np.concatenate(parts))] for own, parts in held.items()}
+                    size = sum(len(parts[0]) for parts in held.values())
+                    if size > 4_000_000:
+                        yield from told()
+                        held, size = {}, 0
         yield from told()
 
     asked = scratch.stage(dealt.mapInArrow(ask, "block int, key long"), "asked")
@@ -250,7 +297,7 @@ def log_perplexity(documents: DataFrame, trusted: DataFrame, scratch: Scratch, m
         logp = np.concatenate([p for _, p in parts]) if parts else np.empty(0, np.float32)
         order = np.argsort(known)
         known, logp = known[order], logp[order].astype(np.float64)
-        for batch in docs:
+        for batch in (opened(raw) for parcel in docs for raw in parcel.column("parcel")):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column("text").to_pylist()]

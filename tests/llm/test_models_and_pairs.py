@@ -10,6 +10,7 @@ from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -196,6 +197,20 @@ def test_perplexity_by_brute_force(spark, awkward, scratch):
         assert a[:2] == b[:2] and a[2] == (b[2] if b[2] is None else pytest.approx(b[2], abs=2e-3))
 
 
+def test_texts_move_in_compressed_parcels(spark, awkward, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "PARCELLED", 2000)
+    many = awkward.select("doc_id", "lang", "text").union(
+        spark.range(100, 600).selectExpr("id", "'en'", "concat('a text of common words and number ', id, repeat(' it goes on', 20))")
+    )
+    moved = kneser_ney.parcels(many.coalesce(2), 3)
+    rows = moved.collect()
+    assert {r["block"] for r in rows} == {0, 1, 2} and len(rows) > 3
+    got = [tuple(r.values()) for p in rows for r in kneser_ney.opened(pa.scalar(bytes(p["parcel"]), pa.binary())).to_pylist()]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in many.collect()), key=str)
+    assert sum(len(p["parcel"]) for p in rows) < 0.5 * sum(len((r["text"] or "").encode()) for r in many.collect())
+    assert kneser_ney.parcels(many.limit(0), 3).count() == 0
+
+
 def test_junk_goes_and_clean_text_stays(spark, scratch):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")

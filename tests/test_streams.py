@@ -5,12 +5,15 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from learnlens import schemas
 from learnlens.config import Settings
 from learnlens.operators import alerts, leaderboard
+from learnlens.plans import catalogue
 from learnlens.session import stream_session
 from learnlens.sources import payloads
+from learnlens.sources.driver_tables import DriverTables
 from learnlens.sources.tables import Warehouse
 from learnlens.streaming import queries as streams
 from learnlens.streaming.source import event_source, kafka_options
@@ -218,6 +221,26 @@ def test_an_event_is_in_the_state_once_not_once_a_window(spark, settings, topics
     assert {r.description for r in found} == {"Window anomaly: submissions_30s=60, distinct_ips=5"} and len(found) == 3
 
 
+def test_rows_of_the_state_need_not_be_counted(spark, settings):
+    name = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    assert stream_session(spark, settings).conf.get(name) == "true"
+    assert stream_session(spark, replace(settings, count_state_rows=False)).conf.get(name) == "false"
+    assert not catalogue._stream(DriverTables(spark, "/none"))[1].count_state_rows
+
+
+def test_events_that_come_together_are_dealt_evenly(spark, tmp_path):
+    one = spark.range(1000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id AS user_id", "'click' AS event_type",
+        "1.0D AS value", "'{}' AS props",
+    ).coalesce(1)
+    arrivals = DriverTables(spark, str(tmp_path / "arrivals"))
+    for _ in range(2):
+        catalogue._arrive(one, arrivals)
+    files = arrivals.table("events").groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 2 * spark.sparkContext.defaultParallelism and sum(f["count"] for f in files) == 2000
+    assert max(f["count"] for f in files) < 2 * 1000 / spark.sparkContext.defaultParallelism
+
+
 def test_open_windows_wait(spark, settings, topics):
     topics.add("raw_submissions", submission(1), submission(2, second=1))
     assert burst_starts(run(spark, settings)) == []

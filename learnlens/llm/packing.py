@@ -220,12 +220,12 @@ def pack(
     groups: int = 100,
     small: int = 128,
     keep_table: bool = False,
-    chunks: int = 100_000,
+    chunks: int = 200_000,
 ) -> DataFrame:
     """A row per piece: where it is in its document, and in which sequence.
 
     ``keep_table``: workers keep their table of chunks for their next task, for more memory;
-    ``chunks``: how many distinct chunks a table holds before it starts anew.
+    ``chunks``: how many distinct chunks a table holds before it keeps only the most used half.
     """
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

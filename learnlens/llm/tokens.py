@@ -3,8 +3,8 @@
 A tokenizer never merges across the chunks that its own pattern cuts, so a text's ids are the ids
 of its chunks in a row.  Texts are cut into coarser chunks at places where the pattern must cut,
 each distinct chunk goes through the tokenizer once per task, and the ids are gathered by
-chunk number.  The table of chunks starts anew when it holds ``TABLE_LIMIT`` chunks: memory is
-bounded, and ids never depend on it.
+chunk number.  When the table holds ``TABLE_LIMIT`` chunks only the half of them that is used most
+stays: memory is bounded, and ids never depend on it.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Callable, Sequence
-from itertools import chain, islice
+from itertools import chain, compress, islice
+from operator import attrgetter
 
 import numpy as np
 import regex
 
 TABLE_LIMIT = 1_000_000
+_NUMBER = attrgetter("id")  # of a token
 
 # White space as Unicode defines it (White_Space); Python's own class knows four more.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -118,20 +120,41 @@ class ChunkTable:
         self.numbers.default_factory = self.numbers.__len__
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)
         self.used, self.coded = 0, 0
 
+    def _keep(self, most: int) -> None:
+        """Keep the ``most`` chunks that are used most, at half their uses so that new ones can pass them.
+
+        Rare chunks, which would be tokenized anew anyway, make room; common ones are not tokenized again.
+        """
+        uses = self.uses[: self.coded]
+        kept = np.sort(np.argpartition(-uses, most - 1)[:most]) if most else np.empty(0, np.int64)
+        stays = np.zeros(self.coded, bool)
+        stays[kept] = True
+        chunks = list(compress(self.numbers, stays.tolist()))
+        sizes = np.diff(self.starts[: self.coded + 1])
+        flat = self.flat[: self.used][np.repeat(stays, sizes)]
+        self.clear()
+        self.numbers.update(zip(chunks, range(len(chunks)), strict=True))
+        self._append(sizes[kept], flat)
+        self.uses[: self.coded] = uses[kept] // 2
+
+    def _append(self, sizes: np.ndarray, new: np.ndarray) -> None:
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.coded + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.flat[self.used : self.used + len(new)] = new
+        self.starts[self.coded + 1 : self.coded + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(new)
+        self.coded += len(sizes)
+
     def _code_fresh(self) -> None:
         fresh = islice(self.numbers, self.coded, None)
         while batch := list(islice(fresh, 10_000)):
-            sizes, new = self.encode(batch)
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while self.coded + len(sizes) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[self.used : self.used + len(new)] = new
-            self.starts[self.coded + 1 : self.coded + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-            self.used += len(new)
-            self.coded += len(sizes)
+            self._append(*self.encode(batch))
 
     def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Token ids of each text as uint32; a null text is an empty one."""
@@ -142,7 +165,7 @@ class ChunkTable:
             chunks = self.chunks(text) if text else []
             codes.append(np.fromiter(map(self.numbers.__getitem__, chunks), np.int32, len(chunks)))
             held += len(chunks)
-            if held > 200_000:
+            if held > 50_000:  # what is not coded yet comes on top of the table
                 out.extend(self._gathered(codes))
                 codes, held = [], 0
         out.extend(self._gathered(codes))
@@ -153,6 +176,7 @@ class ChunkTable:
             return []
         self._code_fresh()
         code = np.concatenate(codes)
+        self.uses[: self.coded] += np.bincount(code, minlength=self.coded)
         begin = self.starts[code]
         sizes = self.starts[code + 1] - begin
         stops = np.concatenate([[0], np.cumsum(sizes)])
@@ -160,7 +184,7 @@ class ChunkTable:
         ends = stops[np.cumsum([len(c) for c in codes])]
         parts = np.split(self.flat[place], ends[:-1])
         if len(self.numbers) > self.limit:
-            self.clear()
+            self._keep(self.limit // 2)
         return parts
 
 
@@ -261,7 +285,7 @@ class _Words:
                 continue
             if not word.isascii():
                 word = word.translate(spelled)
-            ids.append([token.id for token in merge(word if chunk[:1] == "\0" else space + word)])
+            ids.append(list(map(_NUMBER, merge(word if chunk[:1] == "\0" else space + word))))
         for i, own in zip(others, self._mixed([byte_level_text(batch[i]) for i in others]), strict=True):
             ids[i] = own
         return self._flat(ids)

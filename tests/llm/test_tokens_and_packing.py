@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from learnlens.llm import packing, rans
 from learnlens.llm.shared import even_keys
-from learnlens.llm.tokens import hugging_table
+from learnlens.llm.tokens import ChunkTable, hugging_table
 
 FILES = [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "blanks")]
 
@@ -64,6 +64,23 @@ def test_added_tokens_can_be_ordinary_text():
     assert [x.tolist() for x in table.ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_full_table_keeps_what_is_used_most():
+    words = hugging_table(path("byte_bpe_50k.json"), "byte_level")
+    asked = []
+
+    def encode(batch):
+        asked.extend(batch)
+        return words.encode(batch)
+
+    table, plainly = ChunkTable(encode, words.chunks, 20), plain("byte_bpe_50k.json")
+    texts = [f"some common words and rare{i} once{i} seen" for i in range(200)]
+    assert [x.tolist() for t in texts for x in table.ids([t])] == [plainly(t) for t in texts]
+    assert asked.count("common") == 1 and len(asked) <= 5 * 200
+    assert len(table.numbers) <= 20 and len(table.numbers) == table.coded
+    shifted = [f"other lines{i % 3} now" for i in range(200)]
+    assert [x.tolist() for t in shifted for x in table.ids([t])] == [plainly(t) for t in shifted]
+
+
 def test_a_full_table_starts_anew():
     table = hugging_table(path("byte_bpe_50k.json"), "byte_level")
     limit, table.limit = table.limit, 3

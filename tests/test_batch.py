@@ -52,6 +52,15 @@ def test_stored_metrics_equal_the_sql(nightly):
     assert difference(df, oracle.statements()["silver_metrics"], connect(SMALL)) is None
 
 
+def test_streams_write_beside_the_tables_of_the_night(spark):
+    t = DriverTables(spark, SMALL)
+    night, live = catalogue._once(t, catalogue._nightly), catalogue._once(t, catalogue._live)
+    assert live.root == night.root  # the night is not run a second time
+    assert not live.read_current("gold_live_leaderboard").isEmpty() and not live.read_alerts().isEmpty()
+    versions = {name: night.versions(name) for name in schemas.BATCH_GOLD}
+    assert all(len(found) == 1 for found in versions.values())
+
+
 def test_recommendations_are_stored_once_per_user(nightly):
     rows = nightly.read("gold_next_problem_recommendations").collect()
     assert len({r.user_id for r in rows}) == len(rows) > 0

@@ -3,8 +3,9 @@
 A tokenizer never merges across the chunks that its own pattern cuts, so a text's ids are the ids
 of its chunks in a row.  Texts are cut into coarser chunks at places where the pattern must cut,
 each distinct chunk goes through the tokenizer once per task, and the ids are gathered by
-chunk number.  When the table holds ``TABLE_LIMIT`` chunks only the half of them that is used most
-stays: memory is bounded, and ids never depend on it.
+chunk number.  What a group of texts costs follows from its own chunks, not from the table's size.
+When the table holds ``TABLE_LIMIT`` chunks only the half of them that is used most stays: memory
+is bounded, and ids never depend on it.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from itertools import chain, compress, islice
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 TABLE_LIMIT = 1_000_000
+GROUP_BYTES = 8_000_000  # texts that are cut at once hold about as many
 _NUMBER = attrgetter("id")  # of a token
 
 # White space as Unicode defines it (White_Space); Python's own class knows four more.
@@ -99,20 +102,104 @@ def around_added(added: dict[str, int], chunks: Callable[[str], list]) -> Callab
     return cut
 
 
+# Kinds of bytes: blanks, letters of ASCII and Latin-1, digits, marks, apostrophes, which may begin
+# a piece of letters such as 's, and all others, next to which nothing is cut.
+_BLANK, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER = range(6)
+_BLANKS = b" \t\n\x0b\x0c\r"
+
+
+def _kind(byte: int) -> int:
+    char = chr(byte)
+    if byte in _BLANKS:
+        return _BLANK
+    if byte < 32 or byte > 126:
+        return _OTHER
+    if char.isalpha():
+        return _LETTER
+    return _DIGIT if char.isdigit() else _APOSTROPHE if char == "'" else _MARK
+
+
+_ADDED = 0x10000  # what is added to an id to make it such a character
+_BYTE_KINDS = bytes(map(_kind, range(256)))
+# By 8 * the kind of a byte + the kind of the next: 1 where a chunk begins with the next, 2 where it is blank.
+_NEXT = bytearray(256)
+for _last, _begin in (
+    (_BLANK, (_LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER)),
+    (_LETTER, (_DIGIT, _MARK, _APOSTROPHE)),
+    (_DIGIT, (_LETTER, _DIGIT, _MARK, _APOSTROPHE)),
+    (_MARK, (_LETTER, _DIGIT)),
+    (_APOSTROPHE, (_DIGIT,)),
+    (_OTHER, ()),
+):
+    _NEXT[8 * _last + _BLANK] = 2
+    for _own in _begin:
+        _NEXT[8 * _last + _own] = 1
+_NEXT = bytes(_NEXT)
+
+
+def blank_words(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts cut all at once, for the same tokenizers as ``blank_chunks``: distinct chunks, the number
+    of each chunk among them, and how many chunks each text has.
+
+    Cut at ASCII blanks, and where pieces of letters, digits and marks must meet.  Small letters are
+    the file's own, but no letter changes before a character that could join it in a normal form.
+    """
+    blob = b" " + b" ".join(texts)
+    raw = np.frombuffer(blob, np.uint8)
+    kinds = np.frombuffer(bytearray(blob).translate(_BYTE_KINDS), np.uint8)
+    latin = np.flatnonzero(raw == 0xC3)  # leads U+00C0 to U+00FF: letters but for the signs of times and division
+    latin = latin[(raw[latin + 1] != 0x97) & (raw[latin + 1] != 0xB7)]
+    kinds[latin] = kinds[latin + 1] = _LETTER
+    small = np.frombuffer(bytearray(blob.lower()), np.uint8)
+    strange = np.flatnonzero((raw >= 0xC2) & (raw != 0xC3)) - 1
+    small[strange] = raw[strange]
+    nexts = (8 * kinds[:-1] + kinds[1:]).tobytes().translate(_NEXT)
+    places = np.flatnonzero(np.frombuffer(nexts, np.uint8) == 1) + 1
+    solid = small.tobytes().translate(None, _BLANKS)
+    offsets = np.flatnonzero(np.frombuffer(nexts.translate(None, b"\2"), np.uint8))
+    offsets = np.append(offsets, len(solid)).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
+    coded = chunks.dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    stops = np.cumsum([len(text) + 1 for text in texts])
+    return words, coded.indices.to_numpy(), np.diff(np.searchsorted(places, stops), prepend=0)
+
+
+def added_words(added: dict[str, int]) -> Callable[[str], bytes]:
+    """Texts for ``blank_words``: a string of an added token becomes a chunk that no text has: 0xFF, and the id
+    as a character that no cut goes through."""
+    longest_first = sorted((token.encode() for token in added), key=len, reverse=True)
+    found = re.compile(b"|".join(map(re.escape, longest_first)))
+    marked = {token.encode(): b" \xff" + chr(_ADDED + i).encode() + b" " for token, i in added.items()}
+
+    def mark(text: str) -> bytes:
+        data = text.encode()
+        return found.sub(lambda m: marked[m.group()], data) if added else data
+
+    return mark
+
+
+def _places(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``begin``, ``begin + 1`` and so on, as many as ``sizes`` says, one after the other."""
+    stops = np.cumsum(sizes, dtype=begin.dtype)
+    return np.arange(stops[-1] if len(stops) else 0, dtype=begin.dtype) + np.repeat(begin - stops + sizes, sizes)
+
+
 class ChunkTable:
     """Ids of texts, in a task.
 
     ``chunks`` cuts a text; ``encode`` gives how many ids each of a list of chunks has, and all ids
-    in a row.
+    in a row.  With ``words`` texts are cut many at a time: it gives the bytes that ``blank_words`` cuts.
     """
 
     def __init__(
         self,
         encode: Callable[[Sequence], tuple[np.ndarray, np.ndarray]],
-        chunks: Callable[[str], list],
+        chunks: Callable[[str], list] | None,
         limit: int = TABLE_LIMIT,
+        words: Callable[[str], bytes] | None = None,
     ):
-        self.encode, self.chunks, self.limit = encode, chunks, limit
+        self.encode, self.chunks, self.limit, self.words = encode, chunks, limit, words
         self.clear()
 
     def clear(self) -> None:
@@ -152,13 +239,25 @@ class ChunkTable:
         self.coded += len(sizes)
 
     def _code_fresh(self) -> None:
-        fresh = islice(self.numbers, self.coded, None)
-        while batch := list(islice(fresh, 10_000)):
-            self._append(*self.encode(batch))
+        # from the end, where the fresh ones are: a walk from the start passes the whole table
+        fresh = list(islice(reversed(self.numbers), len(self.numbers) - self.coded))[::-1]
+        for at in range(0, len(fresh), 10_000):
+            self._append(*self.encode(fresh[at : at + 10_000]))
 
     def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Token ids of each text as uint32; a null text is an empty one."""
         out: list[np.ndarray] = []
+        if self.words:
+            group: list[bytes] = []
+            held = 0
+            for text in texts:
+                group.append(self.words(text) if text else b"")
+                held += len(group[-1])
+                if held > GROUP_BYTES:
+                    out.extend(self._worded(group))
+                    group, held = [], 0
+            out.extend(self._worded(group))
+            return out
         codes: list[np.ndarray] = []
         held = 0
         for text in texts:
@@ -176,16 +275,36 @@ class ChunkTable:
             return []
         self._code_fresh()
         code = np.concatenate(codes)
-        self.uses[: self.coded] += np.bincount(code, minlength=self.coded)
+        np.add.at(self.uses, code, 1)  # a bincount is as long as the table
         begin = self.starts[code]
         sizes = self.starts[code + 1] - begin
         stops = np.concatenate([[0], np.cumsum(sizes)])
-        place = np.arange(stops[-1]) + np.repeat(begin - stops[:-1], sizes)
         ends = stops[np.cumsum([len(c) for c in codes])]
-        parts = np.split(self.flat[place], ends[:-1])
+        parts = np.split(self.flat[_places(begin, sizes)], ends[:-1])
+        self._bound()
+        return parts
+
+    def _worded(self, texts: list[bytes]) -> list[np.ndarray]:
+        """As ``_gathered``; the table is asked once for each distinct chunk of the texts."""
+        if not texts:
+            return []
+        words, local, counts = blank_words(texts)
+        code = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self._code_fresh()
+        self.uses[code] += np.bincount(local, minlength=len(words))
+        begin = self.starts[code]
+        sizes = (self.starts[code + 1] - begin).astype(np.int32)
+        flat = self.flat[_places(begin, sizes)]
+        begin = np.cumsum(sizes, dtype=np.int32) - sizes
+        sizes = sizes[local]
+        stops = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        parts = np.split(flat[_places(begin[local], sizes)], stops[np.cumsum(counts)][:-1])
+        self._bound()
+        return parts
+
+    def _bound(self) -> None:
         if len(self.numbers) > self.limit:
             self._keep(self.limit // 2)
-        return parts
 
 
 # How files that drop white space split text before their merges.  Fixed value.
@@ -212,7 +331,8 @@ class _Words:
     the tokenizer in bulk, the rest through it one by one.
 
     ``as_text``: strings of added tokens are ordinary text.  Else they are these tokens, as the
-    library has it by default, and ``added`` has them: they come as ids in place of chunks.
+    library has it by default, and ``added`` has them: they come as ids in place of chunks, or as
+    ``added_words`` marks them.
     """
 
     def __init__(self, path: str, kind: str, as_text: bool):
@@ -226,8 +346,8 @@ class _Words:
         if not as_text and any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
             raise ValueError("added tokens that look at what is around them are not supported")
         self.split = regex.compile(_MARKS).findall
-        self.text = bytes.decode if kind == "blanks" else byte_level_text
-        self.plain = self._merged if kind == "blanks" else self._lines
+        self.blanks = kind == "blanks"
+        self.plain = self._merged if self.blanks else self._lines
         self.letters = byte_letters()
         self.spelled = {i: "".join([self.letters[b] for b in chr(i).encode()]) for i in range(128, 256)}
         # an added token, or a normal form, could make something else of a word of letters
@@ -298,7 +418,30 @@ class _Words:
             return self._flat([[own[i]] if i in own else next(rest).tolist() for i in range(len(batch))])
         if self.straight:
             return self._words(batch)
-        return self._flat(self._mixed(list(map(self.text, batch))))
+        if self.blanks:
+            return self._small_words(batch)
+        return self._flat(self._mixed(list(map(byte_level_text, batch))))
+
+    def _small_words(self, batch: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks between blanks: a word of letters is one piece, so its ids are its merges."""
+        merge, spelled = self.tokenizer.model.tokenize, self.spelled
+        ids: list[list[int] | None] = []
+        others: list[int] = []
+        for i, chunk in enumerate(batch):
+            if chunk[:1] == b"\xff":  # an added token
+                ids.append([ord(chunk[1:].decode()) - _ADDED])
+                continue
+            word = chunk.decode().lower()
+            if not chunk.isalpha():
+                if not _LETTERS.fullmatch(chunk.decode()):
+                    others.append(i)
+                    ids.append(None)
+                    continue
+                word = word.translate(spelled)
+            ids.append(list(map(_NUMBER, merge(word))))
+        for i, own in zip(others, self._mixed([batch[i].decode() for i in others]), strict=True):
+            ids[i] = own
+        return self._flat(ids)
 
     def _mixed(self, texts: list[str]) -> list[list[int]]:
         easy = [_PLAIN.fullmatch(t) is not None for t in texts]
@@ -324,7 +467,9 @@ def hugging_table(path: str, kind: str, as_text: bool = False, limit: int = TABL
     """
     key = (path, as_text, limit)
     if key not in _TABLES:
-        chunks = {"byte_level": byte_level_chunks, "blanks": blank_chunks}[kind]
         words = _Words(path, kind, as_text)
-        _TABLES[key] = ChunkTable(words, around_added(words.added, chunks), limit)
+        if kind == "blanks":
+            _TABLES[key] = ChunkTable(words, None, limit, added_words(words.added))
+        else:
+            _TABLES[key] = ChunkTable(words, around_added(words.added, byte_level_chunks), limit)
     return _TABLES[key]

@@ -13,7 +13,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from learnlens.llm import packing, rans
+from learnlens.llm import packing, rans, tokens
 from learnlens.llm.shared import even_keys
 from learnlens.llm.tokens import ChunkTable, hugging_table
 
@@ -92,6 +92,57 @@ def test_a_full_table_starts_anew():
         table.limit = limit
 
 
+@given(text=st.text(st.sampled_from("abT'sé×À09.,!< \n\x1c\x85\xa0\u0308\u0338ſKİ中²"), max_size=12))
+@settings(max_examples=500, deadline=None)
+def test_cuts_between_letters_digits_and_marks_keep_the_ids(text):
+    name = "word_bpe_49k.json"
+    assert hugging_table(path(name), "blanks").ids([text])[0].tolist() == plain(name)(text)
+
+
+def counted(table):
+    """Replaces the table's dictionary: what it is asked for, and what is walked over."""
+    asked, walked = [], []
+
+    class Counting(defaultdict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+        def __iter__(self):
+            return (walked.append(key) or key for key in super().__iter__())
+
+        def __reversed__(self):
+            return (walked.append(key) or key for key in super().__reversed__())
+
+    table.numbers = Counting(None, table.numbers)
+    table.numbers.default_factory = table.numbers.__len__
+    return asked, walked
+
+
+def test_new_chunks_are_found_without_a_walk_over_the_table():
+    words = hugging_table(path("byte_bpe_50k.json"), "byte_level")
+    table, plainly = ChunkTable(words.encode, words.chunks), plain("byte_bpe_50k.json")
+    table.ids([f"word{i}" for i in range(1000)])
+    _, walked = counted(table)
+    texts = [f"another{i} word{i}" for i in range(20)]
+    assert [x.tolist() for t in texts for x in table.ids([t])] == [plainly(t) for t in texts]
+    assert len(walked) < 100
+
+
+def test_a_group_of_texts_asks_once_for_each_distinct_chunk(monkeypatch):
+    words = hugging_table(path("word_bpe_49k.json"), "blanks")
+    table, plainly = ChunkTable(words.encode, words.chunks, words=words.words), plain("word_bpe_49k.json")
+    asked, _ = counted(table)
+    texts = ["Common words, and <|endoftext|> more\n", None, "", "common Words"] * 500
+    want = [plainly(t) for t in texts]
+    assert [x.tolist() for x in table.ids(texts)] == want
+    assert len(asked) == len(set(asked)) == 6
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 100)
+    table.limit = 3
+    assert [x.tolist() for x in table.ids(texts)] == want
+    assert len(table.numbers) <= 3
+
+
 def check_packed(rows, documents, capacity):
     """Every piece once, gapless sequences within capacity; the number of sequences."""
     encode = plain("byte_bpe_50k.json")
